@@ -137,7 +137,7 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "furniture", "marked", "article", "heading", "item", "page_has_article")
+FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "furniture", "marked", "article", "heading", "item", "outside")
 
 
 def block_features(found: list[Block]) -> np.ndarray:
@@ -146,7 +146,7 @@ def block_features(found: list[Block]) -> np.ndarray:
     around = [none, *found, none]
     has = any(b.article for b in found)
     rows = [
-        (b.words, b.density, p.words, p.density, n.words, n.density, b.furniture, b.marked, b.article, b.heading, b.item, has)
+        (b.words, b.density, p.words, p.density, n.words, n.density, b.furniture, b.marked, b.article, b.heading, b.item, has and not b.article)
         for p, b, n in zip(around, around[1:], around[2:], strict=False)
     ]
     return np.array(rows, np.float64).reshape(-1, len(FEATURES))
@@ -155,18 +155,41 @@ def block_features(found: list[Block]) -> np.ndarray:
 #: The labelled table: blocks of pages written for this purpose, columns as FEATURES, then whether it is main text.
 LABELLED = np.array(
     [
-        # pages with an article element: menu, advert, heading, paragraphs, notes in the article, footer
+        # pages with an article element: in it, headings, short and long paragraphs, links, lists; notes and adverts in it; all around it
         (1, 1.0, 0, 0.0, 1, 1.0, 1, 0, 0, 0, 1, 1, 0), (1, 1.0, 1, 1.0, 9, 0.0, 1, 0, 0, 0, 1, 1, 0), (9, 0.0, 1, 1.0, 7, 0.0, 0, 1, 0, 0, 0, 1, 0),
-        (7, 0.0, 9, 0.0, 40, 0.0, 0, 0, 1, 1, 0, 1, 1), (40, 0.0, 7, 0.0, 2, 0.0, 0, 0, 1, 0, 0, 1, 1), (2, 0.0, 40, 0.0, 66, 0.05, 0, 0, 1, 0, 0, 1, 1),
-        (66, 0.05, 2, 0.0, 1, 0.0, 0, 0, 1, 0, 0, 1, 1), (1, 0.0, 66, 0.0, 12, 0.0, 0, 0, 1, 0, 0, 1, 1), (12, 0.0, 1, 0.0, 8, 0.0, 0, 0, 1, 0, 1, 1, 1),
-        (5, 0.0, 30, 0.0, 35, 0.0, 0, 0, 1, 0, 0, 1, 1), (3, 0.7, 20, 0.0, 25, 0.0, 0, 0, 1, 0, 0, 1, 1), (4, 1.0, 25, 0.0, 18, 0.0, 0, 0, 1, 0, 1, 1, 1),
-        (8, 0.0, 12, 0.0, 0, 0.0, 1, 0, 0, 0, 0, 1, 0), (25, 0.0, 12, 0.0, 0, 0.0, 1, 0, 0, 0, 0, 1, 0), (14, 0.0, 40, 0.0, 30, 0.0, 0, 1, 1, 0, 0, 1, 0),
-        (30, 0.0, 14, 0.0, 22, 0.0, 0, 1, 1, 0, 0, 1, 0), (22, 0.0, 30, 0.0, 6, 0.1, 1, 0, 1, 0, 0, 1, 0), (6, 0.1, 22, 0.0, 80, 0.0, 1, 1, 1, 1, 0, 1, 0),
-        (60, 0.0, 6, 0.0, 50, 0.0, 0, 2, 1, 0, 0, 1, 0), (50, 0.0, 60, 0.0, 9, 0.0, 0, 2, 0, 0, 0, 1, 0), (80, 0.0, 50, 0.0, 9, 0.0, 0, 1, 0, 0, 1, 1, 0),
+        (7, 0.0, 9, 0.0, 40, 0.0, 0, 0, 1, 1, 0, 0, 1), (40, 0.0, 7, 0.0, 2, 0.0, 0, 0, 1, 0, 0, 0, 1), (2, 0.0, 40, 0.0, 66, 0.05, 0, 0, 1, 0, 0, 0, 1),
+        (66, 0.05, 2, 0.0, 1, 0.0, 0, 0, 1, 0, 0, 0, 1), (1, 0.0, 66, 0.0, 12, 0.0, 0, 0, 1, 0, 0, 0, 1), (12, 0.0, 1, 0.0, 8, 0.0, 0, 0, 1, 0, 1, 0, 1),
+        (5, 0.0, 30, 0.0, 35, 0.0, 0, 0, 1, 0, 0, 0, 1), (3, 0.7, 20, 0.0, 25, 0.0, 0, 0, 1, 0, 0, 0, 1), (4, 1.0, 25, 0.0, 18, 0.0, 0, 0, 1, 0, 1, 0, 1),
+        (8, 0.0, 12, 0.0, 0, 0.0, 1, 0, 0, 0, 0, 1, 0), (25, 0.0, 12, 0.0, 0, 0.0, 1, 0, 0, 0, 0, 1, 0), (14, 0.0, 40, 0.0, 30, 0.0, 0, 1, 1, 0, 0, 0, 0),
+        (30, 0.0, 14, 0.0, 22, 0.0, 0, 1, 1, 0, 0, 0, 0), (22, 0.0, 30, 0.0, 6, 0.1, 1, 0, 1, 0, 0, 0, 0), (6, 0.1, 22, 0.0, 80, 0.0, 1, 1, 1, 1, 0, 0, 0),
+        (60, 0.0, 6, 0.0, 50, 0.0, 0, 2, 1, 0, 0, 0, 0), (50, 0.0, 60, 0.0, 9, 0.0, 0, 2, 0, 0, 0, 1, 0), (80, 0.0, 50, 0.0, 9, 0.0, 0, 1, 0, 0, 1, 1, 0),
         (16, 0.0, 3, 1.0, 10, 0.0, 1, 1, 0, 0, 0, 1, 0), (3, 0.0, 16, 0.0, 45, 0.0, 1, 0, 0, 1, 0, 1, 0), (35, 0.0, 3, 0.0, 28, 0.0, 0, 0, 0, 0, 0, 1, 0),
-        (28, 0.0, 35, 0.0, 3, 1.0, 0, 0, 0, 0, 0, 1, 0), (6, 0.0, 28, 0.0, 4, 0.0, 0, 0, 0, 1, 0, 1, 0), (120, 0.0, 6, 0.0, 90, 0.0, 0, 0, 1, 0, 0, 1, 1),
-        (45, 0.0, 9, 0.0, 3, 0.0, 1, 1, 0, 0, 0, 1, 0), (70, 0.0, 45, 0.0, 70, 0.0, 1, 0, 1, 0, 0, 1, 0), (11, 0.0, 80, 0.0, 90, 0.0, 0, 1, 1, 0, 1, 1, 0),
-        # pages without one: what is left over must tell them apart
+        (28, 0.0, 35, 0.0, 3, 1.0, 0, 0, 0, 0, 0, 1, 0), (6, 0.0, 28, 0.0, 4, 0.0, 0, 0, 0, 1, 0, 1, 0), (120, 0.0, 6, 0.0, 90, 0.0, 0, 0, 1, 0, 0, 0, 1),
+        (45, 0.0, 9, 0.0, 3, 0.0, 1, 1, 0, 0, 0, 1, 0), (70, 0.0, 45, 0.0, 70, 0.0, 1, 0, 1, 0, 0, 0, 0), (11, 0.0, 80, 0.0, 90, 0.0, 0, 1, 1, 0, 1, 0, 0),
+        (1, 0.0, 9, 0.0, 40, 0.0, 0, 0, 1, 1, 0, 0, 1), (1, 0.0, 9, 1.0, 40, 0.0, 0, 0, 1, 1, 0, 0, 1), (1, 0.0, 9, 0.0, 40, 1.0, 0, 0, 1, 1, 0, 0, 1),
+        (2, 0.0, 3, 0.0, 2, 0.0, 0, 0, 1, 1, 0, 0, 1), (2, 0.0, 3, 1.0, 2, 0.0, 0, 0, 1, 1, 0, 0, 1), (2, 0.0, 3, 0.0, 2, 1.0, 0, 0, 1, 1, 0, 0, 1),
+        (5, 0.0, 4, 0.0, 12, 0.0, 0, 0, 1, 1, 0, 0, 1), (5, 0.0, 4, 1.0, 12, 0.0, 0, 0, 1, 1, 0, 0, 1), (5, 0.0, 4, 0.0, 12, 1.0, 0, 0, 1, 1, 0, 0, 1),
+        (6, 0.0, 7, 0.0, 10, 0.0, 0, 0, 1, 1, 0, 0, 1), (6, 0.0, 7, 1.0, 10, 0.0, 0, 0, 1, 1, 0, 0, 1), (6, 0.0, 7, 0.0, 10, 1.0, 0, 0, 1, 1, 0, 0, 1),
+        (12, 0.0, 30, 0.0, 60, 0.0, 0, 0, 1, 1, 0, 0, 1), (12, 0.0, 30, 1.0, 60, 0.0, 0, 0, 1, 1, 0, 0, 1), (12, 0.0, 30, 0.0, 60, 1.0, 0, 0, 1, 1, 0, 0, 1),
+        (20, 0.0, 9, 0.0, 5, 0.0, 0, 0, 1, 1, 0, 0, 1), (20, 0.0, 9, 1.0, 5, 0.0, 0, 0, 1, 1, 0, 0, 1), (20, 0.0, 9, 0.0, 5, 1.0, 0, 0, 1, 1, 0, 0, 1),
+        (1, 0.0, 5, 0.0, 1, 0.0, 0, 0, 1, 0, 0, 0, 1), (1, 0.0, 5, 1.0, 1, 0.0, 0, 0, 1, 0, 0, 0, 1), (1, 0.0, 5, 0.0, 1, 1.0, 0, 0, 1, 0, 0, 0, 1),
+        (2, 0.0, 1, 0.0, 3, 0.0, 0, 0, 1, 0, 0, 0, 1), (2, 0.0, 1, 1.0, 3, 0.0, 0, 0, 1, 0, 0, 0, 1), (2, 0.0, 1, 0.0, 3, 1.0, 0, 0, 1, 0, 0, 0, 1),
+        (4, 0.0, 6, 0.0, 200, 0.0, 0, 0, 1, 0, 0, 0, 1), (4, 0.0, 6, 1.0, 200, 0.0, 0, 0, 1, 0, 0, 0, 1), (4, 0.0, 6, 0.0, 200, 1.0, 0, 0, 1, 0, 0, 0, 1),
+        (9, 0.0, 1, 0.0, 2, 0.0, 0, 0, 1, 0, 0, 0, 1), (9, 0.0, 1, 1.0, 2, 0.0, 0, 0, 1, 0, 0, 0, 1), (9, 0.0, 1, 0.0, 2, 1.0, 0, 0, 1, 0, 0, 0, 1),
+        (15, 0.0, 2, 0.0, 1, 0.0, 0, 0, 1, 0, 0, 0, 1), (15, 0.0, 2, 1.0, 1, 0.0, 0, 0, 1, 0, 0, 0, 1), (15, 0.0, 2, 0.0, 1, 1.0, 0, 0, 1, 0, 0, 0, 1),
+        (300, 0.0, 4, 0.0, 8, 0.0, 0, 0, 1, 0, 0, 0, 1), (300, 0.0, 4, 1.0, 8, 0.0, 0, 0, 1, 0, 0, 0, 1), (300, 0.0, 4, 0.0, 8, 1.0, 0, 0, 1, 0, 0, 0, 1),
+        (1, 1.0, 5, 0.0, 7, 0.0, 0, 0, 1, 0, 0, 0, 1), (1, 1.0, 5, 0.0, 7, 0.0, 0, 0, 1, 0, 1, 0, 1), (1, 1.0, 5, 0.0, 7, 0.0, 0, 0, 1, 1, 0, 0, 1),
+        (1, 1.0, 5, 0.0, 7, 0.0, 0, 0, 1, 1, 1, 0, 1), (4, 1.0, 5, 0.0, 7, 0.0, 0, 0, 1, 0, 0, 0, 1), (4, 1.0, 5, 0.0, 7, 0.0, 0, 0, 1, 0, 1, 0, 1),
+        (4, 1.0, 5, 0.0, 7, 0.0, 0, 0, 1, 1, 0, 0, 1), (4, 1.0, 5, 0.0, 7, 0.0, 0, 0, 1, 1, 1, 0, 1), (9, 1.0, 5, 0.0, 7, 0.0, 0, 0, 1, 0, 0, 0, 1),
+        (9, 1.0, 5, 0.0, 7, 0.0, 0, 0, 1, 0, 1, 0, 1), (9, 1.0, 5, 0.0, 7, 0.0, 0, 0, 1, 1, 0, 0, 1), (9, 1.0, 5, 0.0, 7, 0.0, 0, 0, 1, 1, 1, 0, 1),
+        (1, 0.0, 9, 0.0, 40, 0.0, 0, 0, 0, 0, 0, 1, 0), (1, 0.0, 9, 0.0, 40, 0.0, 0, 0, 0, 1, 0, 1, 0), (1, 0.3, 9, 0.0, 40, 0.0, 0, 0, 0, 0, 0, 1, 0),
+        (1, 0.3, 9, 0.0, 40, 0.0, 0, 0, 0, 1, 0, 1, 0), (4, 0.0, 2, 0.0, 3, 0.0, 0, 0, 0, 0, 0, 1, 0), (4, 0.0, 2, 0.0, 3, 0.0, 0, 0, 0, 1, 0, 1, 0),
+        (4, 0.3, 2, 0.0, 3, 0.0, 0, 0, 0, 0, 0, 1, 0), (4, 0.3, 2, 0.0, 3, 0.0, 0, 0, 0, 1, 0, 1, 0), (12, 0.0, 30, 0.0, 9, 0.0, 0, 0, 0, 0, 0, 1, 0),
+        (12, 0.0, 30, 0.0, 9, 0.0, 0, 0, 0, 1, 0, 1, 0), (12, 0.3, 30, 0.0, 9, 0.0, 0, 0, 0, 0, 0, 1, 0), (12, 0.3, 30, 0.0, 9, 0.0, 0, 0, 0, 1, 0, 1, 0),
+        (40, 0.0, 35, 0.0, 60, 0.0, 0, 0, 0, 0, 0, 1, 0), (40, 0.0, 35, 0.0, 60, 0.0, 0, 0, 0, 1, 0, 1, 0), (40, 0.3, 35, 0.0, 60, 0.0, 0, 0, 0, 0, 0, 1, 0),
+        (40, 0.3, 35, 0.0, 60, 0.0, 0, 0, 0, 1, 0, 1, 0), (150, 0.0, 80, 0.0, 90, 0.0, 0, 0, 0, 0, 0, 1, 0), (150, 0.0, 80, 0.0, 90, 0.0, 0, 0, 0, 1, 0, 1, 0),
+        (150, 0.3, 80, 0.0, 90, 0.0, 0, 0, 0, 0, 0, 1, 0), (150, 0.3, 80, 0.0, 90, 0.0, 0, 0, 0, 1, 0, 1, 0),
+        # pages without one: what is left over must tell main text from the rest
         (2, 1.0, 0, 0.0, 2, 1.0, 0, 0, 0, 0, 1, 0, 0), (2, 1.0, 2, 1.0, 3, 1.0, 0, 0, 0, 0, 1, 0, 0), (3, 1.0, 2, 1.0, 8, 0.0, 0, 0, 0, 0, 1, 0, 0),
         (8, 0.0, 3, 1.0, 45, 0.0, 0, 0, 0, 1, 0, 0, 1), (45, 0.0, 8, 0.0, 60, 0.02, 0, 0, 0, 0, 0, 0, 1), (60, 0.02, 45, 0.0, 3, 0.0, 0, 0, 0, 0, 0, 0, 1),
         (3, 0.0, 60, 0.0, 52, 0.0, 0, 0, 0, 0, 0, 0, 1), (52, 0.0, 3, 0.0, 24, 0.0, 0, 0, 0, 0, 0, 0, 1), (24, 0.0, 52, 0.0, 5, 0.9, 0, 0, 0, 0, 0, 0, 1),
@@ -175,6 +198,22 @@ LABELLED = np.array(
         (15, 0.0, 20, 0.0, 0, 0.0, 1, 0, 0, 0, 0, 0, 0), (7, 0.0, 40, 0.0, 33, 0.0, 1, 0, 0, 1, 0, 0, 0), (33, 0.0, 7, 0.0, 12, 0.0, 1, 0, 0, 0, 0, 0, 0),
         (1, 0.0, 30, 0.0, 40, 0.0, 0, 0, 0, 0, 0, 0, 1), (10, 0.0, 30, 0.0, 11, 0.0, 0, 0, 0, 0, 1, 0, 1), (11, 0.2, 10, 0.0, 40, 0.0, 0, 0, 0, 0, 1, 0, 1),
         (6, 0.0, 4, 1.0, 10, 0.0, 1, 0, 0, 0, 1, 0, 0), (200, 0.01, 6, 0.0, 0, 0.0, 0, 0, 0, 0, 0, 0, 1), (1, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 0, 0, 1),
+        (1, 0.0, 30, 0.0, 40, 0.0, 0, 0, 0, 0, 0, 0, 1), (1, 0.0, 30, 0.0, 40, 0.0, 1, 0, 0, 0, 0, 0, 0), (1, 0.0, 30, 0.0, 40, 0.0, 0, 1, 0, 0, 0, 0, 0),
+        (1, 0.2, 30, 0.0, 40, 0.0, 0, 0, 0, 0, 0, 0, 1), (1, 0.2, 30, 0.0, 40, 0.0, 1, 0, 0, 0, 0, 0, 0), (1, 0.2, 30, 0.0, 40, 0.0, 0, 1, 0, 0, 0, 0, 0),
+        (1, 0.7, 30, 0.0, 40, 0.5, 0, 0, 0, 0, 1, 0, 0), (1, 1.0, 30, 0.0, 40, 0.5, 0, 0, 0, 0, 1, 0, 0), (5, 0.0, 8, 0.0, 60, 0.0, 0, 0, 0, 0, 0, 0, 1),
+        (5, 0.0, 8, 0.0, 60, 0.0, 1, 0, 0, 0, 0, 0, 0), (5, 0.0, 8, 0.0, 60, 0.0, 0, 1, 0, 0, 0, 0, 0), (5, 0.2, 8, 0.0, 60, 0.0, 0, 0, 0, 0, 0, 0, 1),
+        (5, 0.2, 8, 0.0, 60, 0.0, 1, 0, 0, 0, 0, 0, 0), (5, 0.2, 8, 0.0, 60, 0.0, 0, 1, 0, 0, 0, 0, 0), (5, 0.7, 8, 0.0, 60, 0.5, 0, 0, 0, 0, 1, 0, 0),
+        (5, 1.0, 8, 0.0, 60, 0.5, 0, 0, 0, 0, 1, 0, 0), (9, 0.0, 3, 0.0, 45, 0.0, 0, 0, 0, 1, 0, 0, 1), (9, 0.0, 3, 0.0, 45, 0.0, 1, 0, 0, 1, 0, 0, 0),
+        (9, 0.0, 3, 0.0, 45, 0.0, 0, 1, 0, 1, 0, 0, 0), (9, 0.2, 3, 0.0, 45, 0.0, 0, 0, 0, 1, 0, 0, 1), (9, 0.2, 3, 0.0, 45, 0.0, 1, 0, 0, 1, 0, 0, 0),
+        (9, 0.2, 3, 0.0, 45, 0.0, 0, 1, 0, 1, 0, 0, 0), (9, 0.7, 3, 0.0, 45, 0.5, 0, 0, 0, 0, 0, 0, 0), (9, 1.0, 3, 0.0, 45, 0.5, 0, 0, 0, 0, 0, 0, 0),
+        (20, 0.0, 12, 0.0, 15, 0.0, 0, 0, 0, 0, 0, 0, 1), (20, 0.0, 12, 0.0, 15, 0.0, 1, 0, 0, 0, 0, 0, 0), (20, 0.0, 12, 0.0, 15, 0.0, 0, 1, 0, 0, 0, 0, 0),
+        (20, 0.2, 12, 0.0, 15, 0.0, 0, 0, 0, 0, 0, 0, 1), (20, 0.2, 12, 0.0, 15, 0.0, 1, 0, 0, 0, 0, 0, 0), (20, 0.2, 12, 0.0, 15, 0.0, 0, 1, 0, 0, 0, 0, 0),
+        (20, 0.7, 12, 0.0, 15, 0.5, 0, 0, 0, 0, 0, 0, 0), (20, 1.0, 12, 0.0, 15, 0.5, 0, 0, 0, 0, 0, 0, 0), (60, 0.0, 20, 0.0, 9, 0.0, 0, 0, 0, 0, 0, 0, 1),
+        (60, 0.0, 20, 0.0, 9, 0.0, 1, 0, 0, 0, 0, 0, 0), (60, 0.0, 20, 0.0, 9, 0.0, 0, 1, 0, 0, 0, 0, 0), (60, 0.2, 20, 0.0, 9, 0.0, 0, 0, 0, 0, 0, 0, 1),
+        (60, 0.2, 20, 0.0, 9, 0.0, 1, 0, 0, 0, 0, 0, 0), (60, 0.2, 20, 0.0, 9, 0.0, 0, 1, 0, 0, 0, 0, 0), (60, 0.7, 20, 0.0, 9, 0.5, 0, 0, 0, 0, 0, 0, 0),
+        (60, 1.0, 20, 0.0, 9, 0.5, 0, 0, 0, 0, 0, 0, 0), (150, 0.0, 80, 0.0, 90, 0.0, 0, 0, 0, 0, 0, 0, 1), (150, 0.0, 80, 0.0, 90, 0.0, 1, 0, 0, 0, 0, 0, 0),
+        (150, 0.0, 80, 0.0, 90, 0.0, 0, 1, 0, 0, 0, 0, 0), (150, 0.2, 80, 0.0, 90, 0.0, 0, 0, 0, 0, 0, 0, 1), (150, 0.2, 80, 0.0, 90, 0.0, 1, 0, 0, 0, 0, 0, 0),
+        (150, 0.2, 80, 0.0, 90, 0.0, 0, 1, 0, 0, 0, 0, 0), (150, 0.7, 80, 0.0, 90, 0.5, 0, 0, 0, 0, 0, 0, 0), (150, 1.0, 80, 0.0, 90, 0.5, 0, 0, 0, 0, 0, 0, 0),
     ],
     np.float64,
 )
@@ -187,7 +226,7 @@ def grow(rows: np.ndarray, depth: int = 6) -> tuple:
     best = (2 * share * (1 - share) * len(y), None, None)
     if depth and 0 < share < 1:
         # what the tags say is asked before counts of equal worth
-        for column in (6, 7, 9, 8, 11, 1, 3, 5, 0, 2, 4, 10):
+        for column in (6, 7, 11, 8, 1, 9, 3, 5, 0, 2, 4, 10):
             values = np.unique(rows[:, column])
             for limit in (values[1:] + values[:-1]) / 2:
                 left = rows[:, column] <= limit
