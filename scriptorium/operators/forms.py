@@ -14,8 +14,6 @@ from functools import cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from scriptorium.functions.binding import let
-
 FIELDS = ("title", "container", "volume", "issue", "first", "last", "publisher", "place", "editor", "genre", "chapter")
 _SEP = "\u0001"
 
@@ -170,32 +168,36 @@ def _places() -> dict[str, list[int]]:
     return {name: [names.index(name) + 2 if name in names else 0 for names in fields] for name in FIELDS}
 
 
-def matched(style: Column, after: Column) -> Column:
-    """array<string>: the form's number, then its groups. Only the forms of the row's style are tried."""
-    per_style = {}
+def _literal(text: str | None) -> str:
+    """A SQL string literal."""
+    return "cast(null as string)" if text is None else "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+# The tables go to Spark as SQL expressions: one call each instead of one a literal.
+
+
+def matched(style: str, after: str) -> Column:
+    """array<string> of two columns: the form's number, then its groups. Only the forms of the row's style are tried."""
+    cut = _literal(_SEP)
+    per_style: dict[str, list[str]] = {}
     for i, form in enumerate(FORMS):
         pattern, fields = form.compiled()
         # one match gives all groups; a text that doesn't match stays without separators
         groups = "".join(f"{_SEP}${k + 1}" for k in range(len(fields)))
-        number = F.lit(str(i + 1))
-        hit = lambda s, number=number: F.when(s.contains(_SEP), F.split(F.concat(number, s), _SEP))
-        per_style.setdefault(form.style, []).append(let(F.regexp_replace(after, pattern, groups), hit))
-    chosen = None
-    for name, forms in per_style.items():
-        chosen = F.when(style == name, F.coalesce(*forms)) if chosen is None else chosen.when(style == name, F.coalesce(*forms))
-    return chosen
+        hit = f"if(contains(s, {cut}), split(concat('{i + 1}', s), {cut}), null)"
+        per_style.setdefault(form.style, []).append(f"get(transform(array(regexp_replace({after}, {_literal(pattern)}, {_literal(groups)})), s -> {hit}), 0)")
+    return F.expr("case " + " ".join(f"when {style} = '{name}' then coalesce({', '.join(forms)})" for name, forms in per_style.items()) + " end")
 
 
-def field(match: Column, name: str) -> Column:
+def field(match: str, name: str) -> Column:
     """A field of a match; null where the form has none or left it empty."""
-    places = F.array(*map(F.lit, _places()[name]))
-    at = F.get(places, F.get(match, F.lit(0)).cast("int") - 1)
-    return F.when(at > 0, F.nullif(F.get(match, at - 1), F.lit("")))
+    at = f"get(array({', '.join(map(str, _places()[name]))}), cast(get({match}, 0) as int) - 1)"
+    return F.expr(f"nullif(if({at} > 0, get({match}, {at} - 1), null), '')")
 
 
-def form_type(match: Column) -> Column:
-    return F.get(F.array(*(F.lit(f.type) for f in FORMS)), F.get(match, F.lit(0)).cast("int") - 1)
+def form_type(match: str) -> Column:
+    return F.expr(f"get(array({', '.join(_literal(f.type) for f in FORMS)}), cast(get({match}, 0) as int) - 1)")
 
 
-def fixed_container(match: Column) -> Column:
-    return F.get(F.array(*(F.lit(f.fixed_container) for f in FORMS)), F.get(match, F.lit(0)).cast("int") - 1)
+def fixed_container(match: str) -> Column:
+    return F.expr(f"get(array({', '.join(_literal(f.fixed_container) for f in FORMS)}), cast(get({match}, 0) as int) - 1)")

@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptorium.functions.binding import let
+
 #: Words that title case leaves small.
 SMALL_WORDS = "a an and as at but by down for from in into nor of on onto or over so the till to up via with yet".split()
 MONTHS = ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"]
@@ -19,7 +21,8 @@ C = F.col
 
 
 def _or_null(c: Column) -> Column:
-    return F.nullif(c, F.lit(""))
+    """Null for an empty text; mentions its argument once, as these nest."""
+    return F.get(F.filter(F.array(c), lambda x: x != ""), F.lit(0))
 
 
 def cat(*parts: Column | str) -> Column:
@@ -51,27 +54,34 @@ def given_first(a: Column, short: Callable[[Column], Column] | None) -> Column:
 
 def name_list(names: Column, sep: str = ", ", last: str = ", and ", two: str | None = None, least: int = 0, shown: int = 1, et_al: str = " et al.", use_last: bool = False) -> Column:
     """Names joined; from `least` names on, the first ones and `et_al` (or an ellipsis and the last name)."""
-    n = F.size(names)
-    head = lambda k: F.array_join(F.slice(names, F.lit(1), F.greatest(k, F.lit(0))), sep)
-    whole = F.when(n == 1, F.get(names, F.lit(0))).when(n == 2, cat(F.get(names, F.lit(0)), two if two is not None else last, F.get(names, F.lit(1)))).when(n > 2, cat(head(n - 1), last, F.element_at(names, -1)))
-    if not least:
-        return whole
-    cut = cat(head(F.lit(shown)), sep + "… ", F.element_at(names, -1)) if use_last else cat(head(F.lit(shown)), et_al)
-    return F.when(n >= least, cut).otherwise(whole)
+
+    def shown_names(names: Column) -> Column:
+        n = F.size(names)
+        head = lambda k: F.array_join(F.slice(names, F.lit(1), F.greatest(k, F.lit(0))), sep)
+        pair = cat(F.get(names, F.lit(0)), last if two is None else two, F.get(names, F.lit(1)))
+        whole = F.when(n == 1, F.get(names, F.lit(0))).when(n == 2, pair).when(n > 2, cat(head(n - 1), last, F.element_at(names, -1)))
+        if not least:
+            return whole
+        cut = cat(head(F.lit(shown)), sep + "… ", F.element_at(names, -1)) if use_last else cat(head(F.lit(shown)), et_al)
+        return F.when(n >= least, cut).otherwise(whole)
+
+    return let(names, shown_names)
 
 
 def title_case(c: Column) -> Column:
     """Capitals for all words but small ones inside; words that have capitals already are left alone."""
-    words = F.split(c, " ")
     up = lambda w: F.regexp_replace(w, r"^([^A-Za-zÀ-ɏ]*)(\p{Ll})(.*)$", "$1§$2§$3")
+    raised = lambda p: F.concat(F.get(p, F.lit(0)), F.upper(F.get(p, F.lit(1))), F.get(p, F.lit(2)))
+
+    def all_words(words: Column) -> Column:
+        def one(w: Column, i: Column) -> Column:
+            big = let(F.split(up(w), "§"), lambda p: F.when(F.size(p) == 3, raised(p)).otherwise(w))
+            inside = (i > 0) & (i < F.size(words) - 1) & ~F.get(words, i - 1).rlike(r"[:.?!]\z")
+            return F.when(inside & w.isin(SMALL_WORDS), w).otherwise(big)
 
-    def one(w: Column, i: Column) -> Column:
-        parts = F.split(up(w), "§")
-        big = F.when(F.size(parts) == 3, F.concat(F.get(parts, F.lit(0)), F.upper(F.get(parts, F.lit(1))), F.get(parts, F.lit(2)))).otherwise(w)
-        inside = (i > 0) & (i < F.size(words) - 1) & ~F.get(words, i - 1).rlike(r"[:.?!]\z")
-        return F.when(inside & w.isin(SMALL_WORDS), w).otherwise(big)
+        return F.array_join(F.transform(words, one), " ")
 
-    return F.array_join(F.transform(words, one), " ")
+    return let(F.split(c, " "), all_words)
 
 
 def capitalize_first(c: Column) -> Column:
@@ -80,9 +90,8 @@ def capitalize_first(c: Column) -> Column:
 
 def quoted(c: Column, after: str = "") -> Column:
     """In curly quotes, with the comma or stop that follows drawn inside."""
-    ended = c.rlike(r"[.?!]\z")
-    mark = F.when(ended & F.lit(after == "."), F.lit("")).otherwise(F.lit(after))
-    return cat("“", c, mark, "”")
+    mark = lambda c: F.when(c.rlike(r"[.?!]\z") & F.lit(after == "."), F.lit("")).otherwise(F.lit(after))
+    return let(c, lambda c: cat("“", c, mark(c), "”"))
 
 
 def pages(page: Column, style: str = "expanded") -> Column:
@@ -130,7 +139,7 @@ def collapse_numbers(numbers: Column) -> Column:
 def _people(short: Callable[[Column], Column] | None = None, first: str = "family", others: str = "family", sep: str = ", ", col: str = "author", **kw) -> Column:
     names = C(col)
     shown = F.transform(names, lambda a, i: F.when(i == 0, family_first(a, short, sep) if first == "family" else given_first(a, short)).otherwise(family_first(a, short, sep) if others == "family" else given_first(a, short)))
-    return F.when(F.size(names) > 0, name_list(shown, **kw))
+    return name_list(shown, **kw)
 
 
 def _link() -> Column:
@@ -147,7 +156,7 @@ def _kinds(**by_type: Column) -> Column:
 
 
 def _stop(c: Column) -> Column:
-    return F.when(c.rlike(r"[.?!]\z"), c).otherwise(cat(c, "."))
+    return let(c, lambda c: F.when(c.rlike(r"[.?!]\z"), c).otherwise(cat(c, ".")))
 
 
 def apa() -> Column:
