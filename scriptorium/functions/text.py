@@ -78,7 +78,7 @@ def strip_trailing_dot(c: Column) -> Column:
 
 def ends_with_broken_url(c: Column) -> Column:
     """Whether a line ends inside a scheme, host or path, or with `doi:`."""
-    return c.rlike(r"(?:https?://\S*|https?:)[/:]\z|https?:\z|(?i:doi:)\z")
+    return c.rlike(r"https?://\S*[/:]\z|https?:/{0,2}\z|(?i:doi:)\z")
 
 
 def escape_regex(text: str) -> str:

@@ -28,7 +28,10 @@ def before_references(lines: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def citations(pages: DataFrame, keys: tuple[str, ...] = ("doc_id", "page"), text: str = "text", kinds: tuple[str, ...] = tuple(PATTERNS)) -> DataFrame:
     """(keys, kind, citation): one row per citation found."""
-    found = F.flatten(F.array(*(F.transform(F.regexp_extract_all(F.col(text), F.lit(PATTERNS[k]), 0), lambda x, k=k: F.struct(F.lit(k).alias("kind"), x.alias("citation"))) for k in kinds)))
+    def of(kind: str) -> Column:
+        return F.transform(F.regexp_extract_all(F.col(text), F.lit(PATTERNS[kind]), 0), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("citation")))
+
+    found = F.flatten(F.array(*map(of, kinds)))
     return pages.select(*keys, F.explode(found).alias("c")).select(*keys, "c.*")
 
 

@@ -135,7 +135,8 @@ FORMS = (
     Form("acs", "{title}.~In {container};~{publisher}:~{place},~{y};~pp~{p}{...}", "paper-conference"),
     Form("acs", "{title}. {container} {y},~{v}~({i})~,~{p}{...}", "article-journal"),
     Form("acs", "{title}. {container} {y},~{v}~,~{p}{...}", "article-journal"),
-    Form("acs", "{title}[[;]][[ {ed}]][[.]]~{publisher}:~{place},~{y}[[.]]", "book"),
+    Form("acs", "{title}[[,~{ed}]];~{publisher}:~{place},~{y}[[.]]", "book"),
+    Form("acs", "{title}. {publisher}:~{place},~{y}[[.]]", "book"),
     Form("acs", "{title}.~arXiv preprint{...}", "article", "arXiv preprint"),
     Form("acs", "{title}. {tail}", "article-journal"),
     Form("acs", "{title}", "article-journal"),

@@ -139,7 +139,7 @@ def totals(scores: DataFrame, by: str) -> DataFrame:
 
 def variant_delta(scores: DataFrame, style: str, variant: str, measure: str, names: tuple[str, str] = ("clean", "messy")) -> DataFrame:
     """(style, clean, messy, delta) of a measure."""
-    wide = scores.groupBy(style).pivot(variant, list(names)).agg(F.sum(measure))
+    wide = scores.groupBy(style).pivot(variant, list(names)).agg(F.sum(measure)).na.fill(0, list(names))
     return wide.withColumn("delta", F.col(names[1]) - F.col(names[0]))
 
 

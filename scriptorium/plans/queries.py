@@ -80,7 +80,7 @@ def segment_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT id, title AS rejoined FROM ({RECORDS_SQL})")
 def dehyphenate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    broken = messy.ligaturize(messy.hyphenate_once(C("title"), 8))
+    broken = messy.ligaturize(messy.hyphenate_once(C("title"), 6))
     return records(spark, sf_dir).select("id", text.fold_text(text.join_wrapped_lines(F.split(broken, "\n"))).alias("rejoined"))
 
 
@@ -195,8 +195,8 @@ def style_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def documents_with_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, text): a body, a heading, and entries separated by blank lines, wrapped at the first blank after 60 characters."""
-    wrapped = F.regexp_replace("raw", r"^(.{60}\S*) ", "$1\n")
+    """(doc_id, text): a body, a heading, and entries separated by blank lines, wrapped at the first blank after 90 characters."""
+    wrapped = F.regexp_replace("raw", r"^(.{90}\S*) (?=.{25})", "$1\n")
     lists = _styled(spark, sf_dir).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", wrapped.alias("raw")))).alias("l"))
     return lists.select("doc_id", F.concat(F.lit("A body of text.\n\nReferences\n\n"), F.array_join(F.transform("l", lambda x: x["raw"]), "\n\n"), F.lit("\n\nAcknowledgements\n\nThanks.")).alias("text"))
 

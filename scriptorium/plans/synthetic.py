@@ -32,7 +32,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.lit(None).cast("string")
     return table(spark, sf_dir, "orders").select(
         F.floor(k / 20).cast("long").alias("doc_id"), (k % 20).cast("int").alias("ordinal"), k.cast("long").alias("id"), F.lit("article-journal").alias("type"), authors.alias("author"), F.lit(False).alias("author_etal"),
-        F.concat(F.lit("Observed "), pick(TOPICS, k % 7), F.lit(" Across "), pick(PLACES, k % 5), F.lit(" Number "), k.cast("string")).alias("title"), pick(JOURNALS, k % 4).alias("container"),
+        F.concat(F.lit("Study "), k.cast("string"), F.lit(" Into "), pick(TOPICS, k % 7), F.lit(" Across "), pick(PLACES, k % 5)).alias("title"), pick(JOURNALS, k % 4).alias("container"),
         (k % 90 + 1).cast("string").alias("volume"), (k % 11 + 1).cast("string").alias("issue"), F.concat_ws("-", (k % 100 + 100).cast("string"), (k % 100 + 300).cast("string")).alias("page"),
         F.year("o_orderdate").alias("year"), F.concat(F.lit("10.1000/ref."), k.cast("string")).alias("doi"), none.alias("url"), none.alias("publisher"), none.alias("place"), F.array().cast("array<struct<family:string,given:string,literal:string>>").alias("editor"), none.alias("genre"),
     )
@@ -43,7 +43,7 @@ RECORDS_SQL = f"""
 SELECT o_orderkey // 20 AS doc_id, CAST(o_orderkey % 20 AS INTEGER) AS ordinal, o_orderkey AS id, o_orderkey AS k,
   CAST(year(o_orderdate) AS INTEGER) AS year, CAST(o_orderkey % 90 + 1 AS VARCHAR) AS volume, CAST(o_orderkey % 11 + 1 AS VARCHAR) AS issue,
   CAST(o_orderkey % 100 + 100 AS VARCHAR) || '-' || CAST(o_orderkey % 100 + 300 AS VARCHAR) AS page,
-  'Observed ' || {sql_pick(TOPICS, "o_orderkey % 7")} || ' Across ' || {sql_pick(PLACES, "o_orderkey % 5")} || ' Number ' || CAST(o_orderkey AS VARCHAR) AS title,
+  'Study ' || CAST(o_orderkey AS VARCHAR) || ' Into ' || {sql_pick(TOPICS, "o_orderkey % 7")} || ' Across ' || {sql_pick(PLACES, "o_orderkey % 5")} AS title,
   {sql_pick(JOURNALS, "o_orderkey % 4")} AS container, {sql_pick(FAMILIES, "o_orderkey % 12")} AS first_family, CAST(o_orderkey % 3 + 1 AS INTEGER) AS n_authors,
   '10.1000/ref.' || CAST(o_orderkey AS VARCHAR) AS doi
 FROM orders
