@@ -13,9 +13,12 @@ by checksum and length; equal rows take places of their own. An empty table give
 
 from __future__ import annotations
 
+import base64
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +31,10 @@ _loaded: dict[str, tuple] = {}
 
 
 def _encoder(path: str):
-    """(encode a text to packed ids, cache of words with a leading space)"""
+    """(encode a text to packed ids, cache of words with a leading space)
+
+    A vocabulary that also lies there as ranks encodes single words by those: equal ids without the cost of offsets.
+    """
     if path not in _loaded:
         from tokenizers import Tokenizer
 
@@ -38,7 +44,21 @@ def _encoder(path: str):
         def packed(text: str) -> bytes:
             return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-        _loaded[path] = packed, DigestCache(lambda word: packed(" " + word))
+        def word(text: str) -> bytes:
+            return packed(" " + text)
+
+        ranks = Path(path).with_suffix(".tiktoken")
+        if ranks.exists():
+            import public_tokenizers
+            import tiktoken
+
+            lines = (line.split() for line in ranks.read_bytes().splitlines())
+            by_rank = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks={base64.b64decode(t): int(r) for t, r in lines}, special_tokens={})
+
+            def word(text: str) -> bytes:
+                return array("I", by_rank.encode_ordinary(" " + text)).tobytes()
+
+        _loaded[path] = packed, DigestCache(word, 400_000)
     return _loaded[path]
 
 
