@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from scriptorium.llm.common import materialize
 
 
+#: Edges one task writes in a round.
+ROWS_A_TASK = 500_000
+
+
 def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
@@ -33,14 +37,17 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Stars shrink every tree to depth one in O(log n) rounds. The minimum of a hub's neighbours is pre-aggregated, so a
     hub costs one row per task, and the join back is an equi-join that adaptive execution can split.
     """
-    edges = materialize(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    seen = None
+    edges = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    edges, seen = materialize(edges, "edges", "snappy"), None
+    rows = edges.count()
     for _ in range(max_rounds):
-        edges = materialize(_small_star(_large_star(edges)).distinct(), "edges")
+        # rounds never add nodes: as many tasks as the edges there are ask for, however many partitions a shuffle has
+        step = _small_star(_large_star(edges)).distinct().coalesce(rows // ROWS_A_TASK + 1)
+        edges = materialize(step, "edges", "snappy")
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(state) == seen:
             break
-        seen = tuple(state)
+        seen, rows = tuple(state), state[0]
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))

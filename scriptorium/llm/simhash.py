@@ -155,7 +155,7 @@ def _linked(rows: DataFrame, block: int) -> DataFrame:
 def links(fps: DataFrame, block: int = 8192) -> DataFrame:
     """(u, v): for distinct fingerprints fps(fp), links that connect exactly what distances of at most 4 bits connect."""
     ship(fps.sparkSession)
-    first = materialize(_linked(fps.select(F.explode(_keys(F.col("fp"))).alias("key"), "fp"), block), "links")
+    first = materialize(_linked(fps.select(F.explode(_keys(F.col("fp"))).alias("key"), "fp"), block), "links", "snappy")
     found = first.filter("kind = 0").select(F.col("a").alias("u"), F.col("b").alias("v"))
     large = first.filter("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("fp"))
     if not large.isEmpty():
@@ -171,8 +171,8 @@ def links(fps: DataFrame, block: int = 8192) -> DataFrame:
 
 def near_groups(docs: DataFrame, block: int = 8192) -> DataFrame:
     """One row per row of docs: doc_id, fingerprint (16 hex digits), component_id (least doc_id reachable)."""
-    rows = materialize(fingerprints(docs), "fingerprints")
-    distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    rows = materialize(fingerprints(docs), "fingerprints", "snappy")
+    distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct", "snappy")
     parts = connected_components(links(distinct.select("fp"), block))
     named = distinct.join(parts, distinct["fp"] == parts["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
