@@ -34,6 +34,7 @@ _TOKENS = {
     "publisher": ("(.+?)", ("publisher",)),
     "press": (r"([^.]*(?:University Press|Routledge|Springer|Elgar)[^.]*)", ("publisher",)),
     "place": ("(.+?)", ("place",)),
+    "city": (r"\[?([^\]:]*)\]?", ("place",)),
     "editor": ("(.+?)", ("editor",)),
     "thesis": (r"((?:PhD|phd|Ph\.D\.) (?:thesis|dissertation))", ("genre",)),
     "chapter": (r"(\d{1,4})", ("chapter",)),
@@ -105,7 +106,7 @@ FORMS = (
     Form("mla", _Q + "{tail}", "article-journal"),
     Form("mla", "{title}.~[[{ed},~]]{publisher},~{y}[[.]]", "book"),
     Form("mla", "{title}", "book"),
-    Form("vancouver", "{title} [{thesis}][[.]]~[[[]][[{place}]][[]]]:~{publisher};~{y}{...}", "thesis"),
+    Form("vancouver", "{title} [{thesis}][[.]]~{city}:~{publisher};~{y}{...}", "thesis"),
     Form("vancouver", "{title}. In:~{proceedings}. {place}:~{publisher};~{y}.~p.~{p}{...}", "paper-conference"),
     Form("vancouver", "{title}. In:~{editor},~editor[[s]].~{container}. {place}:~{publisher};~{y}.~p.~{p}{...}", "chapter"),
     Form("vancouver", "{title}. {container}.~[[{y};]]{v}~({i})~:~{p}{...}", "article-journal"),
