@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.functions import identifiers, names, text
@@ -177,12 +178,19 @@ for _style, _sql in _STYLE_SQL.items():
 _ORDER = tuple(_STYLE_SQL)
 
 
-def _styled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entries in the style that the document's number names."""
+@cache
+def _styled_entry(application_id: str) -> Column:
+    """The entry in the style that the document's number names: built once an application, as it is some thousand nodes."""
     raw = None
     for i, style in enumerate(_ORDER):
         shown = render.render(style, C("ordinal") + 1)
         raw = F.when(C("doc_id") % 10 == i, shown) if raw is None else raw.when(C("doc_id") % 10 == i, shown)
+    return raw
+
+
+def _styled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries in the style that the document's number names."""
+    raw = _styled_entry(spark.sparkContext.applicationId)
     return records(spark, sf_dir).withColumn("raw", raw)
 
 

@@ -16,6 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its files are fewer than those; rows of a larger table stay where they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def pick(words: tuple[str, ...], at: Column) -> Column:
     return F.get(F.array(*map(F.lit, words)), at.cast("int"))
 
@@ -30,7 +36,8 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     person = lambda j: F.struct(pick(FAMILIES, (k + 5 * j) % 12).alias("family"), pick(GIVEN, (k + 7 * j) % 12).alias("given"), F.lit(None).cast("string").alias("literal"))
     authors = F.slice(F.array(person(0), person(1), person(2)), F.lit(1), (k % 3 + 1).cast("int"))
     none = F.lit(None).cast("string")
-    return table(spark, sf_dir, "orders").select(
+    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"))
+    return orders.select(
         F.floor(k / 20).cast("long").alias("doc_id"), (k % 20).cast("int").alias("ordinal"), k.cast("long").alias("id"), F.lit("article-journal").alias("type"), authors.alias("author"), F.lit(False).alias("author_etal"),
         F.concat(F.lit("Study "), k.cast("string"), F.lit(" Into "), pick(TOPICS, k % 7), F.lit(" Across "), pick(PLACES, k % 5)).alias("title"), pick(JOURNALS, k % 4).alias("container"),
         (k % 90 + 1).cast("string").alias("volume"), (k % 11 + 1).cast("string").alias("issue"), F.concat_ws("-", (k % 100 + 100).cast("string"), (k % 100 + 300).cast("string")).alias("page"),
