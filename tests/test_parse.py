@@ -53,6 +53,19 @@ def test_acm(spark):
     assert r[4].author_etal and r[4].issue == "1-2"
 
 
+def test_style_by_window_is_the_vote(spark):
+    rows = [
+        (1, 'Moss, A. "Noise," vol. 3, no. 2, 2020, pp. 1-2.'), (1, "x"), (2, "[1] A. Moss, Noise"), (2, "[2] B. Ek"), (3, ""), (3, None),
+        (None, "Moss A. Noise. Letters. 2020;3(2):1-2."), (None, "Ek B. Loud. Letters. 2019;3:1-2."),
+    ]
+    entries = spark.createDataFrame(rows, "doc_id long, raw string")
+    voted = sorted(map(tuple, parse.style_vote(entries).collect()), key=str)
+    got = parse.with_style(entries)
+    assert sorted({tuple(r) for r in got.select("doc_id", "n_entries", "style", "style_label").collect()}, key=str) == voted
+    assert got.count() == len(rows) and {v[0]: v[2] for v in voted} == {1: "mla", 2: "ieee", 3: "apa", None: "vancouver"}
+    assert parse.with_style(entries.limit(0)).count() == 0
+
+
 def test_types_round_trip(spark):
     rows = [
         ("book", "The Noise Book", None, None, None, None, 2001, "Example Press", "Oslo", []),
