@@ -37,8 +37,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their places in sequences."""
-    return pack(docs)
+    """The pieces of all documents with their places in sequences, which follow the order the mix was written in."""
+    return pack(docs, in_order=True)
 
 
 STAGES = [

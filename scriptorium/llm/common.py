@@ -10,6 +10,7 @@ import zipfile
 from collections.abc import Callable, Sequence
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -55,15 +56,25 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def salted_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], name: str, buckets: int) -> DataFrame:
+def row_order(df: DataFrame) -> Column:
+    """Where a row stands among the rows of df: by the files that Spark wrote, else by partitions."""
+    try:
+        df.select("_metadata.file_name")
+    except AnalysisException:  # not read from files
+        return F.monotonically_increasing_id()
+    number = lambda pattern: F.coalesce(F.expr(f"try_cast(regexp_extract(_metadata.file_name, '{pattern}', 1) as long)"), F.lit(0))
+    return F.shiftleft(number("part-([0-9]+)") * 1000 + number("-c([0-9]+)[.]"), 36).bitwiseOR(F.col("_metadata.row_index"))
+
+
+def salted_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], name: str, buckets: int = 1, bucket: Column | None = None) -> DataFrame:
     """Add `name`: a gapless 0-based rank inside each group of `keys`.
 
     A group is spread over `buckets` hash buckets of its order columns; rows are ranked inside a bucket and a bucket
     starts where those before it end. So no task ever holds a whole group, and the rank depends on the values alone.
-    `keys` must not be null.
+    `keys` must not be null. A `bucket` that rises with the order makes the rank follow the order itself.
     """
     order = [F.col(c) if isinstance(c, str) else c for c in order]
-    df = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
+    df = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int") if bucket is None else bucket)
     sizes = df.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     if not keys:

@@ -9,6 +9,9 @@ whatever the input. Pieces find their place by their rank among pieces of equal
 
 Defined results: a null text is an empty one, which has one token (the end mark). Documents with equal ids are told apart
 by checksum and length; equal rows take places of their own. An empty table gives no rows. Other columns are ignored.
+
+Pieces of equal length are ranked by a hash of their values. With `in_order` they are ranked by the order in which the
+documents are stored, and sequences are numbered by the document of their first piece.
 """
 
 from __future__ import annotations
@@ -22,10 +25,10 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import DigestCache, buckets_for, materialize, salted_rank, ship
+from scriptorium.llm.common import DigestCache, buckets_for, materialize, row_order, salted_rank, ship
 
 _loaded: dict[str, tuple] = {}
 
@@ -80,16 +83,16 @@ def _pieces(path: str, capacity: int, end: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32")}
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+            rows: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "at")}
+            for doc_id, text, place in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("at").to_pylist(), strict=True):
                 ids = encode(text.as_py() or "", path) + mark
                 n = len(ids) // 4
                 at, length, piece = 0, n % capacity or capacity, 0
                 while at < n:
-                    for k, v in zip(rows, (doc_id, piece, at, length, zlib.crc32(ids[4 * at : 4 * (at + length)])), strict=True):
+                    for k, v in zip(rows, (doc_id, piece, at, length, zlib.crc32(ids[4 * at : 4 * (at + length)]), place), strict=True):
                         rows[k].append(v)
                     at, length, piece = at + length, capacity, piece + 1
-            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows.values(), types, strict=True)], list(rows))
 
     return run
@@ -158,27 +161,42 @@ def _placer(plan: list[tuple[int, Counter]]):
             _, begin, first, m, offset = steps[row].T if len(row) else np.empty((5, 0), np.int64)
             nth = rank - begin
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(first + nth // np.maximum(m, 1)), pa.array(offset + nth % np.maximum(m, 1) * length)],
-                ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
+                [*(batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32", "at")), pa.array(first + nth // np.maximum(m, 1)), pa.array(offset + nth % np.maximum(m, 1) * length)],
+                ["doc_id", "piece", "start", "length", "ids_crc32", "at", "sequence_id", "offset"],
             )
 
     return run
 
 
-SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
+SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, at long"
+COLUMNS = ("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def _numbered_in_order(placed: DataFrame, bucket: Column) -> DataFrame:
+    """Sequences numbered anew: one whose first piece is of an earlier document comes earlier."""
+    placed = materialize(placed, "placed")
+    heads = placed.filter("offset = 0").select("sequence_id", "at", "piece")  # one a sequence
+    numbers = salted_rank(heads, [], ["at", "piece", "sequence_id"], "number", bucket=bucket).select("sequence_id", "number")
+    return placed.join(numbers, "sequence_id").drop("sequence_id").withColumnRenamed("number", "sequence_id")
 
 
-def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = 1024, end: int = 2) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = 1024, end: int = 2, in_order: bool = False) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     if tokenizer_path is None:
         import public_tokenizers
 
         tokenizer_path = public_tokenizers.path("byte_bpe_50k.json")
     ship(docs.sparkSession)
-    pieces = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_pieces(str(tokenizer_path), capacity, end), SCHEMA)
+    at = row_order(docs) if in_order else F.lit(0).cast("long")
+    pieces = docs.select(F.col("doc_id").cast("long"), "text", at.alias("at")).mapInArrow(_pieces(str(tokenizer_path), capacity, end), SCHEMA)
     pieces = materialize(pieces, "pieces")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows
-    ranked = salted_rank(pieces, ["length"], ["doc_id", "piece", "ids_crc32"], "rank", buckets_for(sum(histogram.values())))
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("rank").cast("long").alias("rank")).mapInArrow(
+    bucket, order = F.shiftright("at", 14), ["doc_id", "piece", "ids_crc32"]  # 16,384 documents
+    if in_order:
+        ranked = salted_rank(pieces, ["length"], ["at", *order], "rank", bucket=bucket)
+    else:
+        ranked = salted_rank(pieces, ["length"], order, "rank", buckets_for(sum(histogram.values())))
+    placed = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "at", F.col("rank").cast("long").alias("rank")).mapInArrow(
         _placer(bin_plan(histogram, capacity)), SCHEMA + ", sequence_id long, offset long"
     )
+    return (_numbered_in_order(placed, bucket) if in_order else placed).select(*COLUMNS)

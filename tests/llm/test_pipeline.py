@@ -4,6 +4,7 @@ import re
 
 import corpus_pipeline
 from scriptorium.llm import quality, simhash
+from scriptorium.llm.mixing import mix_positions
 
 SF = "/root/testdata/sf0.001"
 
@@ -38,3 +39,28 @@ def test_stages(spark):
 def test_run(spark):
     out = corpus_pipeline.run(spark, SF)
     assert {"doc_id", "sequence_id", "offset", "length"} <= set(out.columns) and out.count() > 0
+
+
+def test_packing_follows_the_mix(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    mixing, packing = (stage for _, stage in corpus_pipeline.STAGES[-2:])
+    columns = ("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    got = {}
+    for name, df in (("mixed", mixing(spark, docs, SF)), ("as they were", docs)):
+        df.write.parquet(str(tmp_path / name))
+        got[name] = packing(spark, spark.read.parquet(str(tmp_path / name)), SF).select(*columns).collect()
+    assert set(got["mixed"]) != set(got["as they were"])  # without the mixing stage the rows differ
+    assert {r[:5] for r in got["mixed"]} == {r[:5] for r in got["as they were"]}
+    place = {r.doc_id: r.position for r in mix_positions(docs).collect()}
+    heads = sorted((r for r in got["mixed"] if r.offset == 0), key=lambda r: r.sequence_id)
+    assert [r.sequence_id for r in heads] == list(range(len(heads)))
+    assert [place[r.doc_id] for r in heads] == sorted(place[r.doc_id] for r in heads)
+    filled = {}
+    for r in got["mixed"]:
+        filled.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for spans in filled.values():
+        ends = 0
+        for offset, length in sorted(spans):
+            assert offset == ends
+            ends += length
+        assert ends <= 1024
