@@ -12,7 +12,7 @@ links, never all pairs, so a cluster of k near copies costs k - 1 rows. A group
 one task: its rows are passed on, dealt to blocks, and every pair of blocks is linked by a task of its own.
 
 Defined results: null or empty text has fingerprint zero and is linked like any other. A null id takes part but is never
-a component id unless all ids of the component are null. Repeated rows give repeated result rows. Other columns are
+a component id unless all ids of the component are null. A component of null ids alone keeps one row. Repeated rows give repeated result rows. Other columns are
 ignored by `near_groups` and kept by `drop_near_copies`.
 """
 
@@ -54,8 +54,9 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        values = np.array([fingerprint(t.as_py()) for t in batch.column("text")], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(values)], ["doc_id", "fp"])
+        *kept, texts = batch.columns
+        values = np.array([fingerprint(t.as_py()) for t in texts], np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([*kept, pa.array(values)], [*batch.schema.names[:-1], "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -169,20 +170,34 @@ def links(fps: DataFrame, block: int = 8192) -> DataFrame:
     return found
 
 
+def _named(distinct: DataFrame, block: int) -> DataFrame:
+    """distinct, which has one row a fingerprint, with the fingerprint's component."""
+    parts = connected_components(links(distinct.select("fp"), block)).withColumnRenamed("node", "fp")
+    return distinct.join(parts, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+
+
 def near_groups(docs: DataFrame, block: int = 8192) -> DataFrame:
     """One row per row of docs: doc_id, fingerprint (16 hex digits), component_id (least doc_id reachable)."""
     rows = materialize(fingerprints(docs), "fingerprints", "snappy")
-    distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct", "snappy")
-    parts = connected_components(links(distinct.select("fp"), block))
-    named = distinct.join(parts, distinct["fp"] == parts["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    named = _named(materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct", "snappy"), block)
     ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
     classes = named.join(ids, "component").select("fp", "component_id")
     return rows.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """docs with one document (the least id) of each group of near copies; columns unchanged."""
-    groups = near_groups(docs)
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key.alias("_key")).distinct()
-    return docs.withColumn("_key", key).join(kept, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
+def drop_near_copies(docs: DataFrame, block: int = 8192) -> DataFrame:
+    """docs with one row of each group of near copies: the least id, nulls last, then the least hash of the text.
+
+    Columns unchanged; `_id` and `_sha` are added and dropped on the way. Of rows equal in id and text one stays.
+    """
+    ship(docs.sparkSession)
+    named = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_sha", F.coalesce(F.sha2("text", 256), F.lit("")))
+    rows = named.select("_id", "_sha", "text").mapInArrow(_fingerprints, "_id long, _sha string, fp long")
+    rows = materialize(rows, "fingerprints", "snappy")
+    first = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_sha")).alias("first")
+    # the least row of a fingerprint, then of a component: the join sees one row a fingerprint
+    least = materialize(rows.groupBy("fp").agg(first), "least", "snappy")
+    kept = _named(least, block).groupBy("component").agg(F.min("first").alias("first"))
+    key = F.coalesce(F.col("_id").cast("string"), F.lit("null"))
+    kept = kept.select(F.coalesce(F.col("first._id").cast("string"), F.lit("null")).alias("_id"), F.col("first._sha").alias("_sha"))
+    return named.withColumn("_id", key).join(kept, ["_id", "_sha"], "left_semi").dropDuplicates(["_id", "_sha"]).drop("_id", "_sha")

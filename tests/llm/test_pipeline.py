@@ -1,11 +1,15 @@
 """The pipeline stage by stage, and its result against the stages' own definitions."""
 
+import random
 import re
+from collections import Counter
 
 import corpus_pipeline
 from scriptorium.llm import quality, simhash
 from scriptorium.llm.mixing import mix_positions
 
+from .conftest import make, words
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -64,3 +68,12 @@ def test_packing_follows_the_mix(spark, tmp_path):
             assert offset == ends
             ends += length
         assert ends <= 1024
+
+
+def test_near_stage_keeps_one_row_a_group(spark):
+    rng = random.Random(5)
+    a, b, c, d, e = (words(rng, 120, 5000) for _ in range(5))
+    rows = [(None, a, "s"), (None, b, "s"), (None, None, "s"), (1, c, "s"), (1, d, "s"), (1, a + " end", "s"), (0, d + " end", "s"), (3, e, "s"), (3, e, "s")]
+    assert (simhash.fingerprint(a) ^ simhash.fingerprint(a + " end")).bit_count() <= 4 >= (simhash.fingerprint(d) ^ simhash.fingerprint(d + " end")).bit_count()
+    kept = corpus_pipeline.near_stage(spark, make(spark, rows), SF).collect()
+    assert Counter((r.doc_id, r.text) for r in kept) == Counter([(None, b), (None, None), (1, c), (1, a + " end"), (0, d + " end"), (3, e)])
