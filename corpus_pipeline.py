@@ -27,8 +27,8 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the document with the smallest doc_id stays."""
-    return drop_near_copies(docs)
+    """Of each group of near copies (op2's, and five-word shingles of Jaccard 0.8), the document with the smallest doc_id stays."""
+    return drop_near_copies(docs, jaccard=0.8)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

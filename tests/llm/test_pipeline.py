@@ -4,6 +4,9 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pytest
+
 import corpus_pipeline
 from scriptorium.llm import quality, simhash
 from scriptorium.llm.mixing import mix_positions
@@ -77,3 +80,36 @@ def test_near_stage_keeps_one_row_a_group(spark):
     assert (simhash.fingerprint(a) ^ simhash.fingerprint(a + " end")).bit_count() <= 4 >= (simhash.fingerprint(d) ^ simhash.fingerprint(d + " end")).bit_count()
     kept = corpus_pipeline.near_stage(spark, make(spark, rows), SF).collect()
     assert Counter((r.doc_id, r.text) for r in kept) == Counter([(None, b), (None, None), (1, c), (1, a + " end"), (0, d + " end"), (3, e)])
+
+
+@pytest.mark.parametrize("block", [512, 6])
+def test_near_stage_reaches_jaccard_of_shingles(spark, block):
+    rng = random.Random(6)
+    texts = []
+    for edits in (0, 1, 2, 3, 4, 5, 6, 8, 12) * 4:
+        base = words(rng, 300, 5000).split()
+        copy = list(base)
+        for at in rng.sample(range(300), edits):
+            copy[at] = f"new{at}"
+        texts += [" ".join(base), " ".join(copy)]
+    hub = words(rng, 300, 5000).split()
+    texts += [" ".join([*hub[:at], "other", *hub[at + 1 :]]) for at in range(0, 300, 20)]
+    grams = [{tuple(t.split()[k : k + 5]) for k in range(296)} for t in texts]
+    parent = list(range(len(texts)))
+
+    def find(n):
+        return n if parent[n] == n else find(parent[n])
+
+    for i in range(len(texts)):
+        for j in range(i):
+            alike = len(grams[i] & grams[j]) / len(grams[i] | grams[j]) >= 0.8
+            if alike or (simhash.fingerprint(texts[i]) ^ simhash.fingerprint(texts[j])).bit_count() <= 4:
+                parent[max(find(i), find(j))] = min(find(i), find(j))
+    docs = make(spark, [(i, t, "s") for i, t in enumerate(texts)] + [(900, None, "s"), (901, "a b", "s")])
+    expected = {find(i) for i in range(len(texts))} | {900, 901}
+    if block == 512:
+        assert {r.doc_id for r in corpus_pipeline.near_stage(spark, docs, SF).collect()} == expected
+    else:
+        fps = {i: np.uint64(simhash.fingerprint(t)).astype(np.int64) for i, t in enumerate(texts)}
+        linked = {x for r in simhash.shingle_links(docs, 0.8, 5, block).collect() for x in r}
+        assert {fps[i] for i in range(len(texts) - 15, len(texts))} <= linked
