@@ -255,6 +255,16 @@ def test_mixing(docs, rows, empty):
     assert mixed.columns == docs.columns and mixed.count() == len(rows)
 
 
+def test_mixing_is_row_by_row_at_any_size(spark):
+    weights = {"a": 4, "b": 2, "c": 3, "e": 0, "*": 1}
+    counts = {"a": 2500, "b": 1100, "c": 900, "e": 40, "*": 700}
+    rows = [(i, "", k if k != "*" else f"x{i % 3}") for i, k in enumerate(k for k, n in counts.items() for _ in range(n))]
+    out = sorted(mixing.mix_positions(make(spark, rows), weights).collect(), key=lambda r: r.position)
+    assert [r.position for r in out] == list(range(len(rows)))
+    assert Counter((r.doc_id, r.source) for r in out) == Counter((i, s) for i, _, s in rows)
+    assert [(r.mix_class, r.block, r.release, r.deadline, r.phase) for r in out] == mixing.pfair_order(counts, weights)
+
+
 def test_pfair_stays_within_a_block():
     weights = {"a": 5, "b": 3, "c": 1, "d": 7, "e": 0}
     blocks = {"a": 90, "b": 120, "c": 40, "d": 33, "e": 4}
