@@ -419,6 +419,19 @@ def cross_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return citations.cross_check(cited, listed, ["doc_id", "number"])
 
 
+@query(
+    f"""WITH a AS (SELECT doc_id, ordinal, first_family AS family, CAST(year AS VARCHAR) AS year FROM ({RECORDS_SQL}) WHERE doc_id % 2 = 0), c AS (SELECT doc_id, family, year, count(*) AS times FROM a GROUP BY ALL), r AS (SELECT DISTINCT doc_id, family, year FROM a WHERE ordinal > 0)
+    SELECT coalesce(c.doc_id, r.doc_id) AS doc_id, coalesce(c.family, r.family) AS family, coalesce(c.year, r.year) AS year, coalesce(times, 0) AS times, CASE WHEN r.doc_id IS NULL THEN 'not listed' WHEN c.doc_id IS NULL THEN 'not cited' ELSE 'ok' END AS status
+    FROM c FULL JOIN r ON c.doc_id = r.doc_id AND c.family = r.family AND c.year = r.year"""
+)
+def cross_check_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that cite by name, against lists that lack the first reference."""
+    found = citations.citations(_bodies(spark, sf_dir)).filter("kind = 'author_year'")
+    cited = found.select("doc_id", F.explode(citations.cited_names(C("citation"))).alias("c")).select("doc_id", "c.*")
+    listed = records(spark, sf_dir).filter("doc_id % 2 = 0 and ordinal > 0").select("doc_id", F.get("author", F.lit(0))["family"].alias("family"), C("year").cast("string").alias("year"))
+    return citations.cross_check(cited, listed, ["doc_id", "family", "year"])
+
+
 @query(
     f"""SELECT doc_id, sum(3 + CASE WHEN doc_id % 2 = 1 THEN 1 WHEN n_authors = 1 THEN 2 ELSE 4 END)::BIGINT AS words, count(*) AS citations,
     round(1000.0 * count(*) / sum(3 + CASE WHEN doc_id % 2 = 1 THEN 1 WHEN n_authors = 1 THEN 2 ELSE 4 END), 4)::DOUBLE AS per_1000_words FROM ({RECORDS_SQL}) GROUP BY doc_id"""
