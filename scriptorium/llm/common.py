@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import os
 import tempfile
 import uuid
 import zipfile
@@ -32,19 +31,31 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one where none is set (tests)."""
+    """This application's folder below spark.checkpoint.dir, which driver and executors share."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = os.environ.setdefault("SCRIPTORIUM_SCRATCH", tempfile.mkdtemp(prefix="scriptorium-"))
-        base = f"file://{base}"
-    return base.rstrip("/")
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{base.rstrip('/')}/scriptorium/{spark.sparkContext.applicationId}"
+
+
+#: Whether the files of a query's shuffles go when the query has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def materialize(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there and lost executors cost no recomputation."""
+    """Write df to the shared folder and read it back: lineage ends there and lost executors cost no recomputation.
+
+    The shuffles behind df have done their work then, and their files go. What is written stays until the application's
+    folder (`shared_dir`) is removed: a result that is read later may still need it.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/scriptorium/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
