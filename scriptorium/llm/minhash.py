@@ -143,10 +143,8 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", at.alias("at"))
     rows = rows.withColumn("part", part_of("at")).withColumn("h", F.xxhash64("text"))
     # Which row comes first in a range: from the ids and hashes of the few rows that have its least id.
-    opens = rows.filter(F.col("at").isin(bounds.tolist())).groupBy("part", "at").agg(F.min("h").alias("h")) if len(bounds) <= 1000 else None
-    if opens is None:
-        starts = spark.createDataFrame([(int(x),) for x in bounds], "at long")
-        opens = rows.select("part", "at", "h").join(starts, "at").groupBy("part", "at").agg(F.min("h").alias("h"))
+    starts = spark.createDataFrame([(int(x),) for x in bounds], "at long")  # one row a partition
+    opens = rows.select("part", "at", "h").join(F.broadcast(starts), "at").groupBy("part", "at").agg(F.min("h").alias("h"))
     opens = materialize(opens, "openings")
     # One row a range: bounded by the number of partitions.
     tails = rows.join(F.broadcast(opens), ["part", "at", "h"], "left_semi").dropDuplicates(["part"])

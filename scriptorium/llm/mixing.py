@@ -24,7 +24,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import buckets_for, materialize, salted_rank, shuffle_partitions
+from scriptorium.llm.common import buckets_for, materialize, salted_rank, shuffle_partitions, spare_names
 
 #: Production shares; "*" stands for all other sources together.
 WEIGHTS = {"src0": 4, "src1": 2, "src2": 2, "src3": 2, "src4": 2, "*": 8}
@@ -115,11 +115,12 @@ def mix_positions(docs: DataFrame, weights: Mapping[str, int] | None = None, blo
 
 def mixed(docs: DataFrame, weights: Mapping[str, int] | None = None, blocks: int | None = None) -> DataFrame:
     """All rows of docs, columns unchanged, dealt and sorted so that the rows read in file order are the mix."""
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    key, at = spare_names(docs, "_key", "_at")
+    named = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     # one position an id: ids are unique where this follows deduplication, else rows of one id stand together
-    places = mix_positions(docs, weights, blocks).groupBy(key.alias("_key")).agg(F.min("position").alias("_at"))
+    places = mix_positions(docs, weights, blocks).groupBy(named.alias(key)).agg(F.min("position").alias(at))
     places = materialize(places, "places")
-    placed = docs.withColumn("_key", key).join(places, "_key")
+    placed = docs.withColumn(key, named).join(places, key).select(*docs.columns, key, at)
     rows, parts = places.count(), shuffle_partitions(docs.sparkSession)
-    part = F.expr(f"cast(_at * {parts} div {max(1, rows)} as int)")
-    return placed.repartitionById(parts, part).sortWithinPartitions("_at", F.xxhash64("text")).drop("_key", "_at")
+    part = F.expr(f"cast({at} * {parts} div {max(1, rows)} as int)")
+    return placed.repartitionById(parts, part).sortWithinPartitions(at, F.xxhash64("text")).drop(key, at)

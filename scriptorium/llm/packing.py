@@ -34,7 +34,7 @@ _loaded: dict[str, tuple] = {}
 
 
 def _encoder(path: str):
-    """(encode a text to packed ids, cache of words with a leading space)
+    """(encode a text to packed ids, cache of words with a leading space, strings of added tokens)
 
     A vocabulary that also lies there as ranks encodes single words by those: equal ids without the cost of offsets.
     """
@@ -42,7 +42,7 @@ def _encoder(path: str):
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = tuple(t.content for t in tokenizer.get_added_tokens_decoder().values())
 
         def packed(text: str) -> bytes:
             return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -61,7 +61,7 @@ def _encoder(path: str):
             def word(text: str) -> bytes:
                 return array("I", by_rank.encode_ordinary(" " + text)).tobytes()
 
-        _loaded[path] = packed, DigestCache(word, 400_000)
+        _loaded[path] = packed, DigestCache(word, 400_000), added
     return _loaded[path]
 
 
@@ -69,11 +69,11 @@ def encode(text: str, path: str) -> bytes:
     """The ids of a text as little-endian unsigned 32-bit integers.
 
     A space before a non-space always opens a new word of the tokenizer, so a text without runs of white space around
-    spaces is the sequence of its space-led words, and frequent words are looked up rather than encoded again.
+    spaces or strings of added tokens is the sequence of its space-led words, and frequent words are looked up rather than encoded again.
     """
-    packed, words = _encoder(path)
+    packed, words, added = _encoder(path)
     first, *rest = text.split(" ")
-    if not all(rest) or any(w[0].isspace() for w in rest):
+    if any(t in text for t in added) or not all(rest) or any(w[0].isspace() for w in rest):
         return packed(text)
     return packed(first) + b"".join(map(words.__getitem__, rest))
 

@@ -5,7 +5,7 @@ its length. The score is sigmoid(b + <w, x> + 1/2 * sum_f((sum_i v_if x_i)^2 - s
 interactions of all features, in time linear in the features.
 
 The model is fitted on at most `max_rows` labelled rows (a documented bound), those with the smallest hashes of doc_id;
-every row is scored. Labels, language, source and doc_id are no inputs of a score.
+every row is scored. Of a repeated id, the text with the least hash is learned. Labels, language, source and doc_id are no inputs of a score.
 
 Defined results: null text is scored like an empty one. A document that is labelled twice counts once for each label row.
 With labels of one class only, or none, the model is the class rate (1.0 where there is none, so nothing is rejected).
@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import DigestCache, ship
+from scriptorium.llm.common import DigestCache, ship, spare_names
 
 WORDS, RANK, MAX_ROWS = 1024, 6, 8192
 THRESHOLD = 0.7
@@ -142,8 +142,11 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Facto
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     usable = usable.filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id")))
     sample = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_rows)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")  # at most max_rows rows
-    rows = texts.mapInArrow(_featurise, "doc_id long, quality int, x binary").limit(2 * max_rows).collect()
+    sample = F.broadcast(sample)  # at most max_rows rows
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sample, "doc_id", "left_semi")
+    # of a repeated id, the text with the least hash
+    texts = texts.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("least")).select("doc_id", F.col("least.text").alias("text"))
+    rows = texts.join(sample, "doc_id").mapInArrow(_featurise, "doc_id long, quality int, x binary").collect()  # at most max_rows
     rows.sort(key=lambda r: (r["doc_id"], r["quality"], zlib.crc32(r["x"])))
     y = np.array([r["quality"] for r in rows], np.float64)
     if len(set(y)) < 2:
@@ -178,4 +181,5 @@ def scores(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Data
 def keep_good(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     """docs whose score reaches the threshold; columns unchanged."""
     score = scorer(train(docs, labels, max_rows))
-    return docs.withColumn("_score", score("text")).filter(F.col("_score") >= THRESHOLD).drop("_score")
+    (name,) = spare_names(docs, "_score")
+    return docs.withColumn(name, score("text")).filter(F.col(name) >= THRESHOLD).drop(name)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import materialize, ship, shuffle_partitions
+from scriptorium.llm.common import materialize, ship, shuffle_partitions, spare_names
 from scriptorium.llm.components import connected_components
 
 BITS, DISTANCE, SEED = 64, 4, 42
@@ -297,17 +297,17 @@ def drop_near_copies(docs: DataFrame, block: int = 8192, jaccard: float | None =
     """docs with one row of each group of near copies: the least id, nulls last, then the least hash of the text.
 
     With `jaccard`, texts whose sets of `shingle`-word shingles are at least that similar are near copies too.
-    Columns unchanged; `_id` and `_sha` are added and dropped on the way. Of rows equal in id and text one stays.
+    Columns unchanged. Of rows equal in id and text one stays.
     """
     ship(docs.sparkSession)
-    named = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_sha", F.coalesce(F.sha2("text", 256), F.lit("")))
-    rows = named.select("_id", "_sha", "text").mapInArrow(_fingerprints, "_id long, _sha string, fp long")
-    rows = materialize(rows, "fingerprints", "snappy")
-    first = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_sha")).alias("first")
+    key, sha = spare_names(docs, "_key", "_sha")
+    named = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.sha2("text", 256), F.lit("")).alias("sha"), "text")
+    rows = materialize(named.mapInArrow(_fingerprints, "id long, sha string, fp long"), "fingerprints", "snappy")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "sha")).alias("first")
     # the least row of a fingerprint, then of a component: the join sees one row a fingerprint
     least = materialize(rows.groupBy("fp").agg(first), "least", "snappy")
     more = None if jaccard is None else shingle_links(docs, jaccard, shingle)
     kept = _named(least, block, more).groupBy("component").agg(F.min("first").alias("first"))
-    key = F.coalesce(F.col("_id").cast("string"), F.lit("null"))
-    kept = kept.select(F.coalesce(F.col("first._id").cast("string"), F.lit("null")).alias("_id"), F.col("first._sha").alias("_sha"))
-    return named.withColumn("_id", key).join(kept, ["_id", "_sha"], "left_semi").dropDuplicates(["_id", "_sha"]).drop("_id", "_sha")
+    kept = materialize(kept.select(F.coalesce(F.col("first.id").cast("string"), F.lit("null")).alias(key), F.col("first.sha").alias(sha)), "kept")
+    keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("null"))).withColumn(sha, F.coalesce(F.sha2("text", 256), F.lit("")))
+    return keyed.join(kept, [key, sha], "left_semi").dropDuplicates([key, sha]).drop(key, sha)

@@ -2,12 +2,12 @@ import random
 
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, norm string, keep_id long, h long"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, norm string, keep_id long, h long, _key string, _at long, _score double, _sha string, _id long, key string, fp long"
 
 
 def make(spark, rows):
     """Documents with extra columns whose names clash with those the operators use inside."""
-    full = [(i, t, "en", s, None if t is None else len(t), "x", 7, 1) for i, t, s in rows]
+    full = [(i, t, "en", s, None if t is None else len(t), "x", 7, 1, "k", 2, 0.5, "z", 3, "y", 4) for i, t, s in rows]
     return spark.createDataFrame(full, SCHEMA)
 
 

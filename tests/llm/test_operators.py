@@ -114,13 +114,13 @@ def tokenizer():
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
 
 
-def test_packing(docs, rows, empty):
+def test_packing(spark, docs, rows, empty):
     t = tokenizer()
+    docs = docs.unionByName(make(spark, [(1000, "end of <|endoftext|> text", "s")]))
+    rows = [*rows, (1000, "end of <|endoftext|> text", "s")]
     out = packing.pack(docs).collect()
     want = Counter()
     for i, text, _ in rows:
@@ -143,7 +143,7 @@ def test_packing(docs, rows, empty):
     assert packing.pack(empty).count() == 0
 
 
-@pytest.mark.parametrize("text", ["a b", " lead", "trail ", "two  spaces", "tab\t x", "line\n next", "don't  ", "<|endoftext|> x", "ünï  çö", "", " ", "\n\n", "x \n y"])
+@pytest.mark.parametrize("text", ["a b", " lead", "trail ", "two  spaces", "tab\t x", "line\n next", "don't  ", "<|endoftext|> x", "a<|endoftext|>b c", "ünï  çö", "", " ", "\n\n", "x \n y"])
 def test_cached_encoding(text):
     import public_tokenizers
 
