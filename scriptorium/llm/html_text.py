@@ -1,14 +1,17 @@
 """Main text of web pages from flat text blocks.
 
-A page becomes a flat sequence of text blocks, cut at block-level tags. Each block knows its word count and link density,
-those of its neighbours, and what the tags around it say (how many of them are navigation, advert, form, comment and the
-like; whether an article or main element holds it). A decision tree, grown on the small labelled table in this module,
-says which blocks are main text. They are joined in page order.
+A page becomes a flat sequence of text blocks, cut at block-level tags, in one pass: open elements are counted as they come
+and go, so a page costs time in proportion to its length. Each block knows its word count and link density, those of its
+neighbours, and what the tags around it say (how many are navigation, advert, form, comment and the like, whether an
+article or main element holds it). A decision tree, grown on the small labelled table in `html_pages`, says which blocks
+are main text. They are joined in page order.
 
 Defined results: null html and a page without main text give an empty string. Character references are decoded, white
 space inside a block becomes one space, blocks are trimmed, empty blocks go; nothing else is dropped or capped. Text in
-comments, script, style and other elements that aren't shown is no block. Unclosed and stray tags are tolerated. Repeated
-rows give repeated rows; other columns are ignored.
+comments, script, style and other elements that aren't shown is no block. Unclosed and stray tags are tolerated, and a tag
+that the page's end cuts is dropped. Quotes count after an equals sign only; from a tag on whose
+quote is never closed they are ordinary characters. Names of an element that holds an article or main element say nothing about what is in there. Repeated rows give
+repeated rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,21 +26,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.llm import html_pages
 from scriptorium.llm.common import ship
 
 #: Element names by what HTML says of them.
 BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html label legend li main menu nav noscript ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("script style noscript template svg math iframe object head title textarea select canvas audio video".split())
-FURNITURE = frozenset("nav header footer aside form button menu dialog".split())
+FURNITURE = frozenset("nav footer aside form button menu dialog".split())
 #: Words of class, id and role values that mark what is no main text.
-MARKS = frozenset("ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside widget related recommended share sharing social comment comments reply replies discussion respond cookie cookies consent notice notices popup modal overlay newsletter subscribe signup login search pagination pager toolbar copyright legal disclaimer alert complementary contentinfo dialog outbrain taboola".split())
+MARKS = frozenset("ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs masthead footer sidebar aside widget related recommended share sharing social comment comments reply replies discussion respond cookie cookies consent notice notices popup modal overlay newsletter subscribe signup login search pagination pager toolbar copyright legal disclaimer alert complementary contentinfo dialog outbrain taboola".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I | re.S)
+ITEMS = frozenset("li td dd dt".split())
+#: Elements whose start ends others of these names that are still open around it.
+IMPLIED = {"p": "p", "li": "li p", "tr": "tr td th p", "td": "td th p", "th": "td th p", "dt": "dt dd p", "dd": "dt dd p", "option": "option"}
+IMPLIED = {k: frozenset(v.split()) for k, v in IMPLIED.items()}
+
+# Possessive throughout, so that no part of a page is read twice for one tag.
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>")
+_PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
+_ATTRIBUTE = re.compile(r"(?<![^\s\"'])(class|id|role|hidden|aria-hidden|style|data-main)(?![^\s=/>])(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?+", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
-_RAW = {name: re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I) for name in ("script", "style", "textarea", "iframe", "noscript", "title", "svg", "math", "template")}
+_RAW = {name: re.compile(rf"</{name}\b[^>]*+(?:>|\Z)", re.I) for name in ("script", "style", "textarea", "iframe", "noscript", "title", "svg", "math", "template")}
 
 
 @dataclass
@@ -47,186 +57,181 @@ class Block:
     linked: int
     furniture: int  # elements around it that are no main text by name
     marked: int  # or by class, id or role
+    header: int  # that are headers, by name or class
     article: bool
     heading: bool
     item: bool
+    labelled: bool = False  # main text, on pages of the labelled table
 
     @property
     def density(self) -> float:
         return self.linked / self.words if self.words else 0.0
 
 
-def _is_marked(attributes: str) -> tuple[bool, bool]:
-    """Whether class, id or role say that it's no main text; whether it is hidden."""
-    marked = hidden = False
-    if attributes and "=" in attributes or "hidden" in attributes:
-        for m in _ATTRIBUTE.finditer(attributes):
-            name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-            if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-                hidden = True
-            elif name in ("class", "id", "role"):
-                marked = marked or any(w.lower() in MARKS for w in _WORD.findall(value))
-    return marked, hidden
+@dataclass
+class _Element:
+    name: str
+    counts: tuple[str, ...]  # the counters that it raises
+    outer: tuple[int, int, int] | None = None  # of an article: the counters outside
+
+
+def _described(name: str, attributes: str) -> set[str]:
+    """What an element's name and attributes say of the text in it."""
+    says = {k for k, names in (("furniture", FURNITURE), ("hidden", HIDDEN), ("heading", HEADINGS), ("item", ITEMS)) if name in names}
+    says |= {name} & {"a", "header"} | ({"article"} if name in ("article", "main") else set())
+    for m in _ATTRIBUTE.finditer(attributes) if attributes else ():
+        key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*+:\s*+none", value, re.I):
+            says.add("hidden")
+        elif key == "data-main":
+            says.add("labelled")
+        elif key in ("class", "id", "role") and name not in ("html", "body", "article", "main"):
+            words = [w.lower() for w in _WORD.findall(value)]
+            said = {w for before, w in zip(["", *words], words, strict=False) if before not in ("has", "with", "no", "without")}
+            says |= ({"marked"} if said & MARKS else set()) | ({"header"} if "header" in said else set())
+    return says
+
+
+class _Page:
+    """The elements that are open, counted by name and by what they say."""
+
+    def __init__(self) -> None:
+        self.stack: list[_Element] = []
+        self.at: dict[str, list[int]] = {}  # where elements of a name stand in the stack
+        self.blocks: list[int] = []  # where block-level ones do
+        self.count = dict.fromkeys(("furniture", "marked", "header", "hidden", "heading", "item", "article", "a", "labelled"), 0)
+
+    def open(self, name: str, attributes: str) -> None:
+        says = _described(name, attributes)
+        outer = None
+        if "article" in says:  # what stands around an article says nothing about it
+            outer = tuple(self.count[k] for k in ("furniture", "marked", "header"))
+            self.count |= {"furniture": 0, "marked": 0, "header": 0}
+        for k in says:
+            self.count[k] += 1
+        self.at.setdefault(name, []).append(len(self.stack))
+        if name in BLOCK:
+            self.blocks.append(len(self.stack))
+        self.stack.append(_Element(name, tuple(says), outer))
+
+    def close_to(self, depth: int) -> None:
+        while len(self.stack) > depth:
+            e = self.stack.pop()
+            for k in e.counts:
+                self.count[k] -= 1
+            if e.outer is not None:
+                self.count |= dict(zip(("furniture", "marked", "header"), e.outer, strict=True))
+            self.at[e.name].pop()
+            if e.name in BLOCK:
+                self.blocks.pop()
+
+    def close(self, name: str) -> None:
+        places = self.at.get(name)
+        # inline ends don't reach over the block around them
+        if places and (name in BLOCK or not self.blocks or self.blocks[-1] < places[-1]):
+            self.close_to(places[-1])
+
+    def imply(self, name: str) -> None:
+        """Close what the start of an element closes, but nothing around a link."""
+        names, link = IMPLIED[name], (self.at.get("a") or [-1])[-1]
+        depth, i = None, len(self.blocks) - 1
+        while i >= 0 and self.blocks[i] > link and self.stack[self.blocks[i]].name in names:
+            depth, i = self.blocks[i], i - 1
+        if depth is not None:
+            self.close_to(depth)
 
 
 def blocks(page: str) -> list[Block]:
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # (name, marked, hidden)
-    parts: list[str] = []
-    linked: list[str] = []
+    state, parts, linked = _Page(), [], []
 
     def flush() -> None:
-        if parts:
-            text = " ".join(html.unescape("".join(parts)).split())
-            if text:
-                names = [x[0] for x in stack]
-                out.append(
-                    Block(
-                        text, len(text.split()), len(html.unescape("".join(linked)).split()),
-                        sum(x in FURNITURE for x in names), sum(x[1] for x in stack),
-                        "article" in names or "main" in names, any(x in HEADINGS for x in names), any(x in ("li", "td", "dd", "dt") for x in names),
-                    )
-                )
+        text = " ".join(html.unescape("".join(parts)).split()) if parts else ""
+        if text:
+            c = state.count
+            counts = (len(text.split()), len(html.unescape("".join(linked)).split()), c["furniture"], c["marked"], c["header"])
+            out.append(Block(text, *counts, *(c[k] > 0 for k in ("article", "heading", "item", "labelled"))))
         parts.clear()
         linked.clear()
 
     def add(text: str) -> None:
-        if text and not any(x[2] for x in stack):
+        if text and not state.count["hidden"]:
             parts.append(text)
-            if any(x[0] == "a" for x in stack):
+            if state.count["a"]:
                 linked.append(text + " ")
 
-    at = 0
-    while m := _TOKEN.search(page, at):
-        add(page[at : m.start()])
-        at = m.end()
-        name = (m[2] or "").lower()
-        if not name:
+    at, tag = 0, _TAG
+    while at < len(page):
+        start = page.find("<", at)
+        add(page[at:] if start < 0 else page[at:start])
+        if start < 0:
+            break
+        closer = next((c for o, c in (("<!--", "-->"), ("<![CDATA[", "]]>"), ("<!", ">"), ("<?", ">")) if page.startswith(o, start)), None)
+        if closer:
+            end = page.find(closer, start + 2)
+            at = len(page) if end < 0 else end + len(closer)
             continue
+        if not re.match(r"/?[a-zA-Z]", page[start + 1 : start + 3]):
+            add("<")
+            at = start + 1
+            continue
+        m = tag.match(page, start)
+        if not m and tag is _TAG:  # a quote is open to the page's end: from here on quotes are ordinary characters
+            tag = _PLAIN_TAG
+            m = tag.match(page, start)
+        if not m:  # the page's end has cut it
+            break
+        at, name = m.end(), m[2].lower()
         if name in BLOCK:
             flush()
         elif name == "br":
             add(" ")
         if m[1]:
-            if any(x[0] == name for x in stack):
-                if name == "p" or name not in BLOCK:  # inline ends don't reach over the block around them
-                    depth = next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name)
-                    if name == "p" or not any(x[0] in BLOCK for x in stack[depth:]):
-                        del stack[depth:]
-                else:
-                    while stack.pop()[0] != name:
-                        pass
+            state.close(name)
         elif name in _RAW:
             end = _RAW[name].search(page, at)
             at = end.end() if end else len(page)
         elif name not in VOID and not m[3].rstrip().endswith("/"):
-            if name in ("p", "li", "tr", "td", "th", "dt", "dd", "option") and stack:  # an end that may be left out
-                keep = {"p": ("p",), "li": ("li", "p"), "tr": ("tr", "td", "th", "p"), "td": ("td", "th", "p"), "th": ("td", "th", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "option": ("option",)}[name]
-                i = len(stack)
-                while i and (stack[i - 1][0] in keep or stack[i - 1][0] not in BLOCK and stack[i - 1][0] != "a"):
-                    i -= 1
-                if any(x[0] in keep for x in stack[i:]):
-                    del stack[i:]
-            marked, hidden = _is_marked(m[3])
-            stack.append((name, marked and name not in ("html", "body", "article", "main"), hidden or name in HIDDEN))
-    tail = page[at:]
-    if re.match(r"<[a-zA-Z/!]", last := tail[tail.rfind("<") :] if "<" in tail else "") and ">" not in last:
-        tail = tail[: tail.rfind("<")]  # a tag that the page's end has cut
-    add(tail)
+            if name in IMPLIED:
+                state.imply(name)
+            state.open(name, m[3])
     flush()
     return out
 
 
-FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "furniture", "marked", "article", "heading", "item", "outside")
+FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "furniture", "marked", "header", "article", "heading", "item", "outside")
+#: The order in which columns are asked where they are of equal worth: what tags say comes before counts.
+_ASKED = tuple(FEATURES.index(x) for x in ("furniture", "marked", "outside", "article", "density", "header", "density_before", "density_after", "words", "words_before", "words_after", "heading", "item"))
 
 
 def block_features(found: list[Block]) -> np.ndarray:
     """A row per block, columns as FEATURES."""
-    none = Block("", 0, 0, 0, 0, False, False, False)
+    none = Block("", 0, 0, 0, 0, 0, False, False, False)
     around = [none, *found, none]
     has = any(b.article for b in found)
     rows = [
-        (b.words, b.density, p.words, p.density, n.words, n.density, b.furniture, b.marked, b.article, b.heading, b.item, has and not b.article)
+        (b.words, b.density, p.words, p.density, n.words, n.density, b.furniture, b.marked, b.header, b.article, b.heading, b.item, has and not b.article)
         for p, b, n in zip(around, around[1:], around[2:], strict=False)
     ]
     return np.array(rows, np.float64).reshape(-1, len(FEATURES))
 
 
-#: The labelled table: blocks of pages written for this purpose, columns as FEATURES, then whether it is main text.
-LABELLED = np.array(
-    [
-        # pages with an article element: in it, headings, short and long paragraphs, links, lists; notes and adverts in it; all around it
-        (1, 1.0, 0, 0.0, 1, 1.0, 1, 0, 0, 0, 1, 1, 0), (1, 1.0, 1, 1.0, 9, 0.0, 1, 0, 0, 0, 1, 1, 0), (9, 0.0, 1, 1.0, 7, 0.0, 0, 1, 0, 0, 0, 1, 0),
-        (7, 0.0, 9, 0.0, 40, 0.0, 0, 0, 1, 1, 0, 0, 1), (40, 0.0, 7, 0.0, 2, 0.0, 0, 0, 1, 0, 0, 0, 1), (2, 0.0, 40, 0.0, 66, 0.05, 0, 0, 1, 0, 0, 0, 1),
-        (66, 0.05, 2, 0.0, 1, 0.0, 0, 0, 1, 0, 0, 0, 1), (1, 0.0, 66, 0.0, 12, 0.0, 0, 0, 1, 0, 0, 0, 1), (12, 0.0, 1, 0.0, 8, 0.0, 0, 0, 1, 0, 1, 0, 1),
-        (5, 0.0, 30, 0.0, 35, 0.0, 0, 0, 1, 0, 0, 0, 1), (3, 0.7, 20, 0.0, 25, 0.0, 0, 0, 1, 0, 0, 0, 1), (4, 1.0, 25, 0.0, 18, 0.0, 0, 0, 1, 0, 1, 0, 1),
-        (8, 0.0, 12, 0.0, 0, 0.0, 1, 0, 0, 0, 0, 1, 0), (25, 0.0, 12, 0.0, 0, 0.0, 1, 0, 0, 0, 0, 1, 0), (14, 0.0, 40, 0.0, 30, 0.0, 0, 1, 1, 0, 0, 0, 0),
-        (30, 0.0, 14, 0.0, 22, 0.0, 0, 1, 1, 0, 0, 0, 0), (22, 0.0, 30, 0.0, 6, 0.1, 1, 0, 1, 0, 0, 0, 0), (6, 0.1, 22, 0.0, 80, 0.0, 1, 1, 1, 1, 0, 0, 0),
-        (60, 0.0, 6, 0.0, 50, 0.0, 0, 2, 1, 0, 0, 0, 0), (50, 0.0, 60, 0.0, 9, 0.0, 0, 2, 0, 0, 0, 1, 0), (80, 0.0, 50, 0.0, 9, 0.0, 0, 1, 0, 0, 1, 1, 0),
-        (16, 0.0, 3, 1.0, 10, 0.0, 1, 1, 0, 0, 0, 1, 0), (3, 0.0, 16, 0.0, 45, 0.0, 1, 0, 0, 1, 0, 1, 0), (35, 0.0, 3, 0.0, 28, 0.0, 0, 0, 0, 0, 0, 1, 0),
-        (28, 0.0, 35, 0.0, 3, 1.0, 0, 0, 0, 0, 0, 1, 0), (6, 0.0, 28, 0.0, 4, 0.0, 0, 0, 0, 1, 0, 1, 0), (120, 0.0, 6, 0.0, 90, 0.0, 0, 0, 1, 0, 0, 0, 1),
-        (45, 0.0, 9, 0.0, 3, 0.0, 1, 1, 0, 0, 0, 1, 0), (70, 0.0, 45, 0.0, 70, 0.0, 1, 0, 1, 0, 0, 0, 0), (11, 0.0, 80, 0.0, 90, 0.0, 0, 1, 1, 0, 1, 0, 0),
-        (1, 0.0, 9, 0.0, 40, 0.0, 0, 0, 1, 1, 0, 0, 1), (1, 0.0, 9, 1.0, 40, 0.0, 0, 0, 1, 1, 0, 0, 1), (1, 0.0, 9, 0.0, 40, 1.0, 0, 0, 1, 1, 0, 0, 1),
-        (2, 0.0, 3, 0.0, 2, 0.0, 0, 0, 1, 1, 0, 0, 1), (2, 0.0, 3, 1.0, 2, 0.0, 0, 0, 1, 1, 0, 0, 1), (2, 0.0, 3, 0.0, 2, 1.0, 0, 0, 1, 1, 0, 0, 1),
-        (5, 0.0, 4, 0.0, 12, 0.0, 0, 0, 1, 1, 0, 0, 1), (5, 0.0, 4, 1.0, 12, 0.0, 0, 0, 1, 1, 0, 0, 1), (5, 0.0, 4, 0.0, 12, 1.0, 0, 0, 1, 1, 0, 0, 1),
-        (6, 0.0, 7, 0.0, 10, 0.0, 0, 0, 1, 1, 0, 0, 1), (6, 0.0, 7, 1.0, 10, 0.0, 0, 0, 1, 1, 0, 0, 1), (6, 0.0, 7, 0.0, 10, 1.0, 0, 0, 1, 1, 0, 0, 1),
-        (12, 0.0, 30, 0.0, 60, 0.0, 0, 0, 1, 1, 0, 0, 1), (12, 0.0, 30, 1.0, 60, 0.0, 0, 0, 1, 1, 0, 0, 1), (12, 0.0, 30, 0.0, 60, 1.0, 0, 0, 1, 1, 0, 0, 1),
-        (20, 0.0, 9, 0.0, 5, 0.0, 0, 0, 1, 1, 0, 0, 1), (20, 0.0, 9, 1.0, 5, 0.0, 0, 0, 1, 1, 0, 0, 1), (20, 0.0, 9, 0.0, 5, 1.0, 0, 0, 1, 1, 0, 0, 1),
-        (1, 0.0, 5, 0.0, 1, 0.0, 0, 0, 1, 0, 0, 0, 1), (1, 0.0, 5, 1.0, 1, 0.0, 0, 0, 1, 0, 0, 0, 1), (1, 0.0, 5, 0.0, 1, 1.0, 0, 0, 1, 0, 0, 0, 1),
-        (2, 0.0, 1, 0.0, 3, 0.0, 0, 0, 1, 0, 0, 0, 1), (2, 0.0, 1, 1.0, 3, 0.0, 0, 0, 1, 0, 0, 0, 1), (2, 0.0, 1, 0.0, 3, 1.0, 0, 0, 1, 0, 0, 0, 1),
-        (4, 0.0, 6, 0.0, 200, 0.0, 0, 0, 1, 0, 0, 0, 1), (4, 0.0, 6, 1.0, 200, 0.0, 0, 0, 1, 0, 0, 0, 1), (4, 0.0, 6, 0.0, 200, 1.0, 0, 0, 1, 0, 0, 0, 1),
-        (9, 0.0, 1, 0.0, 2, 0.0, 0, 0, 1, 0, 0, 0, 1), (9, 0.0, 1, 1.0, 2, 0.0, 0, 0, 1, 0, 0, 0, 1), (9, 0.0, 1, 0.0, 2, 1.0, 0, 0, 1, 0, 0, 0, 1),
-        (15, 0.0, 2, 0.0, 1, 0.0, 0, 0, 1, 0, 0, 0, 1), (15, 0.0, 2, 1.0, 1, 0.0, 0, 0, 1, 0, 0, 0, 1), (15, 0.0, 2, 0.0, 1, 1.0, 0, 0, 1, 0, 0, 0, 1),
-        (300, 0.0, 4, 0.0, 8, 0.0, 0, 0, 1, 0, 0, 0, 1), (300, 0.0, 4, 1.0, 8, 0.0, 0, 0, 1, 0, 0, 0, 1), (300, 0.0, 4, 0.0, 8, 1.0, 0, 0, 1, 0, 0, 0, 1),
-        (1, 1.0, 5, 0.0, 7, 0.0, 0, 0, 1, 0, 0, 0, 1), (1, 1.0, 5, 0.0, 7, 0.0, 0, 0, 1, 0, 1, 0, 1), (1, 1.0, 5, 0.0, 7, 0.0, 0, 0, 1, 1, 0, 0, 1),
-        (1, 1.0, 5, 0.0, 7, 0.0, 0, 0, 1, 1, 1, 0, 1), (4, 1.0, 5, 0.0, 7, 0.0, 0, 0, 1, 0, 0, 0, 1), (4, 1.0, 5, 0.0, 7, 0.0, 0, 0, 1, 0, 1, 0, 1),
-        (4, 1.0, 5, 0.0, 7, 0.0, 0, 0, 1, 1, 0, 0, 1), (4, 1.0, 5, 0.0, 7, 0.0, 0, 0, 1, 1, 1, 0, 1), (9, 1.0, 5, 0.0, 7, 0.0, 0, 0, 1, 0, 0, 0, 1),
-        (9, 1.0, 5, 0.0, 7, 0.0, 0, 0, 1, 0, 1, 0, 1), (9, 1.0, 5, 0.0, 7, 0.0, 0, 0, 1, 1, 0, 0, 1), (9, 1.0, 5, 0.0, 7, 0.0, 0, 0, 1, 1, 1, 0, 1),
-        (1, 0.0, 9, 0.0, 40, 0.0, 0, 0, 0, 0, 0, 1, 0), (1, 0.0, 9, 0.0, 40, 0.0, 0, 0, 0, 1, 0, 1, 0), (1, 0.3, 9, 0.0, 40, 0.0, 0, 0, 0, 0, 0, 1, 0),
-        (1, 0.3, 9, 0.0, 40, 0.0, 0, 0, 0, 1, 0, 1, 0), (4, 0.0, 2, 0.0, 3, 0.0, 0, 0, 0, 0, 0, 1, 0), (4, 0.0, 2, 0.0, 3, 0.0, 0, 0, 0, 1, 0, 1, 0),
-        (4, 0.3, 2, 0.0, 3, 0.0, 0, 0, 0, 0, 0, 1, 0), (4, 0.3, 2, 0.0, 3, 0.0, 0, 0, 0, 1, 0, 1, 0), (12, 0.0, 30, 0.0, 9, 0.0, 0, 0, 0, 0, 0, 1, 0),
-        (12, 0.0, 30, 0.0, 9, 0.0, 0, 0, 0, 1, 0, 1, 0), (12, 0.3, 30, 0.0, 9, 0.0, 0, 0, 0, 0, 0, 1, 0), (12, 0.3, 30, 0.0, 9, 0.0, 0, 0, 0, 1, 0, 1, 0),
-        (40, 0.0, 35, 0.0, 60, 0.0, 0, 0, 0, 0, 0, 1, 0), (40, 0.0, 35, 0.0, 60, 0.0, 0, 0, 0, 1, 0, 1, 0), (40, 0.3, 35, 0.0, 60, 0.0, 0, 0, 0, 0, 0, 1, 0),
-        (40, 0.3, 35, 0.0, 60, 0.0, 0, 0, 0, 1, 0, 1, 0), (150, 0.0, 80, 0.0, 90, 0.0, 0, 0, 0, 0, 0, 1, 0), (150, 0.0, 80, 0.0, 90, 0.0, 0, 0, 0, 1, 0, 1, 0),
-        (150, 0.3, 80, 0.0, 90, 0.0, 0, 0, 0, 0, 0, 1, 0), (150, 0.3, 80, 0.0, 90, 0.0, 0, 0, 0, 1, 0, 1, 0),
-        # pages without one: what is left over must tell main text from the rest
-        (2, 1.0, 0, 0.0, 2, 1.0, 0, 0, 0, 0, 1, 0, 0), (2, 1.0, 2, 1.0, 3, 1.0, 0, 0, 0, 0, 1, 0, 0), (3, 1.0, 2, 1.0, 8, 0.0, 0, 0, 0, 0, 1, 0, 0),
-        (8, 0.0, 3, 1.0, 45, 0.0, 0, 0, 0, 1, 0, 0, 1), (45, 0.0, 8, 0.0, 60, 0.02, 0, 0, 0, 0, 0, 0, 1), (60, 0.02, 45, 0.0, 3, 0.0, 0, 0, 0, 0, 0, 0, 1),
-        (3, 0.0, 60, 0.0, 52, 0.0, 0, 0, 0, 0, 0, 0, 1), (52, 0.0, 3, 0.0, 24, 0.0, 0, 0, 0, 0, 0, 0, 1), (24, 0.0, 52, 0.0, 5, 0.9, 0, 0, 0, 0, 0, 0, 1),
-        (5, 0.9, 24, 0.0, 4, 1.0, 0, 0, 0, 0, 0, 0, 0), (4, 1.0, 5, 0.9, 6, 0.8, 0, 0, 0, 0, 0, 0, 0), (6, 0.8, 4, 1.0, 0, 0.0, 0, 0, 0, 0, 0, 0, 0),
-        (9, 0.0, 3, 1.0, 2, 1.0, 0, 1, 0, 0, 0, 0, 0), (40, 0.0, 9, 0.0, 38, 0.0, 0, 1, 0, 0, 0, 0, 0), (38, 0.0, 40, 0.0, 5, 0.0, 0, 1, 0, 0, 1, 0, 0),
-        (15, 0.0, 20, 0.0, 0, 0.0, 1, 0, 0, 0, 0, 0, 0), (7, 0.0, 40, 0.0, 33, 0.0, 1, 0, 0, 1, 0, 0, 0), (33, 0.0, 7, 0.0, 12, 0.0, 1, 0, 0, 0, 0, 0, 0),
-        (1, 0.0, 30, 0.0, 40, 0.0, 0, 0, 0, 0, 0, 0, 1), (10, 0.0, 30, 0.0, 11, 0.0, 0, 0, 0, 0, 1, 0, 1), (11, 0.2, 10, 0.0, 40, 0.0, 0, 0, 0, 0, 1, 0, 1),
-        (6, 0.0, 4, 1.0, 10, 0.0, 1, 0, 0, 0, 1, 0, 0), (200, 0.01, 6, 0.0, 0, 0.0, 0, 0, 0, 0, 0, 0, 1), (1, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 0, 0, 1),
-        (1, 0.0, 30, 0.0, 40, 0.0, 0, 0, 0, 0, 0, 0, 1), (1, 0.0, 30, 0.0, 40, 0.0, 1, 0, 0, 0, 0, 0, 0), (1, 0.0, 30, 0.0, 40, 0.0, 0, 1, 0, 0, 0, 0, 0),
-        (1, 0.2, 30, 0.0, 40, 0.0, 0, 0, 0, 0, 0, 0, 1), (1, 0.2, 30, 0.0, 40, 0.0, 1, 0, 0, 0, 0, 0, 0), (1, 0.2, 30, 0.0, 40, 0.0, 0, 1, 0, 0, 0, 0, 0),
-        (1, 0.7, 30, 0.0, 40, 0.5, 0, 0, 0, 0, 1, 0, 0), (1, 1.0, 30, 0.0, 40, 0.5, 0, 0, 0, 0, 1, 0, 0), (5, 0.0, 8, 0.0, 60, 0.0, 0, 0, 0, 0, 0, 0, 1),
-        (5, 0.0, 8, 0.0, 60, 0.0, 1, 0, 0, 0, 0, 0, 0), (5, 0.0, 8, 0.0, 60, 0.0, 0, 1, 0, 0, 0, 0, 0), (5, 0.2, 8, 0.0, 60, 0.0, 0, 0, 0, 0, 0, 0, 1),
-        (5, 0.2, 8, 0.0, 60, 0.0, 1, 0, 0, 0, 0, 0, 0), (5, 0.2, 8, 0.0, 60, 0.0, 0, 1, 0, 0, 0, 0, 0), (5, 0.7, 8, 0.0, 60, 0.5, 0, 0, 0, 0, 1, 0, 0),
-        (5, 1.0, 8, 0.0, 60, 0.5, 0, 0, 0, 0, 1, 0, 0), (9, 0.0, 3, 0.0, 45, 0.0, 0, 0, 0, 1, 0, 0, 1), (9, 0.0, 3, 0.0, 45, 0.0, 1, 0, 0, 1, 0, 0, 0),
-        (9, 0.0, 3, 0.0, 45, 0.0, 0, 1, 0, 1, 0, 0, 0), (9, 0.2, 3, 0.0, 45, 0.0, 0, 0, 0, 1, 0, 0, 1), (9, 0.2, 3, 0.0, 45, 0.0, 1, 0, 0, 1, 0, 0, 0),
-        (9, 0.2, 3, 0.0, 45, 0.0, 0, 1, 0, 1, 0, 0, 0), (9, 0.7, 3, 0.0, 45, 0.5, 0, 0, 0, 0, 0, 0, 0), (9, 1.0, 3, 0.0, 45, 0.5, 0, 0, 0, 0, 0, 0, 0),
-        (20, 0.0, 12, 0.0, 15, 0.0, 0, 0, 0, 0, 0, 0, 1), (20, 0.0, 12, 0.0, 15, 0.0, 1, 0, 0, 0, 0, 0, 0), (20, 0.0, 12, 0.0, 15, 0.0, 0, 1, 0, 0, 0, 0, 0),
-        (20, 0.2, 12, 0.0, 15, 0.0, 0, 0, 0, 0, 0, 0, 1), (20, 0.2, 12, 0.0, 15, 0.0, 1, 0, 0, 0, 0, 0, 0), (20, 0.2, 12, 0.0, 15, 0.0, 0, 1, 0, 0, 0, 0, 0),
-        (20, 0.7, 12, 0.0, 15, 0.5, 0, 0, 0, 0, 0, 0, 0), (20, 1.0, 12, 0.0, 15, 0.5, 0, 0, 0, 0, 0, 0, 0), (60, 0.0, 20, 0.0, 9, 0.0, 0, 0, 0, 0, 0, 0, 1),
-        (60, 0.0, 20, 0.0, 9, 0.0, 1, 0, 0, 0, 0, 0, 0), (60, 0.0, 20, 0.0, 9, 0.0, 0, 1, 0, 0, 0, 0, 0), (60, 0.2, 20, 0.0, 9, 0.0, 0, 0, 0, 0, 0, 0, 1),
-        (60, 0.2, 20, 0.0, 9, 0.0, 1, 0, 0, 0, 0, 0, 0), (60, 0.2, 20, 0.0, 9, 0.0, 0, 1, 0, 0, 0, 0, 0), (60, 0.7, 20, 0.0, 9, 0.5, 0, 0, 0, 0, 0, 0, 0),
-        (60, 1.0, 20, 0.0, 9, 0.5, 0, 0, 0, 0, 0, 0, 0), (150, 0.0, 80, 0.0, 90, 0.0, 0, 0, 0, 0, 0, 0, 1), (150, 0.0, 80, 0.0, 90, 0.0, 1, 0, 0, 0, 0, 0, 0),
-        (150, 0.0, 80, 0.0, 90, 0.0, 0, 1, 0, 0, 0, 0, 0), (150, 0.2, 80, 0.0, 90, 0.0, 0, 0, 0, 0, 0, 0, 1), (150, 0.2, 80, 0.0, 90, 0.0, 1, 0, 0, 0, 0, 0, 0),
-        (150, 0.2, 80, 0.0, 90, 0.0, 0, 1, 0, 0, 0, 0, 0), (150, 0.7, 80, 0.0, 90, 0.5, 0, 0, 0, 0, 0, 0, 0), (150, 1.0, 80, 0.0, 90, 0.5, 0, 0, 0, 0, 0, 0, 0),
-    ],
-    np.float64,
-)
-
-
-def grow(rows: np.ndarray, depth: int = 6) -> tuple:
+def labelled(pages: list[str]) -> np.ndarray:
+    """Features of the pages' blocks, then whether they are main text."""
+    rows = []
+    for page in pages:
+        found = blocks(page)
+        rows.append(np.column_stack([block_features(found), [b.labelled for b in found]]))
+    return np.concatenate(rows)
+
+
+def grow(rows: np.ndarray, depth: int = 8) -> tuple:
     """A decision tree by Gini impurity: (share of main text,) or (column, limit, tree up to it, tree above it)."""
     y = rows[:, -1]
     share = float(y.mean())
     best = (2 * share * (1 - share) * len(y), None, None)
     if depth and 0 < share < 1:
-        # what the tags say is asked before counts of equal worth
-        for column in (6, 7, 11, 8, 1, 9, 3, 5, 0, 2, 4, 10):
+        for column in _ASKED:
             values = np.unique(rows[:, column])
             for limit in (values[1:] + values[:-1]) / 2:
                 left = rows[:, column] <= limit
@@ -262,7 +267,7 @@ def main_text(page: str | None, tree: tuple) -> str:
 def extract(pages: DataFrame) -> DataFrame:
     """One row per page: page_id, url, text, n_chars."""
     ship(pages.sparkSession)
-    tree = grow(LABELLED)
+    tree = grow(labelled(html_pages.pages()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -10,7 +10,7 @@ from fractions import Fraction
 import numpy as np
 import pytest
 
-from scriptorium.llm import exact_dedup, html_text, line_dedup, minhash, mixing, packing, quality, sharding, simhash, substring_dedup, words
+from scriptorium.llm import exact_dedup, html_pages, html_text, line_dedup, minhash, mixing, packing, quality, sharding, simhash, substring_dedup, words
 from scriptorium.llm.components import connected_components
 
 from .conftest import make
@@ -110,6 +110,48 @@ def test_html(spark, empty):
     assert all(r.n_chars == len(r.text) for r in out.values())
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<div class="post-header"><p>An introduction of a few words that opens the page.</p></div><p>More text of the same page follows here.</p>', "An introduction of a few words that opens the page.\nMore text of the same page follows here."),
+        ('<p title="a"">hello to all who read this page</p>', "hello to all who read this page"),
+        ('<p title="a > b">one tag only here</p>', "one tag only here"),
+        ("<p>1 < 2 and 3 > 2 are true as everyone knows", "1 < 2 and 3 > 2 are true as everyone knows"),
+        ("<p>cut at its end <a href='x", "cut at its end"),
+        ('<div class="with-sidebar"><main><h1>Title</h1><p>Text.</p></main></div>', "Title\nText."),
+        ("<p>&amp;lt; &#65;&#x42; &nbsp; x&nbsp;y and so on it goes for a while</p>", "&lt; AB x y and so on it goes for a while"),
+        ('<article><p>kept<!-- not > this --> and <![CDATA[ nor this ]]>kept</p><p hidden>no</p><p style="display: none">no</p></article>', "kept and kept"),
+    ],
+)
+def test_main_text(page, text):
+    assert html_text.main_text(page, html_text.grow(html_text.labelled(html_pages.pages()))) == text
+
+
+def test_tree_holds_on_pages_left_out():
+    """Leave one page out: what README states."""
+    pages = html_pages.pages()
+    right = total = 0
+    for i, page in enumerate(pages):
+        rows = html_text.labelled([page])
+        tree = html_text.grow(html_text.labelled(pages[:i] + pages[i + 1 :]))
+        right += int((html_text.classify(tree, rows[:, :-1]) == rows[:, -1]).sum())
+        total += len(rows)
+    assert total == 236 and right / total > 0.96
+    tree = html_text.grow(html_text.labelled(pages))
+    asked = lambda t: set() if len(t) == 1 else {html_text.FEATURES[t[0]]} | asked(t[2]) | asked(t[3])
+    assert {"words", "density", "density_before", "density_after"} <= asked(tree)
+
+
+@pytest.mark.parametrize("unit", ["<div><b>x ", '<a href="x ', "<b><p>x</p>", '=>"<a b="', "<table><tr><td>x", "<!-- ", "</"])
+def test_pages_take_time_in_proportion(unit):
+    import time
+
+    tree = html_text.grow(html_text.labelled(html_pages.pages()))
+    began = time.process_time()
+    html_text.main_text(unit * (1_000_000 // len(unit)), tree)
+    assert time.process_time() - began < 20
+
+
 def tokenizer():
     import public_tokenizers
     from tokenizers import Tokenizer
