@@ -223,9 +223,11 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     anchors = parsed.select("doc_id", "h", F.posexplode(F.arrays_zip("grams", "blocks")).alias("k", "a")).select(
         "doc_id", "h", "k", F.col("a.grams").alias("g"), F.col("a.blocks").alias("b")
     )
-    repeated = anchors.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("g")
+    # both written out: joins of plain tables, which adaptive execution splits where one passage is hot
+    repeated = materialize(anchors.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("g"), "repeated")
     shared = materialize(anchors.join(repeated, "g"), "shared")
     index = shared.filter("b <> 0").groupBy("g", "b").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "h", "k")).alias("first")).filter("n > 1").drop("n")
+    index = materialize(index, "index")
     marked = shared.join(index, ["g", "b"], "left").select(
         "doc_id", "h", F.struct("k", F.col("first").isNotNull().alias("solid"), F.coalesce(F.col("first") == F.struct("doc_id", "h", "k"), F.lit(False)).alias("reference")).alias("mark")
     )
