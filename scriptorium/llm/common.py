@@ -42,16 +42,16 @@ def shared_dir(spark: SparkSession) -> str:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def materialize(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
+def materialize(df: DataFrame, label: str, codec: str = "zstd", cleanup: bool = True) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there and lost executors cost no recomputation.
 
-    The shuffles behind df have done their work then, and their files go. What is written stays until the application's
+    The shuffles behind df have done their work then, and with `cleanup` their files go. What is written stays until the application's
     folder (`shared_dir`) is removed: a result that is read later may still need it.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEANUP)
-    spark.conf.set(_CLEANUP, "true")
+    spark.conf.set(_CLEANUP, str(cleanup).lower())
     try:
         df.write.option("compression", codec).parquet(path)
     finally:

@@ -36,7 +36,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     merged = salted.groupBy("digest", "norm").agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))
     # How many contents a digest has: where it is one, all rows of the digest have been compared and are equal.
     thin = merged.select("digest", F.xxhash64("norm").alias("content"), F.octet_length("norm").alias("len"), "keep_id", "group_size")
-    found = materialize(thin.withColumn("contents", F.count(F.lit(1)).over(Window.partitionBy("digest"))), "winners")
+    found = materialize(thin.withColumn("contents", F.count(F.lit(1)).over(Window.partitionBy("digest"))), "winners", cleanup=False)
     nth = F.row_number().over(Window.partitionBy("doc_id", "digest").orderBy(F.lit(1)))
     ids = rows.select("doc_id", "digest").withColumn("nth", nth).join(found.filter("contents = 1"), "digest")
     out = ("doc_id", "keep_id", "group_size", "nth", "digest")
