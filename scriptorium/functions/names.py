@@ -13,8 +13,12 @@ CAP = "[A-ZÀ-ɏ]"
 INITIALS = rf"{CAP}\.(?:[-\s]*{CAP}\.)*"
 PERSON = "struct<family:string,given:string,literal:string>"
 _ET_AL = r",\s*et al\.?|\bet al\.?"
-#: Words that mark an organisation.
-ORGANISATIONS = r"(?i)\b(Inc|Ltd|LLC|Corp|Corporation|Company|Universit[a-z]+|Institute|Association|Academy|Society|Foundation|Organiz|Agency|Department|Ministry|College|Committee|Council|Government|WHO|UNESCO|IEEE|ACM)\b"
+#: Words that name a kind of organisation; a longer list costs nothing but a longer pattern.
+_BODIES = "Agency Association Authority Board Bureau Center Centre Collaboration College Commission Committee Company Consortium Consulting Corporation Council Department Federation Foundation Government Group Institute Institution Laboratory Ministry Network Office Organisation Organization Society Team Union University"
+ORGANISATIONS = r"\b(?i:" + "|".join(_BODIES.split()) + r")\b|\b(?:Inc|Ltd|LLC|Corp|GmbH|AG|SA)\b"
+#: Two or more capitalised words without stops and commas, small words between them.
+_CAPITALISED = r"\p{Lu}[\p{L}\p{N}'’-]+"
+_BODY_NAME = rf"^{_CAPITALISED}(?:\s+(?:{_CAPITALISED}|\p{{Lu}}|&|and|for|in|of|on|the))*\s+{_CAPITALISED}$"
 
 _JOINT = "\u0002"
 #: style -> (order of a name's parts, where the list is split)
@@ -52,8 +56,8 @@ def _in(style: str, names: tuple[str, ...]) -> str:
 
 
 def looks_like_org_sql(b: str) -> str:
-    """Several capitalised words without initials and without `Family, Given`."""
-    return f"(not rlike({b}, {quote(CAP + '[.]')}) and not rlike({b}, {quote('^[^,]+,' + chr(92) + 's+[A-Z]')}) and rlike({b}, '^[A-Z][A-Za-z].* [A-Z]'))"
+    """Whether a block reads as the name of one organisation."""
+    return f"rlike({b}, {quote(_BODY_NAME)})"
 
 
 def people_sql(style: str, block: str) -> str:
@@ -64,7 +68,7 @@ def people_sql(style: str, block: str) -> str:
     """
     start = f"trim(get(split(regexp_replace({block}, '^[&\\\\s]+', ''), {quote(_ET_AL)}), 0))"
     clean = f"if({_in(style, _KEEPS_DOT)}, {start}, regexp_replace({start}, '[.,;\\\\s]+$', ''))"
-    inverted = f"if({_in(style, _INVERTED)}, regexp_replace(b, {quote(r'^([^,]+),' + chr(92) + r's+([^,]+?)(?=,|' + chr(92) + r's+and' + chr(92) + r's|' + chr(92) + r'z)')}, {quote('$1' + _JOINT + '$2')}), b)"
+    inverted = f"if({_in(style, _INVERTED)}, regexp_replace(b, {quote(r'^([^,]+),\s+([^,]+?)(?=,|\s+and\s|\z)')}, {quote('$1' + _JOINT + '$2')}), b)"
     by_pattern: dict[str, list[str]] = {}
     for name, (_, pattern) in CONVENTIONS.items():
         by_pattern.setdefault(pattern, []).append(name)
@@ -76,14 +80,14 @@ def people_sql(style: str, block: str) -> str:
     suffixed = quote(r"(?i)^(.+?)\s(\S+\s+(?:Jr|Sr|II|III|IV))\.?\z")
     named = (
         f"case when contains(n, {quote(_JOINT)}) then {_named(f'trim(get(split(n, {quote(_JOINT)}), 0))', f'trim(get(split(n, {quote(_JOINT)}), 1))')}"
-        f" when {order('family first')} then if(contains(n, ','), {_named('trim(substring_index(n, chr(44), 1))', 'trim(substr(n, instr(n, chr(44)) + 1))')}, {_named(literal='n')})"
-        f" when {order('family, initials')} then {_named('get(split(n, chr(32)), 0)', "nullif(trim(substr(n, length(get(split(n, chr(32)), 0)) + 1)), '')")}"
+        f" when {order('family first')} then if(contains(n, ','), {_named("trim(substring_index(n, ',', 1))", "trim(substr(n, instr(n, ',') + 1))")}, {_named(literal='n')})"
+        f" when {order('family, initials')} then {_named("get(split(n, ' '), 0)", "nullif(trim(substr(n, length(get(split(n, ' '), 0)) + 1)), '')")}"
         f" when {style} = 'acm' and (rlike(n, {quote(ORGANISATIONS)}) or rlike(n, '^[A-Z][A-Z0-9 &.-]{{3,}}$')) then {_named(literal='n')}"
         f" when {style} = 'acm' and rlike(n, {suffixed}) then {_named(f'regexp_extract(n, {suffixed}, 2)', f'regexp_extract(n, {suffixed}, 1)')}"
         f" when rlike(n, {two}) then {_named(f'regexp_extract(n, {two}, 2)', f'regexp_extract(n, {two}, 1)')} else {_named(literal='n')} end"
     )
     each = f"transform(filter(transform({parts}, x -> {bare}), n -> n <> ''), n -> {named})"
-    initialled = f"({style} = 'vancouver' and rlike(b, {quote(chr(92) + 's' + CAP + '{1,3}' + chr(92) + 'z')}))"
+    initialled = f"({style} = 'vancouver' and rlike(b, {quote(rf'\s{CAP}{{1,3}}\z')}))"
     org = f"({looks_like_org_sql('b')} and not {initialled} and not ({style} in ('acs', 'nature', 'acm')))"
     return _let("b", clean, f"case when b = '' then cast(array() as array<{PERSON}>) when {org} and not contains(b, ',') and not rlike(b, ' and ') then array({_named(literal='b')}) else {each} end")
 

@@ -18,26 +18,26 @@ def scan(spark: SparkSession, pattern: str) -> DataFrame:
     return good.select(F.regexp_extract("_path", r"([^/]+)/[^/]+\z", 1).alias("slug"), "title", "description", "created", F.coalesce("tags", F.array().cast("array<string>")).alias("tags"))
 
 
-def newest_first(tools: DataFrame) -> DataFrame:
+def newest_first(entries: DataFrame) -> DataFrame:
     """Newest first, undated last, then by slug."""
-    return tools.orderBy(F.coalesce("created", F.lit("")).desc(), "slug")
+    return entries.orderBy(F.coalesce("created", F.lit("")).desc(), "slug")
 
 
-def tag_list(tools: DataFrame, tags: str = "tags") -> DataFrame:
-    return tools.select(F.explode(tags).alias("tag")).distinct().orderBy("tag")
+def tag_list(entries: DataFrame, tags: str = "tags") -> DataFrame:
+    return entries.select(F.explode(tags).alias("tag")).distinct().orderBy("tag")
 
 
-def search(tools: DataFrame, query: str = "", wanted: tuple[str, ...] = ()) -> DataFrame:
+def search(entries: DataFrame, query: str = "", wanted: tuple[str, ...] = ()) -> DataFrame:
     """Rows whose title, description and tags hold the query (case ignored) and that have all wanted tags."""
     text = F.lower(F.concat_ws(" ", "title", "description", F.array_join("tags", " ")))
-    return tools.filter(F.contains(text, F.lit(query.strip().lower())) & F.forall(F.array(*map(F.lit, wanted)).cast("array<string>"), lambda t: F.array_contains("tags", t)))
+    return entries.filter(F.contains(text, F.lit(query.strip().lower())) & F.forall(F.array(*map(F.lit, wanted)).cast("array<string>"), lambda t: F.array_contains("tags", t)))
 
 
-def lookup(tools: DataFrame, slug: str | None) -> DataFrame:
-    """The tool of that slug; without one, the first of the catalogue; for an unknown one, no row."""
+def lookup(entries: DataFrame, slug: str | None) -> DataFrame:
+    """The entry of that slug; without one, the first of the catalogue; for an unknown one, no row."""
     if slug:
-        return tools.filter(F.col("slug") == slug)
-    return newest_first(tools).limit(1)
+        return entries.filter(F.col("slug") == slug)
+    return newest_first(entries).limit(1)
 
 
 def escape_html(c: Column) -> Column:
@@ -46,9 +46,9 @@ def escape_html(c: Column) -> Column:
     return c
 
 
-def cards(tools: DataFrame) -> DataFrame:
+def cards(entries: DataFrame) -> DataFrame:
     """(slug, html, data): a list entry with escaped text, and its JSON safe to stand in a script element."""
     tag_items = F.array_join(F.transform("tags", lambda t: F.concat(F.lit("<li>"), escape_html(t), F.lit("</li>"))), "")
     card = F.concat(F.lit('<a href="'), escape_html(F.col("slug")), F.lit('/"><h2>'), escape_html(F.col("title")), F.lit("</h2><p>"), escape_html(F.col("description")), F.lit("</p><ul>"), tag_items, F.lit("</ul></a>"))
     data = F.replace(F.to_json(F.struct("slug", "title", "description", "created", "tags")), F.lit("</"), F.lit("<\\/"))
-    return tools.select("slug", card.alias("html"), data.alias("data"))
+    return entries.select("slug", card.alias("html"), data.alias("data"))

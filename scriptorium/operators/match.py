@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,43 +50,54 @@ def container_ok(a: Column, b: Column) -> Column:
     return F.when((x == "") & (y == ""), True).when((x == "") | (y == ""), False).otherwise(near)
 
 
+def _side(rows: DataFrame, key: str, ordinal: str, prefix: str) -> DataFrame:
+    return rows.select(key, F.col("ordinal").alias(ordinal), F.col("year").alias(f"{prefix}_year"), tokens(F.col("title")).alias(f"{prefix}_tokens"))
+
+
+def _sharing_a_token(p: DataFrame, e: DataFrame, key: str) -> DataFrame:
+    """(key, i, j) of a document's titles that share a word, or have none both."""
+    words = lambda c: F.explode(F.when(F.size(c) > 0, F.col(c)).otherwise(F.array(F.lit("")))).alias("word")
+    return p.select(key, "i", words("p_tokens")).join(e.select(key, "j", words("e_tokens")), [key, "word"]).select(key, "i", "j").distinct()
+
+
 def match_year_first(parsed: DataFrame, expected: DataFrame, key: str = "doc_id") -> DataFrame:
     """Each expected item's match: the first parsed one of its year, else the best title from 0.6 on; many may share one.
 
     parsed and expected have (key, ordinal, year, title). Pairs arise inside a document only, on year or shared tokens.
     """
-    p = parsed.select(key, F.col("ordinal").alias("i"), F.col("year").alias("p_year"), tokens(F.col("title")).alias("p_tokens"))
-    e = expected.select(key, F.col("ordinal").alias("j"), F.col("year").alias("e_year"), tokens(F.col("title")).alias("e_tokens"))
-    same = e.join(p, (e[key] == p[key]) & (e["e_year"] == p["p_year"])).groupBy(e[key], "j").agg(F.min("i").alias("i"))
+    p, e = _side(parsed, key, "i", "p"), _side(expected, key, "j", "e")
+    same = e.join(p.withColumn("e_year", F.col("p_year")), [key, "e_year"]).groupBy(key, "j").agg(F.min("i").alias("i"))
     rest = e.join(same.select(key, "j"), [key, "j"], "left_anti")
-    near = rest.join(p, key).withColumn("s", token_similarity(F.col("p_tokens"), F.col("e_tokens"))).filter("s >= 0.6")
+    near = _sharing_a_token(p, rest, key).join(p, [key, "i"]).join(rest, [key, "j"])
+    near = near.withColumn("s", token_similarity(F.col("p_tokens"), F.col("e_tokens"))).filter("s >= 0.6")
     best = near.groupBy(key, "j").agg(F.min_by("i", F.struct((-F.col("s")).alias("s"), "i")).alias("i"))
     return same.select(key, "j", "i").union(best.select(key, "j", "i"))
 
 
 def candidate_pairs(parsed: DataFrame, expected: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, i, j, s): pairs of a document with equal year or title similarity from 0.6; s = 2 * equal year + similarity."""
-    p = parsed.select(key, F.col("ordinal").alias("i"), F.col("year").alias("p_year"), tokens(F.col("title")).alias("p_tokens"))
-    e = expected.select(key, F.col("ordinal").alias("j"), F.col("year").alias("e_year"), tokens(F.col("title")).alias("e_tokens"))
+    """(key, i, j, s): pairs of a document with equal year or title similarity from 0.6; s = 2 * equal year + similarity.
+
+    Pairs arise on a year or a word of the title that both have, so a large document isn't paired with itself whole.
+    """
+    p, e = _side(parsed, key, "i", "p"), _side(expected, key, "j", "e")
+    same = p.withColumn("year", F.col("p_year")).join(e.withColumn("year", F.col("e_year")), [key, "year"]).select(key, "i", "j")
+    both = same.union(_sharing_a_token(p, e, key)).distinct().join(p, [key, "i"]).join(e, [key, "j"])
     equal = F.coalesce((F.col("p_year") == F.col("e_year")).cast("int"), F.lit(0))
-    pairs = p.join(e, key).withColumn("sim", token_similarity(F.col("p_tokens"), F.col("e_tokens"))).withColumn("eq", equal)
+    pairs = both.withColumn("sim", token_similarity(F.col("p_tokens"), F.col("e_tokens"))).withColumn("eq", equal)
     return pairs.filter((F.col("eq") == 1) | (F.col("sim") >= 0.6)).select(key, "i", "j", (2 * F.col("eq") + F.col("sim")).alias("s"))
 
 
 def greedy_one_to_one(pairs: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, i, j, s): best pairs first, each i and j once; ties by i, then j. A group is one document's bibliography."""
+    kinds = dict(pairs.dtypes)
+    none = F.array().cast(f"array<struct<worth:double,i:{kinds['i']},j:{kinds['j']}>>")
+    best_first = F.array_sort(F.collect_list(F.struct((-F.col("s")).cast("double").alias("worth"), "i", "j")))
 
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["s", "i", "j"], ascending=[False, True, True])
-        used_i, used_j, rows = set(), set(), []
-        for n, (i, j) in enumerate(zip(pdf["i"], pdf["j"], strict=True)):
-            if i not in used_i and j not in used_j:
-                used_i.add(i)
-                used_j.add(j)
-                rows.append(n)
-        return pdf.iloc[rows]
+    def taken(so_far: Column, x: Column) -> Column:
+        return F.when(F.exists(so_far, lambda t: (t["i"] == x["i"]) | (t["j"] == x["j"])), so_far).otherwise(F.array_append(so_far, x))
 
-    return pairs.groupBy(key).applyInPandas(pick, pairs.schema)
+    chosen = pairs.groupBy(key).agg(best_first.alias("_pairs")).select(key, F.explode(F.aggregate("_pairs", none, taken)).alias("_t"))
+    return chosen.select(key, "_t.i", "_t.j", (-F.col("_t.worth")).alias("s"))
 
 
 def mutual_best(pairs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -151,12 +161,14 @@ def title_probe(docs: DataFrame, refs: DataFrame, words: int = 5) -> DataFrame:
         return F.replace(c, F.lit(" "), F.lit(""))
 
     probe = lambda c: F.array_join(F.slice(F.split(c, " "), 1, words), " ")
-    both = refs.join(docs, "doc_id")
-    plain, joined = normalize_for_match(F.col("text")), normalize_for_match(F.col("text"), True)
-    want = probe(normalize_for_match(F.col("title")))
-    want_joined = probe(normalize_for_match(F.col("title"), True))
-    found = plain.contains(want) | joined.contains(want_joined) | squashed(plain).contains(squashed(want)) | squashed(joined).contains(squashed(want_joined))
-    return both.select("doc_id", "ref_id", found.alias("found"))
+    # a document's text is put in order once, before its titles meet it
+    forms = {"plain": normalize_for_match(F.col("text")), "joined": normalize_for_match(F.col("text"), True)}
+    ready = docs.select("doc_id", *(v.alias(f"_{k}") for k, v in forms.items()))
+    ready = ready.select("*", *(squashed(F.col(f"_{k}")).alias(f"_{k}_squashed") for k in forms))
+    want = {"plain": probe(normalize_for_match(F.col("title"))), "joined": probe(normalize_for_match(F.col("title"), True))}
+    wanted = refs.select("doc_id", "ref_id", *(v.alias(f"_want_{k}") for k, v in want.items()))
+    found = [F.col(f"_{k}").contains(F.col(f"_want_{k}")) | F.col(f"_{k}_squashed").contains(squashed(F.col(f"_want_{k}"))) for k in forms]
+    return wanted.join(ready, "doc_id").select("doc_id", "ref_id", (found[0] | found[1]).alias("found"))
 
 
 def report_rows(table: DataFrame, label: str, counts: list[tuple[str, str, str]], width: int = 34) -> DataFrame:

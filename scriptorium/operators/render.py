@@ -142,6 +142,15 @@ def _people(short: Callable[[Column], Column] | None = None, first: str = "famil
     return name_list(shown, **kw)
 
 
+def _issue() -> Column:
+    """The issue; a range has an en dash like pages."""
+    return F.regexp_replace(C("issue"), r"(?<=\w)\s*-\s*(?=\w)", "–")
+
+
+def _numbered_issue() -> Column:
+    return join(" ", F.when(C("issue").isNotNull(), page_label(C("issue"), "no.", "nos.")), _issue())
+
+
 def _link() -> Column:
     return F.coalesce(cat("https://doi.org/", C("doi")), C("url"))
 
@@ -161,7 +170,7 @@ def _stop(c: Column) -> Column:
 
 def apa() -> Column:
     who = _people(initials, last=", & ", least=21, shown=19, use_last=True)
-    vip = join(", ", join("", C("volume"), cat("(", C("issue"), ")")), pages(C("page")))
+    vip = join(", ", join("", C("volume"), cat("(", _issue(), ")")), pages(C("page")))
     ed = _people(initials, first="given", others="given", col="editor", last=", & ", two=" & ")
     head = cat(who, " (", F.coalesce(C("year").cast("string"), F.lit("n.d.")), "). ")
     home = _kinds(
@@ -183,7 +192,7 @@ def harvard() -> Column:
         chapter=cat(q, " in ", join(" ", cat(ed, " (eds.)"), C("container")), ". ", join(", ", join(": ", C("place"), C("publisher")), pp), "."),
         conference=cat(q, " ", join(", ", C("container"), pp), "."), book=cat(C("title"), ". ", join(": ", C("place"), C("publisher")), "."),
         thesis=cat(C("title"), ". ", F.coalesce(C("genre"), F.lit("PhD thesis")), ". ", C("publisher"), "."), web=cat(join(", ", C("title"), C("container")), "."),
-        other=cat(q, " ", join(", ", C("container"), join("", C("volume"), cat("(", C("issue"), ")")), pp), "."),
+        other=cat(q, " ", join(", ", C("container"), join("", C("volume"), cat("(", _issue(), ")")), pp), "."),
     )
     return join(" ", who, cat("(", F.coalesce(C("year").cast("string"), F.lit("no date")), ")"), home, cat("Available at: ", _link(), "."))
 
@@ -202,7 +211,7 @@ def chicago_author_date() -> Column:
     home = _kinds(
         chapter=cat(q, " In ", join(", ", C("container"), cat("edited by ", _editors())), ". ", C("publisher"), "."), conference=cat(q, " ", join(", ", join(" ", C("container"), cat("(", C("place"), ")")), pg), "."),
         book=cat(title_case(C("title")), ". ", C("publisher"), "."), thesis=cat(q, " ", F.coalesce(C("genre"), F.lit("PhD thesis")), ", ", C("publisher"), "."), web=cat(q, " ", C("container"), "."),
-        other=cat(q, " ", join(": ", join(" ", C("container"), C("volume"), cat("(", C("issue"), ")")), pg), "."),
+        other=cat(q, " ", join(": ", join(" ", C("container"), C("volume"), cat("(", _issue(), ")")), pg), "."),
     )
     return join(" ", _stop(_chicago_people()), cat(C("year").cast("string"), "."), home, cat(_link(), "."))
 
@@ -213,7 +222,7 @@ def chicago_notes() -> Column:
     home = _kinds(
         chapter=cat(q, " In ", join(", ", C("container"), cat("edited by ", _editors())), ". ", join(", ", C("publisher"), year), "."), conference=cat(q, " ", join(", ", join(" ", C("container"), cat("(", join(", ", C("place"), year), ")")), pg), "."),
         book=cat(title_case(C("title")), ". ", join(", ", C("publisher"), year), "."), thesis=cat(q, " ", join(", ", F.coalesce(C("genre"), F.lit("PhD thesis")), C("publisher"), year), "."), web=cat(q, " ", join(", ", C("container"), year), "."),
-        other=cat(q, " ", join(": ", join(" ", join(", ", join(" ", C("container"), C("volume")), cat("no. ", C("issue"))), cat("(", year, ")")), pg), "."),
+        other=cat(q, " ", join(": ", join(" ", join(", ", join(" ", C("container"), C("volume")), _numbered_issue()), cat("(", year, ")")), pg), "."),
     )
     return join(" ", _stop(_chicago_people()), home, cat(_link(), "."))
 
@@ -224,7 +233,7 @@ def mla() -> Column:
     pp, year = cat("pp. ", pages(C("page"), "minimal-two")), C("year").cast("string")
     home = _kinds(
         chapter=cat(q, " ", join(", ", C("container"), cat("edited by ", _editors()), C("publisher"), year, pp)), conference=cat(q, " ", join(", ", C("container"), C("publisher"), year, pp)), book=cat(title_case(C("title")), ". ", join(", ", C("publisher"), year)),
-        thesis=cat(title_case(C("title")), ". ", join(", ", C("publisher"), year)), web=cat(q, " ", join(", ", C("container"), year)), other=cat(q, " ", join(", ", C("container"), cat("vol. ", C("volume")), cat("no. ", C("issue")), year, pp)),
+        thesis=cat(title_case(C("title")), ". ", join(", ", C("publisher"), year)), web=cat(q, " ", join(", ", C("container"), year)), other=cat(q, " ", join(", ", C("container"), cat("vol. ", C("volume")), _numbered_issue(), year, pp)),
     )
     return join(" ", _stop(who), cat(join(", ", home, _link()), "."))
 
@@ -238,7 +247,7 @@ def vancouver() -> Column:
     home = _kinds(
         chapter=cat(C("title"), ". In: ", join(". ", cat(ed, ", editors"), C("container"), press, cat("p. ", pg))), conference=cat(C("title"), ". In: ", join(". ", C("container"), press, cat("p. ", pg))), book=cat(C("title"), ". ", press),
         thesis=cat(C("title"), " [", F.coalesce(C("genre"), F.lit("PhD thesis")), "]. ", press), web=cat(join(". ", C("container"), join(". ", C("title"))), " [Internet]. ", year),
-        other=cat(C("title"), ". ", join(". ", C("container"), join(":", join("", cat(join(";", year, C("volume"))), cat("(", C("issue"), ")")), pg))),
+        other=cat(C("title"), ". ", join(". ", C("container"), join(":", join("", cat(join(";", year, C("volume"))), cat("(", _issue(), ")")), pg))),
     )
     return join(" ", _stop(who), _stop(home), F.coalesce(cat("doi:", C("doi")), cat("Available from: ", C("url"))))
 
@@ -262,7 +271,7 @@ def ieee() -> Column:
     press = join(": ", C("place"), C("publisher"))
     home = _kinds(
         chapter=cat(q, " in ", join(", ", C("container"), cat(ed, ", Eds."), press, year, pp)), conference=cat(q, " in ", join(", ", C("container"), press, year, pp)), book=cat(C("title"), ". ", join(", ", press, year)),
-        thesis=cat(q, " ", join(", ", F.coalesce(C("genre"), F.lit("PhD thesis")), C("publisher"), C("place"), year)), web=cat(q, " ", C("container"), ". [Online]"), other=cat(q, " ", join(", ", C("container"), cat("vol. ", C("volume")), cat("no. ", C("issue")), pp, year)),
+        thesis=cat(q, " ", join(", ", F.coalesce(C("genre"), F.lit("PhD thesis")), C("publisher"), C("place"), year)), web=cat(q, " ", C("container"), ". [Online]"), other=cat(q, " ", join(", ", C("container"), cat("vol. ", C("volume")), _numbered_issue(), pp, year)),
     )
     return F.concat_ws(" ", cat(who, ","), cat(join(", ", home, cat("doi: ", C("doi"))), "."), F.when(C("doi").isNull(), cat("Available: ", C("url"))))
 
@@ -274,7 +283,7 @@ def acs() -> Column:
     press = join(", ", join(": ", C("publisher"), C("place")), year)
     inside = cat(t, ". In ", join("; ", C("container"), cat(ed, ", Eds."), press, cat("pp ", pg)), ".")
     home = _kinds(chapter=inside, conference=inside, book=cat(t, "; ", press, "."), thesis=cat(t, ". ", join(", ", F.coalesce(C("genre"), F.lit("PhD thesis")), C("publisher"), year), "."), web=cat(t, ". ", C("container"), "."),
-                  other=cat(t, ". ", join(", ", join(" ", C("container"), year), join(" ", C("volume"), cat("(", C("issue"), ")")), pg), "."))
+                  other=cat(t, ". ", join(", ", join(" ", C("container"), year), join(" ", C("volume"), cat("(", _issue(), ")")), pg), "."))
     org = F.get(C("author"), F.lit(0))["literal"].isNotNull()
     return join(" ", F.when(org, _stop(names)).otherwise(_or_null(names)), home, _link())
 
@@ -285,7 +294,7 @@ def acm() -> Column:
     ed = _people(None, first="given", others="given", col="editor", last=", and ", two=" and ")
     home = _kinds(
         chapter=cat(t, ". In ", join(", ", C("container"), cat(ed, " (Eds.)")), ". ", join(", ", C("publisher"), pg), "."), conference=cat(t, ". In ", C("container"), ". ", join(", ", C("publisher"), pg), "."), book=cat(t, ". ", C("publisher"), "."),
-        thesis=cat(t, ". ", F.coalesce(C("genre"), F.lit("PhD thesis")), ". ", C("publisher"), "."), web=cat(t, "."), other=cat(t, ". ", join(", ", join(" ", join(", ", join(" ", C("container"), C("volume")), C("issue")), cat("(", year, ")")), pg), "."),
+        thesis=cat(t, ". ", F.coalesce(C("genre"), F.lit("PhD thesis")), ". ", C("publisher"), "."), web=cat(t, "."), other=cat(t, ". ", join(", ", join(" ", join(", ", join(" ", C("container"), C("volume")), _issue()), cat("(", year, ")")), pg), "."),
     )
     return join(" ", _stop(who), cat(year, "."), home, _link())
 
@@ -318,7 +327,9 @@ def bibliography(records: DataFrame, style: str, key: str = "doc_id") -> DataFra
     who = F.array_join(F.transform("author", lambda a: F.lower(F.coalesce(a["family"], a["literal"]))), " ")
     named = records.withColumn("_who", who)
     ranked = named.withColumn("entry_no", F.row_number().over(Window.partitionBy(key).orderBy("_who", "year", "title")))
-    return ranked.select(key, "entry_no", render(style).alias("text"))
+    year = F.concat(C("year").cast("string"), F.coalesce(C("year_suffix"), F.lit("")))
+    told_apart = year_suffixes(ranked, key).withColumn("year", year)
+    return told_apart.select(key, "entry_no", render(style).alias("text"))
 
 
 def year_suffixes(records: DataFrame, key: str = "doc_id") -> DataFrame:

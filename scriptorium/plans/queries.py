@@ -291,8 +291,8 @@ def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return parsed, expected
 
 
-_SIDES_SQL = f"""e AS (SELECT doc_id, ordinal AS j, year, list_distinct(string_split(lower(title), ' ')) AS t FROM ({RECORDS_SQL})),
- p AS (SELECT doc_id, ordinal AS i, CASE WHEN id % 7 <> 0 THEN year END AS year, list_distinct(string_split(lower(title), ' ')) AS t FROM ({RECORDS_SQL}) WHERE id % 5 <> 0)"""
+_SIDES_SQL = f"""e AS (SELECT doc_id, ordinal AS j, title, year, list_distinct(string_split(lower(title), ' ')) AS t FROM ({RECORDS_SQL})),
+ p AS (SELECT doc_id, ordinal AS i, title, CASE WHEN id % 7 <> 0 THEN year END AS year, list_distinct(string_split(lower(title), ' ')) AS t FROM ({RECORDS_SQL}) WHERE id % 5 <> 0)"""
 _SIM = "len(list_intersect(p.t, e.t))::DOUBLE / (len(p.t) + len(e.t) - len(list_intersect(p.t, e.t)))"
 
 
@@ -312,9 +312,23 @@ def candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.candidate_pairs(*_sides(spark, sf_dir)).withColumn("s", F.round("s", 9))
 
 
-@query()
+_CANDIDATES_SQL = f"SELECT p.doc_id AS doc_id, p.i AS i, e.j AS j, round(2 * coalesce((p.year = e.year)::INT, 0) + {_SIM}, 9) AS s FROM p JOIN e ON p.doc_id = e.doc_id WHERE p.year = e.year OR {_SIM} >= 0.6"
+#: Greedy matching as a walk over each document's pairs, best first; `m` has (doc_id, i, j, s).
+_GREEDY_SQL = f"""{_SIDES_SQL}, c AS ({_CANDIDATES_SQL}), o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, i, j) AS k FROM c),
+    g AS (SELECT DISTINCT doc_id, 0::BIGINT AS k, []::BIGINT[] AS used_i, []::BIGINT[] AS used_j FROM c UNION ALL
+    SELECT g.doc_id, o.k, CASE WHEN list_contains(used_i, o.i) OR list_contains(used_j, o.j) THEN used_i ELSE list_append(used_i, o.i::BIGINT) END,
+    CASE WHEN list_contains(used_i, o.i) OR list_contains(used_j, o.j) THEN used_j ELSE list_append(used_j, o.j::BIGINT) END FROM g JOIN o ON o.doc_id = g.doc_id AND o.k = g.k + 1),
+    t AS (SELECT doc_id, unnest(used_i) AS i, unnest(used_j) AS j FROM (SELECT doc_id, arg_max(used_i, k) AS used_i, arg_max(used_j, k) AS used_j FROM g GROUP BY doc_id)),
+    m AS (SELECT c.* FROM c JOIN t ON c.doc_id = t.doc_id AND c.i = t.i AND c.j = t.j)"""
+
+
+@query(f"WITH RECURSIVE {_GREEDY_SQL} SELECT doc_id, i, j, s FROM m")
 def match_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return match.greedy_one_to_one(match.candidate_pairs(*_sides(spark, sf_dir)))
+    return _greedy(*_sides(spark, sf_dir))
+
+
+def _greedy(parsed: DataFrame, expected: DataFrame) -> DataFrame:
+    return match.greedy_one_to_one(match.candidate_pairs(parsed, expected).withColumn("s", F.round("s", 9)))
 
 
 @query(
@@ -325,20 +339,21 @@ def match_mutual_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.mutual_best(match.candidate_pairs(*_sides(spark, sf_dir)).withColumn("s", F.round("s", 9)))
 
 
-def _matches(parsed: DataFrame) -> DataFrame:
-    return parsed.filter("id % 3 <> 0").select("doc_id", C("ordinal").alias("i"), C("ordinal").alias("j"))
-
-
-@query(f"SELECT doc_id, ordinal, title, year FROM ({RECORDS_SQL}) WHERE id % 5 = 0 OR id % 3 = 0")
+@query(f"WITH RECURSIVE {_GREEDY_SQL} SELECT doc_id, j AS ordinal, title, year FROM e WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.doc_id = e.doc_id AND m.j = e.j)")
 def missed(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed, expected = _sides(spark, sf_dir)
-    return match.missed(expected, _matches(parsed)).select("doc_id", "ordinal", "title", "year")
+    return match.missed(expected, _greedy(parsed, expected)).select("doc_id", "ordinal", "title", "year")
 
 
-@query(f"SELECT doc_id, ordinal, title FROM ({RECORDS_SQL}) WHERE id % 5 <> 0 AND id % 3 = 0")
+@query(f"WITH RECURSIVE {_GREEDY_SQL} SELECT doc_id, i AS ordinal, title FROM p WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.doc_id = p.doc_id AND m.i = p.i)")
 def spurious(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed, _ = _sides(spark, sf_dir)
-    return match.spurious(parsed, _matches(parsed)).select("doc_id", "ordinal", "title")
+    parsed, expected = _sides(spark, sf_dir)
+    return match.spurious(parsed, _greedy(parsed, expected)).select("doc_id", "ordinal", "title")
+
+
+def _matches(parsed: DataFrame) -> DataFrame:
+    """Matches that are given, for scores of their own."""
+    return parsed.filter("id % 3 <> 0").select("doc_id", C("ordinal").alias("i"), C("ordinal").alias("j"))
 
 
 @query(
@@ -369,9 +384,10 @@ def variant_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.variant_delta(rows.select("style", F.when(C("quality") == 1, "clean").otherwise("messy").alias("variant"), F.lit(1).cast("long").alias("n")), "style", "variant", "n")
 
 
-@query(f"SELECT doc_id, id AS ref_id, TRUE AS found FROM ({RECORDS_SQL})")
+@query(f"SELECT doc_id, id AS ref_id, id % 3 <> 0 AS found FROM ({RECORDS_SQL})")
 def title_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return match.title_probe(documents_with_references(spark, sf_dir), records(spark, sf_dir).select("doc_id", C("id").alias("ref_id"), "title"))
+    title = F.when(C("id") % 3 == 0, F.concat(F.lit("Nowhere printed "), C("title"))).otherwise(F.upper("title"))
+    return match.title_probe(documents_with_references(spark, sf_dir), records(spark, sf_dir).select("doc_id", C("id").alias("ref_id"), title.alias("title")))
 
 
 # --- citations ------------------------------------------------------------------------------------------------------
@@ -503,46 +519,44 @@ def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""SELECT doc_id, count(*) AS n_refs, sum(year)::BIGINT AS years, min(title) AS first_title FROM (SELECT * FROM ({RECORDS_SQL}) QUALIFY count(*) OVER (PARTITION BY doc_id) = 20) GROUP BY doc_id"""
+    f"""SELECT doc_id, count(*) AS n_refs, sum(year)::BIGINT AS years, min(title) AS first_title FROM ({RECORDS_SQL}) GROUP BY doc_id"""
 )
 def parse_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = page_lines(spark, sf_dir)
-    whole = records(spark, sf_dir).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n = 20").select("doc_id")
-    refs = geometry.parse_pages(lines.join(whole, "doc_id", "left_semi"))
+    refs = geometry.parse_pages(page_lines(spark, sf_dir))
     return refs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_refs"), F.sum("year").cast("long").alias("years"), F.min("title").alias("first_title"))
 
 
-def _tools(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     tags = F.array(F.lower("p_brand"), F.concat(F.lit("size-"), (C("p_size") % 5).cast("string")))
     created = F.when(C("p_partkey") % 3 != 0, F.concat(F.lit("2024-01-"), F.lpad((C("p_partkey") % 28 + 1).cast("string"), 2, "0")))
-    return table(spark, sf_dir, "part").select(F.concat(F.lit("tool-"), C("p_partkey").cast("string")).alias("slug"), C("p_name").alias("title"), C("p_type").alias("description"), created.alias("created"), tags.alias("tags"))
+    return table(spark, sf_dir, "part").select(F.concat(F.lit("entry-"), C("p_partkey").cast("string")).alias("slug"), C("p_name").alias("title"), C("p_type").alias("description"), created.alias("created"), tags.alias("tags"))
 
 
-_TOOLS_SQL = """SELECT 'tool-' || p_partkey AS slug, p_name AS title, p_type AS description, CASE WHEN p_partkey % 3 <> 0 THEN '2024-01-' || lpad(CAST(p_partkey % 28 + 1 AS VARCHAR), 2, '0') END AS created, [lower(p_brand), 'size-' || (p_size % 5)] AS tags FROM part"""
+_ENTRIES_SQL = """SELECT 'entry-' || p_partkey AS slug, p_name AS title, p_type AS description, CASE WHEN p_partkey % 3 <> 0 THEN '2024-01-' || lpad(CAST(p_partkey % 28 + 1 AS VARCHAR), 2, '0') END AS created, [lower(p_brand), 'size-' || (p_size % 5)] AS tags FROM part"""
 
 
-@query(f"SELECT slug, title FROM ({_TOOLS_SQL}) WHERE contains(lower(concat_ws(' ', title, description, array_to_string(tags, ' '))), 'a') AND list_contains(tags, 'size-3')")
+@query(f"SELECT slug, title FROM ({_ENTRIES_SQL}) WHERE contains(lower(concat_ws(' ', title, description, array_to_string(tags, ' '))), 'a') AND list_contains(tags, 'size-3')")
 def tag_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.search(_tools(spark, sf_dir), " A ", ("size-3",)).select("slug", "title")
+    return catalog.search(_entries(spark, sf_dir), " A ", ("size-3",)).select("slug", "title")
 
 
-@query(f"SELECT DISTINCT unnest(tags) AS tag FROM ({_TOOLS_SQL})")
+@query(f"SELECT DISTINCT unnest(tags) AS tag FROM ({_ENTRIES_SQL})")
 def tag_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.tag_list(_tools(spark, sf_dir))
+    return catalog.tag_list(_entries(spark, sf_dir))
 
 
-@query(f"SELECT slug, created FROM ({_TOOLS_SQL}) ORDER BY coalesce(created, '') DESC, slug")
+@query(f"SELECT slug, created FROM ({_ENTRIES_SQL}) ORDER BY coalesce(created, '') DESC, slug")
 def newest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.newest_first(_tools(spark, sf_dir)).select("slug", "created")
+    return catalog.newest_first(_entries(spark, sf_dir)).select("slug", "created")
 
 
-@query(f"SELECT slug, title FROM ({_TOOLS_SQL}) ORDER BY coalesce(created, '') DESC, slug LIMIT 1")
-def tool_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.lookup(_tools(spark, sf_dir), None).select("slug", "title")
+@query(f"SELECT slug, title FROM ({_ENTRIES_SQL}) ORDER BY coalesce(created, '') DESC, slug LIMIT 1")
+def entry_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.lookup(_entries(spark, sf_dir), None).select("slug", "title")
 
 
 @query(
-    f"""SELECT slug, '<a href="' || slug || '/"><h2>' || title || '</h2><p>' || description || '</p><ul><li>' || tags[1] || '</li><li>' || tags[2] || '</li></ul></a>' AS html FROM (SELECT slug, {", ".join(f"replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS {c}" for c in ("title", "description"))}, list_transform(tags, lambda t: replace(t, '#', '#')) AS tags FROM ({_TOOLS_SQL}))"""
+    f"""SELECT slug, '<a href="' || slug || '/"><h2>' || title || '</h2><p>' || description || '</p><ul><li>' || tags[1] || '</li><li>' || tags[2] || '</li></ul></a>' AS html FROM (SELECT slug, {", ".join(f"replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS {c}" for c in ("title", "description"))}, list_transform(tags, lambda t: replace(t, '#', '#')) AS tags FROM ({_ENTRIES_SQL}))"""
 )
 def index_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.cards(_tools(spark, sf_dir)).select("slug", "html")
+    return catalog.cards(_entries(spark, sf_dir)).select("slug", "html")
