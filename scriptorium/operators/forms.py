@@ -14,12 +14,16 @@ from functools import cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Publishers whose names don't say that they are one; a parameter of the forms, to be extended at will.
+KNOWN_PUBLISHERS = ("Routledge", "Springer", "Elgar", "Elsevier", "Wiley", "Sage", "Palgrave", "Brill", "Kluwer", "Birkhäuser")
+_IMPRINT = r"([^.]*(?:\b(?:Press|Publish[a-z]+|Verlag|Books|Editions)\b|" + "|".join(KNOWN_PUBLISHERS) + r")[^.]*)"
 FIELDS = ("title", "container", "volume", "issue", "first", "last", "publisher", "place", "editor", "genre", "chapter")
 _SEP = "\u0001"
 
 #: What a field looks like: (expression, fields of its groups).
 _TOKENS = {
     "title": ("(.+?)", ("title",)),
+    "unquoted": ('([^"].+?)', ("title",)),
     "quoted": ('([^"]+?)', ("title",)),
     "container": ("(.+?)", ("container",)),
     "plain": (r"([^.]+?)", ("container",)),
@@ -32,12 +36,15 @@ _TOKENS = {
     "p": (r"(\d{1,6})\s*[–-]\s*(\d{1,6})", ("first", "last")),
     "s": (r"(\d{1,6})", ("first",)),
     "publisher": ("(.+?)", ("publisher",)),
-    "press": (r"([^.]*(?:University Press|Routledge|Springer|Elgar)[^.]*)", ("publisher",)),
+    "press": (_IMPRINT, ("publisher",)),
     "place": ("(.+?)", ("place",)),
     "city": (r"\[?([^\]:]*)\]?", ("place",)),
     "editor": ("(.+?)", ("editor",)),
     "thesis": (r"((?:PhD|phd|Ph\.D\.) (?:thesis|dissertation))", ("genre",)),
+    "imprint": (r"([^.]+?)", ("publisher",)),
+    "preprint": (r"(arXiv(?i: preprint)?|[a-z]{2,6}Rxiv)", ("container",)),
     "chapter": (r"(\d{1,4})", ("chapter",)),
+    "day": (r"(?:[A-Z][a-z]+\.?\s+\d{1,2}|\d{1,2}\s+[A-Z][a-z]+\.?)", ()),
     "y": (r"\d{4}", ()),
     "ed": (r"\(?\d+(?:st|nd|rd|th)\s*ed\.\)?", ()),
     "...": (".*", ()),
@@ -67,42 +74,65 @@ class Form:
 _Q = '"{quoted}[[.]][[,]]"[[.]][[,]]~'
 
 FORMS = (
+    Form("apa", "{title}. In {editor} (Ed[[s]].),~{container} (pp.~{p}).~{publisher}[[.]]", "chapter"),
+    Form("apa", "{title}. In {container} (pp.~{p}).~{publisher}[[.]]", "chapter"),
+    Form("apa", "{title}. In {preprint}.{...}", "article"),
+    Form("apa", "{title} [{thesis}[[,~{imprint}]]].~{...}", "thesis"),
     Form("apa", "{title}. {plain},~{v}~({i})~,~{p}{...}", "article-journal"),
     Form("apa", "{title}. {nocomma},~{v}~,~{p}{...}", "article-journal"),
     Form("apa", "{title}. {container}~,~{p}{...}", "article-journal"),
     Form("apa", "{title}[[.]][[ {ed}]].~{press}[[.]]", "book"),
+    Form("apa", "{title}. {imprint}[[.]]", "book"),
     Form("apa", "{title}[[.]]", "article-journal"),
     Form("harvard", _Q + "in {editor}~(ed[[s]][[.]])~{container}. {place}:~{publisher},~pp.~{p}{...}", "chapter"),
     Form("harvard", _Q + "in {container}. {place}:~{publisher},~pp.~{p}{...}", "chapter"),
+    Form("harvard", _Q + "{preprint} [Preprint].{...}", "article"),
+    Form("harvard", _Q + "{proceedings}. {place}:~{publisher},~pp.~{p}{...}", "paper-conference"),
     Form("harvard", _Q + "{container},~{v}~({i})~[[,]]~pp.~{p}{...}", "article-journal"),
     Form("harvard", _Q + "{container},~{v}~[[,]]~pp.~{p}{...}", "article-journal"),
     Form("harvard", _Q + "{container},~pp.~{p}{...}", "paper-conference"),
     Form("harvard", "{title}. {thesis}.~{publisher}[[.]]", "thesis"),
+    Form("harvard", "{unquoted},~{nocomma}.~Available at{...}", "webpage"),
     Form("harvard", "{title}.[[ {ed}]] {place}:~{publisher}[[.]]", "book"),
+    Form("harvard", _Q + "{plain}.~Available at{...}", "article-journal"),
     Form("harvard", _Q + "{tail}", "article-journal"),
     Form("harvard", "{title}. {...}", "article-journal"),
     Form("harvard", "{title}", "article-journal"),
+    Form("chicagoAD", _Q + "In {preprint}.{...}", "article"),
     Form("chicagoAD", _Q + "In {container}, edited by {editor}.~{publisher}[[.]]", "chapter"),
     Form("chicagoAD", _Q + "{container} {v}~({i})~:~{p}{...}", "article-journal"),
     Form("chicagoAD", _Q + "{container} {v}~:~{p}{...}", "article-journal"),
     Form("chicagoAD", _Q + "{container} ({place})~,~{p}{...}", "paper-conference"),
     Form("chicagoAD", _Q + "In {container}. {...}", "chapter"),
+    Form("chicagoAD", _Q + "{nocomma},~{day}[[.]]{...}", "article-journal"),
+    Form("chicagoAD", _Q + "{thesis},~{publisher}[[.]]", "thesis"),
     Form("chicagoAD", _Q + "{tail}", "article-journal"),
     Form("chicagoAD", "{title}.[[ {ed}]] {press}[[.]]", "book"),
+    Form("chicagoAD", "{title}. {imprint}[[.]]", "book"),
     Form("chicagoAD", "{title}[[.]]", "article-journal"),
+    Form("chicagoFull", _Q + "In {preprint}.{...}", "article"),
     Form("chicagoFull", _Q + "In {container}, edited by {editor}.~{publisher}[[,~{y}]][[.]]", "chapter"),
     Form("chicagoFull", _Q + "{container} {v},~no[[s]].~{n}~[[({y})]]~:~{p}{...}", "article-journal"),
     Form("chicagoFull", _Q + "{container} {v}~[[({y})]]~:~{p}{...}", "article-journal"),
     Form("chicagoFull", _Q + "{container} ({place}[[,~{y}]])~,~{p}{...}", "paper-conference"),
     Form("chicagoFull", _Q + "In {container}. {...}", "chapter"),
+    Form("chicagoFull", _Q + "{proceedings} ({place}),~{y}[[,~{p}]][[.]]{...}", "paper-conference"),
+    Form("chicagoFull", _Q + "{nocomma},~{day},~{y}[[.]]{...}", "article-journal"),
+    Form("chicagoFull", _Q + "{thesis},~{publisher}[[,~{y}]][[.]]", "thesis"),
+    Form("chicagoFull", _Q + "{nocomma}~[[,]]~[[(]]{y}[[)]][[.]]{...}", "article-journal"),
     Form("chicagoFull", _Q + "{tail}", "article-journal"),
     Form("chicagoFull", "{title}.[[ {ed}]] {place}:~{publisher},~{y}[[.]]", "book"),
     Form("chicagoFull", "{title}.[[ {ed}]] {publisher},~{y}[[.]]", "book"),
     Form("chicagoFull", "{title}", "book"),
     Form("mla", _Q + "{container},~edited by {editor}.~{publisher},~{y},~pp.~{p}{...}", "chapter"),
     Form("mla", _Q + "{container},~edited by {editor},~{publisher},~{y},~pp.~{p}{...}", "chapter"),
-    Form("mla", _Q + "{container},~vol.~{v}~,~no.~{n}~,~{y}~,~pp.~{p}{...}", "article-journal"),
+    Form("mla", _Q + "{container},~vol.~{v}~,~no[[s]].~{n}~,~{y}~,~pp.~{p}{...}", "article-journal"),
     Form("mla", _Q + "{container},~vol.~{v}~,~{y}~,~pp.~{p}{...}", "article-journal"),
+    Form("mla", _Q + "{proceedings} [{...}],~{y}[[,~pp.~{p}]]{...}", "paper-conference"),
+    Form("mla", _Q + "{nocomma},~{day}~{y}{...}", "article-journal"),
+    Form("mla", "{title}. {y}. {publisher},~{thesis}[[.]]", "thesis"),
+    Form("mla", _Q + "{proceedings},~{publisher},~{y}[[,~pp.~{p}]]{...}", "paper-conference"),
+    Form("mla", _Q + "{nocomma},~{y}{...}", "article-journal"),
     Form("mla", _Q + "{tail}", "article-journal"),
     Form("mla", "{title}.~[[{ed},~]]{publisher},~{y}[[.]]", "book"),
     Form("mla", "{title}", "book"),
@@ -112,6 +142,10 @@ FORMS = (
     Form("vancouver", "{title}. {container}.~[[{y};]]{v}~({i})~:~{p}{...}", "article-journal"),
     Form("vancouver", "{title}. {container}.~[[{y};]]{v}~:~{p}{...}", "article-journal"),
     Form("vancouver", "{title}.[[ {ed}]] {place}:~{publisher};~{y}[[.]]", "book"),
+    Form("vancouver", "{title}. {preprint} [Internet].{...}", "article"),
+    Form("vancouver", "{container} [Internet].~{y}~[[.]]~{title}.~Available from{...}", "webpage"),
+    Form("vancouver", "{title} [Internet].~{...}", "webpage"),
+    Form("vancouver", "{title}. {plain}.~{y}.~Available from{...}", "article-journal"),
     Form("vancouver", "{title}. {tail}", "article-journal"),
     Form("vancouver", "{title}", "article-journal"),
     Form("nature", "{title}~({thesis}),~({publisher},~{place},~{y}){...}", "thesis"),
@@ -120,15 +154,20 @@ FORMS = (
     Form("nature", "{title}.~({publisher},~{place},~{y})[[.]]", "book"),
     Form("nature", "{title}. {container} {v}~,~{p}~({y}){...}", "article-journal"),
     Form("nature", "{title}.~arXiv preprint{...}", "article", "arXiv preprint"),
+    Form("nature", "{title}. {plain} ({y}){...}", "article-journal"),
     Form("nature", "{title}. {tail}", "article-journal"),
     Form("nature", "{title}", "article-journal"),
     Form("ieee", _Q + "in {container}~,~{editor},~Ed[[s]].~[[,]]~{place}:~{publisher},~{y},~pp.~{p}{...}", "chapter"),
     Form("ieee", _Q + "in {container},~{place}:~{publisher},~{y},~pp.~{p}{...}", "paper-conference"),
     Form("ieee", _Q + "{thesis},~{publisher},~{place},~{y}{...}", "thesis"),
-    Form("ieee", _Q + "{container},~vol.~{v}~,~no.~{n}~,~pp.~{p}{...}", "article-journal"),
+    Form("ieee", _Q + "{container},~vol.~{v}~,~no[[s]].~{n}~,~pp.~{p}{...}", "article-journal"),
     Form("ieee", _Q + "{container},~vol.~{v}~,~pp.~{p}{...}", "article-journal"),
     Form("ieee", _Q + "{place}:~{publisher},~{y}[[.]]", "book"),
+    Form("ieee", _Q + "{y}.~[Online]{...}", "webpage"),
+    Form("ieee", _Q + "{plain}.~[[.]]~[Online]{...}", "webpage"),
+    Form("ieee", _Q + "{nocomma},~{y}[[.]]{...}", "article-journal"),
     Form("ieee", _Q + "{tail}", "article-journal"),
+    Form("ieee", "{title},~{ed} {place}:~{publisher},~{y}[[.]]", "book"),
     Form("ieee", "{title}.[[ {ed}]] {place}:~{publisher},~{y}[[.]]", "book"),
     Form("ieee", "{title}", "article-journal"),
     Form("acs", "{title}.~{thesis}~,~{publisher},~{y}{...}", "thesis"),
@@ -139,6 +178,7 @@ FORMS = (
     Form("acs", "{title}[[,~{ed}]];~{publisher}:~{place},~{y}[[.]]", "book"),
     Form("acs", "{title}. {publisher}:~{place},~{y}[[.]]", "book"),
     Form("acs", "{title}.~arXiv preprint{...}", "article", "arXiv preprint"),
+    Form("acs", "{title}.~{preprint}[[.]]~{y}{...}", "article"),
     Form("acs", "{title}. {tail}", "article-journal"),
     Form("acs", "{title}", "article-journal"),
     Form("acm", "{title}. In {container}, {editor} (Ed[[s]][[.]]). {publisher}[[,~{p}]][[.]]", "chapter"),
@@ -147,6 +187,7 @@ FORMS = (
     Form("acm", "{title}. In {container}. {publisher},~{p}[[.]]", "chapter"),
     Form("acm", "{title}. In {container}[[.]]", "chapter"),
     Form("acm", "{title}. arXiv preprint{...}", "article", "arXiv preprint"),
+    Form("acm", "{title}. {thesis}.~{publisher}[[.]]", "thesis"),
     Form("acm", "{title}. {publisher},~Chapter {chapter}~,~{p}{...}", "chapter"),
     Form("acm", "{title}. {container} {v},~{n}~({y})~,~{p}{...}", "article-journal"),
     Form("acm", "{title}. {container} {v}~({y})~,~{p}{...}", "article-journal"),

@@ -2,7 +2,7 @@
 
 A style is a function from a record's columns to one string; parts without a value vanish with their punctuation, as
 concat() of a null is null and concat_ws() leaves nulls out. A record has type, author, author_etal, title, container,
-volume, issue, page (first-last), year, doi, url, publisher, place, editor, genre.
+volume, issue, page (first-last), year, doi, url, publisher, place, editor, genre, edition.
 """
 
 from __future__ import annotations
@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions.binding import let
 
-#: Words that title case leaves small.
-SMALL_WORDS = "a an and as at but by down for from in into nor of on onto or over so the till to up via with yet".split()
+#: Articles, conjunctions and prepositions, which title case leaves small.
+SMALL_WORDS = "a about above across after against along amid among an and around as at before behind below beneath beside between beyond but by despite down during except for from in inside into like near nor of off on onto or out over per since so than the through throughout till to toward towards under until up upon versus via with within without yet".split()
 MONTHS = ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"]
 C = F.col
 
@@ -69,15 +69,18 @@ def name_list(names: Column, sep: str = ", ", last: str = ", and ", two: str | N
 
 
 def title_case(c: Column) -> Column:
-    """Capitals for all words but small ones inside; words that have capitals already are left alone."""
-    up = lambda w: F.regexp_replace(w, r"^([^A-Za-zÀ-ɏ]*)(\p{Ll})(.*)$", "$1§$2§$3")
-    raised = lambda p: F.concat(F.get(p, F.lit(0)), F.upper(F.get(p, F.lit(1))), F.get(p, F.lit(2)))
+    """Capitals for all words and parts of hyphenated words, but small ones inside; what has a capital already is left alone."""
+
+    def raised(part: Column) -> Column:
+        lead = F.length(F.regexp_extract(part, "^([^A-Za-zÀ-ɏ]*)", 1))
+        up = F.concat(F.substr(part, F.lit(1), lead), F.upper(F.substr(part, lead + 1, F.lit(1))), F.substr(part, lead + 2))
+        return F.when(part.rlike(r"^[^A-Za-zÀ-ɏ]*\p{Ll}(?!\S*\p{Lu})"), up).otherwise(part)
 
     def all_words(words: Column) -> Column:
         def one(w: Column, i: Column) -> Column:
-            big = let(F.split(up(w), "§"), lambda p: F.when(F.size(p) == 3, raised(p)).otherwise(w))
+            parts = F.transform(F.split(w, "-"), lambda p, k: F.when((k > 0) & p.isin(SMALL_WORDS), p).otherwise(raised(p)))
             inside = (i > 0) & (i < F.size(words) - 1) & ~F.get(words, i - 1).rlike(r"[:.?!]\z")
-            return F.when(inside & w.isin(SMALL_WORDS), w).otherwise(big)
+            return F.when(inside & w.isin(SMALL_WORDS), w).otherwise(F.array_join(parts, "-"))
 
         return F.array_join(F.transform(words, one), " ")
 
@@ -151,6 +154,12 @@ def _numbered_issue() -> Column:
     return join(" ", F.when(C("issue").isNotNull(), page_label(C("issue"), "no.", "nos.")), _issue())
 
 
+def _edition() -> Column:
+    """`2nd ed.` of a number, else the edition's own words."""
+    number = C("edition").try_cast("int")
+    return F.coalesce(cat(ordinal(number), " ed."), C("edition"))
+
+
 def _link() -> Column:
     return F.coalesce(cat("https://doi.org/", C("doi")), C("url"))
 
@@ -172,10 +181,10 @@ def apa() -> Column:
     who = _people(initials, last=", & ", least=21, shown=19, use_last=True)
     vip = join(", ", join("", C("volume"), cat("(", _issue(), ")")), pages(C("page")))
     ed = _people(initials, first="given", others="given", col="editor", last=", & ", two=" & ")
-    head = cat(who, " (", F.coalesce(C("year").cast("string"), F.lit("n.d.")), "). ")
+    head = cat(_stop(who), " (", F.coalesce(C("year").cast("string"), F.lit("n.d.")), "). ")
     home = _kinds(
         chapter=cat(C("title"), ". In ", join(" ", cat(ed, " (Eds.),"), C("container")), F.coalesce(cat(" (pp. ", pages(C("page")), ")"), F.lit("")), ". ", C("publisher"), "."),
-        conference=cat(C("title"), ". ", join(", ", C("container"), pages(C("page"))), "."), book=cat(C("title"), ". ", C("publisher"), "."),
+        conference=cat(C("title"), ". ", join(", ", C("container"), pages(C("page"))), "."), book=cat(join(" ", C("title"), cat("(", _edition(), ")")), ". ", C("publisher"), "."),
         thesis=cat(C("title"), " [", F.coalesce(C("genre"), F.lit("PhD thesis")), "]. ", C("publisher"), "."), web=cat(C("title"), ". ", join(". ", C("container")), "."),
         other=cat(C("title"), ". ", join(", ", C("container"), vip), "."),
     )
@@ -190,7 +199,7 @@ def harvard() -> Column:
     pp = cat("pp. ", pages(C("page")))
     home = _kinds(
         chapter=cat(q, " in ", join(" ", cat(ed, " (eds.)"), C("container")), ". ", join(", ", join(": ", C("place"), C("publisher")), pp), "."),
-        conference=cat(q, " ", join(", ", C("container"), pp), "."), book=cat(C("title"), ". ", join(": ", C("place"), C("publisher")), "."),
+        conference=cat(q, " ", join(", ", join(". ", C("container"), join(": ", C("place"), C("publisher"))), pp), "."), book=cat(C("title"), ". ", join(" ", _edition(), join(": ", C("place"), C("publisher"))), "."),
         thesis=cat(C("title"), ". ", F.coalesce(C("genre"), F.lit("PhD thesis")), ". ", C("publisher"), "."), web=cat(join(", ", C("title"), C("container")), "."),
         other=cat(q, " ", join(", ", C("container"), join("", C("volume"), cat("(", _issue(), ")")), pp), "."),
     )
@@ -209,8 +218,8 @@ def chicago_author_date() -> Column:
     q = quoted(title_case(C("title")), ".")
     pg = pages(C("page"), "chicago")
     home = _kinds(
-        chapter=cat(q, " In ", join(", ", C("container"), cat("edited by ", _editors())), ". ", C("publisher"), "."), conference=cat(q, " ", join(", ", join(" ", C("container"), cat("(", C("place"), ")")), pg), "."),
-        book=cat(title_case(C("title")), ". ", C("publisher"), "."), thesis=cat(q, " ", F.coalesce(C("genre"), F.lit("PhD thesis")), ", ", C("publisher"), "."), web=cat(q, " ", C("container"), "."),
+        chapter=cat(q, " In ", join(", ", title_case(C("container")), cat("edited by ", _editors())), ". ", C("publisher"), "."), conference=cat(q, " ", join(", ", join(" ", C("container"), cat("(", C("place"), ")")), pg), "."),
+        book=cat(title_case(C("title")), ". ", join(" ", _edition(), C("publisher")), "."), thesis=cat(q, " ", F.coalesce(C("genre"), F.lit("PhD thesis")), ", ", C("publisher"), "."), web=cat(q, " ", C("container"), "."),
         other=cat(q, " ", join(": ", join(" ", C("container"), C("volume"), cat("(", _issue(), ")")), pg), "."),
     )
     return join(" ", _stop(_chicago_people()), cat(C("year").cast("string"), "."), home, cat(_link(), "."))
@@ -220,8 +229,8 @@ def chicago_notes() -> Column:
     q = quoted(title_case(C("title")), ".")
     pg, year = pages(C("page"), "chicago"), C("year").cast("string")
     home = _kinds(
-        chapter=cat(q, " In ", join(", ", C("container"), cat("edited by ", _editors())), ". ", join(", ", C("publisher"), year), "."), conference=cat(q, " ", join(", ", join(" ", C("container"), cat("(", join(", ", C("place"), year), ")")), pg), "."),
-        book=cat(title_case(C("title")), ". ", join(", ", C("publisher"), year), "."), thesis=cat(q, " ", join(", ", F.coalesce(C("genre"), F.lit("PhD thesis")), C("publisher"), year), "."), web=cat(q, " ", join(", ", C("container"), year), "."),
+        chapter=cat(q, " In ", join(", ", title_case(C("container")), cat("edited by ", _editors())), ". ", join(", ", C("publisher"), year), "."), conference=cat(q, " ", join(", ", join(" ", C("container"), cat("(", C("place"), ")")), year, pg), "."),
+        book=cat(title_case(C("title")), ". ", join(" ", _edition(), join(", ", C("publisher"), year)), "."), thesis=cat(q, " ", join(", ", F.coalesce(C("genre"), F.lit("PhD thesis")), C("publisher"), year), "."), web=cat(q, " ", join(", ", C("container"), year), "."),
         other=cat(q, " ", join(": ", join(" ", join(", ", join(" ", C("container"), C("volume")), _numbered_issue()), cat("(", year, ")")), pg), "."),
     )
     return join(" ", _stop(_chicago_people()), home, cat(_link(), "."))
@@ -232,8 +241,8 @@ def mla() -> Column:
     q = quoted(title_case(C("title")), ".")
     pp, year = cat("pp. ", pages(C("page"), "minimal-two")), C("year").cast("string")
     home = _kinds(
-        chapter=cat(q, " ", join(", ", C("container"), cat("edited by ", _editors()), C("publisher"), year, pp)), conference=cat(q, " ", join(", ", C("container"), C("publisher"), year, pp)), book=cat(title_case(C("title")), ". ", join(", ", C("publisher"), year)),
-        thesis=cat(title_case(C("title")), ". ", join(", ", C("publisher"), year)), web=cat(q, " ", join(", ", C("container"), year)), other=cat(q, " ", join(", ", C("container"), cat("vol. ", C("volume")), _numbered_issue(), year, pp)),
+        chapter=cat(q, " ", join(", ", title_case(C("container")), cat("edited by ", _editors()), C("publisher"), year, pp)), conference=cat(q, " ", join(", ", join(" ", C("container"), cat("[", C("place"), "]")), year, pp)), book=cat(title_case(C("title")), ". ", join(", ", _edition(), C("publisher"), year)),
+        thesis=cat(title_case(C("title")), ". ", join(". ", year, join(", ", C("publisher"), F.coalesce(C("genre"), F.lit("PhD thesis"))))), web=cat(q, " ", join(", ", C("container"), year)), other=cat(q, " ", join(", ", C("container"), cat("vol. ", C("volume")), _numbered_issue(), year, pp)),
     )
     return join(" ", _stop(who), cat(join(", ", home, _link()), "."))
 
@@ -245,8 +254,8 @@ def vancouver() -> Column:
     pg, year = pages(C("page"), "minimal"), C("year").cast("string")
     press = join("; ", join(": ", C("place"), C("publisher")), year)
     home = _kinds(
-        chapter=cat(C("title"), ". In: ", join(". ", cat(ed, ", editors"), C("container"), press, cat("p. ", pg))), conference=cat(C("title"), ". In: ", join(". ", C("container"), press, cat("p. ", pg))), book=cat(C("title"), ". ", press),
-        thesis=cat(C("title"), " [", F.coalesce(C("genre"), F.lit("PhD thesis")), "]. ", press), web=cat(join(". ", C("container"), join(". ", C("title"))), " [Internet]. ", year),
+        chapter=cat(C("title"), ". In: ", join(". ", cat(ed, ", editors"), C("container"), press, cat("p. ", pg))), conference=cat(C("title"), ". In: ", join(". ", C("container"), press, cat("p. ", pg))), book=cat(C("title"), ". ", join(" ", _edition(), press)),
+        thesis=cat(C("title"), " [", F.coalesce(C("genre"), F.lit("PhD thesis")), "]. ", join("; ", join(": ", cat("[", C("place"), "]"), C("publisher")), year)), web=join(". ", cat(C("container"), " [Internet]"), year, C("title")),
         other=cat(C("title"), ". ", join(". ", C("container"), join(":", join("", cat(join(";", year, C("volume"))), cat("(", _issue(), ")")), pg))),
     )
     return join(" ", _stop(who), _stop(home), F.coalesce(cat("doi:", C("doi")), cat("Available from: ", C("url"))))
@@ -258,9 +267,9 @@ def nature() -> Column:
     pg, year = pages(C("page")), C("year").cast("string")
     press = cat("(", join(", ", C("publisher"), C("place"), year), ")")
     inside = cat(C("title"), ". in ", join(" ", C("container"), cat("(eds. ", ed, ")"), pg, press), ".")
-    home = _kinds(chapter=inside, conference=inside, book=cat(C("title"), ". ", press, "."), thesis=cat(C("title"), ". ", press, "."), web=cat(join(". ", C("title"), C("container")), " ", C("url"), " (", year, ")."),
+    home = _kinds(chapter=inside, conference=inside, book=cat(title_case(C("title")), ". ", press, "."), thesis=cat(C("title"), ". ", press, "."), web=cat(join(". ", C("title"), C("container")), " ", C("url"), " (", year, ")."),
                   other=cat(C("title"), ". ", join(" ", join(", ", join(" ", C("container"), C("volume")), pg), cat("(", year, ")")), "."))
-    link = F.when(C("volume").isNull() & C("page").isNull() & (C("type") != "webpage") | C("type").isin("paper-conference"), F.coalesce(cat("doi:", C("doi"), "."), cat(C("url"), ".")))
+    link = F.when(C("volume").isNull() & C("page").isNull() & (C("type") != "webpage") | C("type").isin("paper-conference", "chapter"), F.coalesce(cat("doi:", C("doi"), "."), cat(C("url"), ".")))
     return join(" ", _stop(who), home, link)
 
 
@@ -270,19 +279,21 @@ def ieee() -> Column:
     q, pp, year = quoted(C("title"), ","), cat("pp. ", pages(C("page"))), C("year").cast("string")
     press = join(": ", C("place"), C("publisher"))
     home = _kinds(
-        chapter=cat(q, " in ", join(", ", C("container"), cat(ed, ", Eds."), press, year, pp)), conference=cat(q, " in ", join(", ", C("container"), press, year, pp)), book=cat(C("title"), ". ", join(", ", press, year)),
-        thesis=cat(q, " ", join(", ", F.coalesce(C("genre"), F.lit("PhD thesis")), C("publisher"), C("place"), year)), web=cat(q, " ", C("container"), ". [Online]"), other=cat(q, " ", join(", ", C("container"), cat("vol. ", C("volume")), _numbered_issue(), pp, year)),
+        chapter=cat(q, " in ", join(", ", C("container"), cat(ed, ", Eds."), press, year, pp)), conference=cat(q, " in ", join(", ", C("container"), press, year, pp)), book=cat(F.coalesce(cat(C("title"), ", ", _edition(), " "), cat(C("title"), ". ")), join(", ", press, year)),
+        thesis=cat(q, " ", join(", ", F.coalesce(C("genre"), F.lit("PhD thesis")), C("publisher"), C("place"), year)), web=cat(q, " ", C("container"), ". [Online]"), other=cat(q, " ", join(", ", C("container"), cat("vol. ", C("volume")), cat("no. ", _issue()), pp, year)),
     )
-    return F.concat_ws(" ", cat(who, ","), cat(join(", ", home, cat("doi: ", C("doi"))), "."), F.when(C("doi").isNull(), cat("Available: ", C("url"))))
+    whole = C("type").isin("chapter", "paper-conference")  # their identifier is a sentence of its own
+    told = let(cat("doi: ", C("doi")), lambda d: F.when(whole, join(". ", home, d)).otherwise(join(", ", home, d)))
+    return F.concat_ws(" ", cat(who, ","), cat(told, "."), F.when(C("doi").isNull(), cat("Available: ", C("url"))))
 
 
 def acs() -> Column:
     names = F.array_join(F.transform("author", lambda a: family_first(a, initials)), "; ")
-    ed = F.when(F.size("editor") > 0, F.array_join(F.transform("editor", lambda a: family_first(a, initials)), "; "))
+    ed = F.when(F.size("editor") > 0, F.array_join(F.transform("editor", lambda a: family_first(a, initials)), ", "))
     t, pg, year = title_case(C("title")), pages(C("page")), C("year").cast("string")
     press = join(", ", join(": ", C("publisher"), C("place")), year)
     inside = cat(t, ". In ", join("; ", C("container"), cat(ed, ", Eds."), press, cat("pp ", pg)), ".")
-    home = _kinds(chapter=inside, conference=inside, book=cat(t, "; ", press, "."), thesis=cat(t, ". ", join(", ", F.coalesce(C("genre"), F.lit("PhD thesis")), C("publisher"), year), "."), web=cat(t, ". ", C("container"), "."),
+    home = _kinds(chapter=inside, conference=inside, book=cat(join(", ", t, _edition()), "; ", press, "."), thesis=cat(t, ". ", join(", ", F.coalesce(C("genre"), F.lit("PhD thesis")), C("publisher"), year), "."), web=cat(C("title"), ". ", C("container"), "."),
                   other=cat(t, ". ", join(", ", join(" ", C("container"), year), join(" ", C("volume"), cat("(", _issue(), ")")), pg), "."))
     org = F.get(C("author"), F.lit(0))["literal"].isNotNull()
     return join(" ", F.when(org, _stop(names)).otherwise(_or_null(names)), home, _link())

@@ -41,7 +41,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.floor(k / 20).cast("long").alias("doc_id"), (k % 20).cast("int").alias("ordinal"), k.cast("long").alias("id"), F.lit("article-journal").alias("type"), authors.alias("author"), F.lit(False).alias("author_etal"),
         F.concat(F.lit("Study "), k.cast("string"), F.lit(" Into "), pick(TOPICS, k % 7), F.lit(" Across "), pick(PLACES, k % 5)).alias("title"), pick(JOURNALS, k % 4).alias("container"),
         (k % 90 + 1).cast("string").alias("volume"), (k % 11 + 1).cast("string").alias("issue"), F.concat_ws("-", (k % 100 + 100).cast("string"), (k % 100 + 300).cast("string")).alias("page"),
-        F.year("o_orderdate").alias("year"), F.concat(F.lit("10.1000/ref."), k.cast("string")).alias("doi"), none.alias("url"), none.alias("publisher"), none.alias("place"), F.array().cast("array<struct<family:string,given:string,literal:string>>").alias("editor"), none.alias("genre"),
+        F.year("o_orderdate").alias("year"), F.concat(F.lit("10.1000/ref."), k.cast("string")).alias("doi"), none.alias("url"), none.alias("publisher"), none.alias("place"), F.array().cast("array<struct<family:string,given:string,literal:string>>").alias("editor"), none.alias("genre"), none.alias("edition"),
     )
 
 

@@ -46,7 +46,7 @@ def records(items: DataFrame) -> DataFrame:
     parts = c("issued")["date-parts"]
     return items.select(
         *(x for x in ("path", "ordinal") if x in items.columns), "id", "type", "title", "author", F.lit(False).alias("author_etal"), "editor", c("container-title").alias("container"), "volume", "issue", "page",
-        F.get(F.get(parts, F.lit(0)), F.lit(0)).cast("int").alias("year"), c("DOI").alias("doi"), c("URL").alias("url"), c("ISBN").alias("isbn"), "publisher", c("publisher-place").alias("place"), "genre",
+        F.get(F.get(parts, F.lit(0)), F.lit(0)).cast("int").alias("year"), c("DOI").alias("doi"), c("URL").alias("url"), c("ISBN").alias("isbn"), "publisher", c("publisher-place").alias("place"), "genre", "edition",
     )
 
 

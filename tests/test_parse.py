@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from scriptorium.operators import citations, geometry, markup, match, messy, parse, render
@@ -66,27 +67,34 @@ def test_style_by_window_is_the_vote(spark):
     assert parse.with_style(entries.limit(0)).count() == 0
 
 
-def test_types_round_trip(spark):
-    rows = [
-        ("book", "The Noise Book", None, None, None, None, 2001, "Example Press", "Oslo", []),
-        ("chapter", "Loud Parts", "Noise Handbook", None, None, "10-19", 2002, "Example Press", "Oslo", [("Ek", "Bo", None), ("Orr", "Cy", None)]),
-        ("paper-conference", "Fast Noise", "Proceedings of the Noise Meeting", None, None, "5-9", 2003, "Noise Society", "Bern", []),
-        ("thesis", "My Noise", None, None, None, None, 2004, "Example University", "Graz", []),
-    ]
-    schema = "type string, title string, container string, volume string, issue string, page string, year int, publisher string, place string, editor array<struct<family:string,given:string,literal:string>>"
-    people = F.array(F.struct(F.lit("Moss").alias("family"), F.lit("Ada Mae").alias("given"), F.lit(None).cast("string").alias("literal")))
-    none = F.lit(None).cast("string")
-    recs = spark.createDataFrame(rows, schema).withColumns({"author": people, "author_etal": F.lit(False), "doi": none, "url": none, "genre": F.when(F.col("type") == "thesis", "PhD thesis")})
-    for style in ("ieee", "acs", "vancouver", "harvard", "acm", "nature"):
-        entries = recs.select(F.col("type").alias("was"), F.col("title").alias("t"), F.lit(style).alias("style"), render.render(style).alias("raw"))
-        from scriptorium.functions.text import fold_text
-
-        got = {r.was: r for r in parse.extract_fields(entries.withColumn("raw", fold_text(F.col("raw")))).collect()}
-        for kind, r in got.items():
-            assert r.title == r.t and r.year == {"book": 2001, "chapter": 2002, "paper-conference": 2003, "thesis": 2004}[kind], (style, r)
-            assert r.author[0].family == "Moss"
-            lost = {("harvard", "chapter"), ("nature", "thesis"), ("acm", "thesis"), ("harvard", "paper-conference")}
-            assert r.type == kind or (style, kind) in lost, (style, kind, r.type)
+ITEMS = [
+    ("article-journal", "Slow rivers of the north", "Coastal Records", "12", "3-4", "101-118", 2010, None, None, [], "10.1000/a.1", None, None),
+    ("article-journal", "Sediment transport in small valleys", "Applied Measures", "7", None, "45-52", 2011, None, None, [], None, None, None),
+    ("book", "The noise book", None, None, None, None, 2001, "Example Press", "Oslo", [], None, None, None),
+    ("chapter", "Loud parts", "Noise handbook", None, None, "10-19", 2002, "Example Press", "Oslo", [("Ek", "Bo", None), ("Orr", "Cy", None)], None, None, None),
+    ("paper-conference", "Fast noise", "Proceedings of the Noise Meeting", None, None, "5-9", 2003, "Noise Society", "Bern", [], "10.1000/c.3", None, None),
+    ("thesis", "My noise", None, None, None, None, 2004, "University of Graz", "Graz", [], None, None, "PhD thesis"),
+    ("webpage", "Harbour statistics online", "Port Authority", None, None, None, 2015, None, None, [], None, "https://example.org/harbours/stats", None),
+    ("article", "Learning to read river beds", "arXiv", None, None, None, 2021, None, None, [], None, "https://arxiv.org/abs/2101.01234", None),
+]
+ITEM_KINDS = "type string, title string, container string, volume string, issue string, page string, year int, publisher string, place string, editor array<struct<family:string,given:string,literal:string>>, doi string, url string, genre string"
+
+
+@pytest.mark.parametrize("style", sorted(render.RENDERERS))
+def test_seven_types_round_trip(spark, style):
+    """What a style prints of an item of any type is read back."""
+    from scriptorium.functions.text import fold_text
+
+    person = lambda a, b: F.struct(F.lit(a).alias("family"), F.lit(b).alias("given"), F.lit(None).cast("string").alias("literal"))
+    recs = spark.createDataFrame(ITEMS, ITEM_KINDS).withColumns({"author": F.array(person("Moss", "Ada Mae"), person("Ek", "Bo")), "author_etal": F.lit(False), "edition": F.when(F.col("type") == "book", "2")})
+    kept = (F.col(c).alias(f"was_{c}") for c in ("type", "title", "container", "year", "page"))
+    entries = recs.select(*kept, F.lit(style).alias("style"), fold_text(render.render(style)).alias("raw"))
+    same = lambda a, b: (a or "").lower() == (b or "").lower()
+    for r in parse.extract_fields(entries).collect():
+        assert r.type == r.was_type and same(r.title, r.was_title) and [a.family for a in r.author] == ["Moss", "Ek"], r
+        # two styles print no year of a site, one no site
+        assert r.year == r.was_year or (style in ("ieee", "acs") and r.type == "webpage"), r
+        assert same(r.container, r.was_container) or (style == "acm" and r.type == "webpage"), r
 
 
 def test_render_parts(spark):

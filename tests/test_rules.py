@@ -81,13 +81,13 @@ def test_pairs_need_a_year_or_a_word(spark):
     assert first == {(0, 0), (1, 1), (2, 2)}
 
 
-RECORD = "doc_id long, ordinal int, type string, author array<struct<family:string,given:string,literal:string>>, title string, container string, volume string, issue string, page string, year int, doi string, url string, publisher string, place string, editor array<struct<family:string,given:string,literal:string>>, genre string"
+RECORD = "doc_id long, ordinal int, type string, author array<struct<family:string,given:string,literal:string>>, title string, container string, volume string, issue string, page string, year int, doi string, url string, publisher string, place string, edition string, editor array<struct<family:string,given:string,literal:string>>, genre string"
 
 
 def test_issue_ranges_and_suffixes(spark):
     who = [("Silva", "Joana", None)]
-    rows = [(1, i, "article-journal", who, f"{t} title", "Records", "5", "1-4", "10-12", 2020, None, None, None, None, [], None) for i, t in enumerate(("Beta", "Alpha"))]
-    rows.append((1, 2, "article-journal", who, "Gamma title", "Records", "5", "2", "10-12", 2021, None, None, None, None, [], None))
+    rows = [(1, i, "article-journal", who, f"{t} title", "Records", "5", "1-4", "10-12", 2020, None, None, None, None, None, [], None) for i, t in enumerate(("Beta", "Alpha"))]
+    rows.append((1, 2, "article-journal", who, "Gamma title", "Records", "5", "2", "10-12", 2021, None, None, None, None, None, [], None))
     records = spark.createDataFrame(rows, RECORD)
     apa = {r.entry_no: r.text for r in render.bibliography(records, "apa").collect()}
     assert apa[1].startswith("Silva, J. (2020a). Alpha title. Records, 5(1–4)") and "(2020b). Beta" in apa[2] and "(2021). Gamma" in apa[3]
