@@ -120,7 +120,8 @@ def mixed(docs: DataFrame, weights: Mapping[str, int] | None = None, blocks: int
     # one position an id: ids are unique where this follows deduplication, else rows of one id stand together
     places = mix_positions(docs, weights, blocks).groupBy(named.alias(key)).agg(F.min("position").alias(at))
     places = materialize(places, "places")
-    placed = docs.withColumn(key, named).join(places, key).select(*docs.columns, key, at)
+    # dealt by key at any size, so that the plan of a small table is that of a large one
+    placed = docs.withColumn(key, named).join(places.hint("merge"), key).select(*docs.columns, key, at)
     rows, parts = places.count(), shuffle_partitions(docs.sparkSession)
     part = F.expr(f"cast({at} * {parts} div {max(1, rows)} as int)")
     return placed.repartitionById(parts, part).sortWithinPartitions(at, F.xxhash64("text")).drop(key, at)

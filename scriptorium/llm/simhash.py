@@ -288,7 +288,7 @@ def shingle_links(docs: DataFrame, jaccard: float, shingle: int, block: int = 51
     dealt = parts.join(sizes, "component").withColumn("mine", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     key = F.xxhash64("component", F.least("mine", "other"), F.greatest("mine", "other"))
-    members = texts.join(dealt.select(F.col("node").alias("tid"), key.alias("key")), "tid").select("key", "text")
+    members = texts.join(dealt.select(F.col("node").alias("tid"), key.alias("key")).hint("merge"), "tid").select("key", "text")
     members = members.repartition(shuffle_partitions(docs.sparkSession), "key").sortWithinPartitions("key")
     return materialize(members.mapInArrow(_verifier(jaccard, shingle), "u long, v long"), "like", "snappy")
 
@@ -310,4 +310,4 @@ def drop_near_copies(docs: DataFrame, block: int = 8192, jaccard: float | None =
     kept = _named(least, block, more).groupBy("component").agg(F.min("first").alias("first"))
     kept = materialize(kept.select(F.coalesce(F.col("first.id").cast("string"), F.lit("null")).alias(key), F.col("first.sha").alias(sha)), "kept")
     keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("null"))).withColumn(sha, F.coalesce(F.sha2("text", 256), F.lit("")))
-    return keyed.join(kept, [key, sha], "left_semi").dropDuplicates([key, sha]).drop(key, sha)
+    return keyed.join(kept.hint("merge"), [key, sha], "left_semi").dropDuplicates([key, sha]).drop(key, sha)
