@@ -22,7 +22,7 @@ C = F.col
 
 def _or_null(c: Column) -> Column:
     """Null for an empty text; mentions its argument once, as these nest."""
-    return F.get(F.filter(F.array(c), lambda x: x != ""), F.lit(0))
+    return F.get(F.array_remove(F.array(c), ""), F.lit(0))
 
 
 def cat(*parts: Column | str) -> Column:
