@@ -328,5 +328,5 @@ def crushed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = records(spark, sf_dir).withColumn("head", F.when(done, F.concat_ws(" ", head, year)).otherwise(head)).withColumn("tail", F.concat(F.lit("grew "), year))
     row = lambda n, t, start: (C("doc_id"), n.alias("line_no"), t.alias("_t"), F.lit(10.0).alias("h"), F.lit(start).alias("_start"), F.lit(True).alias("section_found"))
     rows = base.select(*row(C("ordinal"), C("head"), True)).union(base.filter(~done).select(*row(C("ordinal") + 100, C("tail"), False)))
-    mended = rows.groupBy("doc_id").applyInPandas(geometry._reattach, "doc_id long, _block long, texts array<string>, section_found boolean")
-    return mended.select("doc_id", (C("_block") + 1).alias("entry_no"), F.array_join("texts", " ").alias("raw"))
+    mended = geometry.assembled(rows.withColumns({"_block": F.lit(0), "_deg": F.lit(True)}))
+    return mended.select("doc_id", (C("_nth") + 1).alias("entry_no"), F.array_join("texts", " ").alias("raw"))

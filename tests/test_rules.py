@@ -3,6 +3,7 @@
 import random
 from collections import defaultdict
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -49,8 +50,8 @@ def test_needs_more(text, more):
 
 def test_orphans_go_to_incomplete_entries():
     rows = [("One, A. title", 10.0, True), ("Two, B. 2001 done", 12.0, True), ("Three, C. title", 8.0, True), ("odd 1 2 3 small 2003", 8.2, False), ("wide 2004", 10.1, False), ("left over", 10.0, False)]
-    pdf = pd.DataFrame([(1, i, t, h, s, True) for i, (t, h, s) in enumerate(rows)], columns=["doc_id", "line_no", "_t", "h", "_start", "section_found"])
-    assert geometry._reattach(pdf)["texts"].tolist() == [["One, A. title", "wide 2004"], ["Two, B. 2001 done"], ["Three, C. title", "odd small 2003"]]
+    lines, heights, starts = (pd.Series([np.array(x)]) for x in zip(*rows, strict=True))
+    assert geometry._reattach(lines, starts, heights).tolist() == [[["One, A. title", "wide 2004"], ["Two, B. 2001 done"], ["Three, C. title", "odd small 2003"]]]
 
 
 def test_greedy_matching(spark):
