@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.llm import exact_dedup, html_text, line_dedup, minhash, mixing, packing, quality, sharding, simhash, substring_dedup
+from scriptorium.llm import exact_dedup, html_text, line_dedup, minhash, mixing, packing, quality, sharding, simhash, substring_dedup, vector_codes
 from scriptorium.llm.common import table
 
 
@@ -50,9 +50,14 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings")).drop("label")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_sharding, op2_simhash, op3_html_text, op4_packing, op5_substring_dedup, op6_exact_dedup, op7_fingerprints, op8_mixing, op9_line_dedup, op10_quality,
+        op11_vector_codes,
     ]
     return {f.__name__: f for f in found}
 
@@ -67,5 +72,30 @@ FROM d WINDOW g AS (PARTITION BY norm)
 }
 
 
+def _vector_codes_sql(rounds: int = vector_codes.ROUNDS) -> str:
+    """The rounds of op11 written one after another, each over all distances."""
+    sql = """
+WITH k AS (SELECT row_number() OVER () AS rid, vec_id, label, list_transform(embedding, lambda x: CAST(floor(x::DOUBLE * 1024) AS BIGINT)) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+q AS MATERIALIZED (SELECT rid, p, v[len(v) * p // 4 + 1 : len(v) * (p + 1) // 4] AS x FROM k, range(4) t(p)),
+s AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS e, v FROM (SELECT vec_id, min(v) AS v FROM k GROUP BY vec_id ORDER BY vec_id LIMIT 256)),
+b0 AS MATERIALIZED (SELECT p, e, v[len(v) * p // 4 + 1 : len(v) * (p + 1) // 4] AS c FROM s, range(4) t(p))"""
+    for i in range(rounds + 1):
+        sql += f""",
+a{i} AS MATERIALIZED (SELECT rid, q.p, min(struct_pack(d := list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, e := e)) AS f
+    FROM q JOIN b{i} b ON b.p = q.p GROUP BY rid, q.p)"""
+        if i < rounds:
+            sql += f""",
+m{i} AS (SELECT p, e, list(avg ORDER BY j) AS c FROM (SELECT q.p, f.e AS e, j, (sum(x[j]) - ((sum(x[j]) % count(*)) + count(*)) % count(*)) // count(*) AS avg
+    FROM a{i} a JOIN q ON a.rid = q.rid AND a.p = q.p, range(1, 65536) t(j) WHERE j <= len(x) GROUP BY q.p, f.e, j) GROUP BY p, e),
+b{i + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.c::BIGINT[], b.c) AS c FROM b{i} b LEFT JOIN m{i} m ON m.p = b.p AND m.e = b.e)"""
+    return f"""{sql},
+o AS (SELECT rid, string_agg(printf('%02x', f.e), '' ORDER BY p) AS code, sum(f.d)::BIGINT AS error FROM a{rounds} GROUP BY rid)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+    (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) FROM b{rounds}) AS codebooks_sha256
+FROM o JOIN k USING (rid)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return SQL | {"op11_vector_codes": _vector_codes_sql()}
