@@ -41,6 +41,8 @@ from scriptorium.llm.words import mixed
 SHINGLE, PERCENT = 3, 85
 BANDS, ROWS, BITS = 32, 5, 512
 SAMPLES, LONGS = BANDS * ROWS, BITS // 64
+#: Documents behind one part of a table that is written: there are few parts where there are few documents.
+ROWS_A_TASK = 20_000
 #: Words of texts in one block, and classes of one key compared in one task.
 BLOCK_WORDS, BLOCK_CLASSES = 1 << 18, 8192
 _FACTORS, _SHIFTS = np.random.default_rng(13).integers(0, 1 << 64, (2, SAMPLES), np.uint64) | np.uint64(1)
@@ -115,6 +117,10 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(cols, names)
 
 
+def _written(df: DataFrame, label: str, tasks: int) -> DataFrame:
+    return materialize(df.coalesce(tasks), label, "snappy")
+
+
 def _near_size(a: Column, b: Column) -> Column:
     return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
 
@@ -133,14 +139,14 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows.filter(pa.array(fits, pa.bool_()))
 
 
-def _texts_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
+def _texts_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame, tasks: int) -> DataFrame:
     """(cid, words) of the classes in wanted(cid): the words of one document each, joined by spaces."""
     own = classes.join(wanted, "cid", "left_semi").select("cid", "digest", F.col("least").alias("doc_id"))
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     none = F.lit(-(1 << 63))
     both = rows.withColumn("_id", F.coalesce("doc_id", none)).join(own.withColumn("_id", F.coalesce("doc_id", none)).drop("doc_id"), "_id")
     found = both.select("text", "cid", "digest").mapInArrow(_texts, "cid long, words binary")
-    return materialize(found.groupBy("cid").agg(F.first("words").alias("words")), "texts")
+    return _written(found.groupBy("cid").agg(F.first("words").alias("words")), "texts", tasks)
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,18 +266,18 @@ def _rooted(classes: DataFrame, links: DataFrame) -> DataFrame:
     return classes.join(connected_components(links).withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("component", "cid")).drop("component")
 
 
-def _noted(rows: DataFrame, block: int, limit: int) -> DataFrame:
+def _noted(rows: DataFrame, block: int, limit: int, tasks: int) -> DataFrame:
     dealt = rows.repartition(shuffle_partitions(rows.sparkSession), "key").sortWithinPartitions("key", "cid")
-    return materialize(dealt.mapInArrow(_screened(block, limit), "kind byte, a long, b long"), "noted", "snappy")
+    return _written(dealt.mapInArrow(_screened(block, limit), "kind byte, a long, b long"), "noted", tasks)
 
 
-def _may_link(keys: DataFrame, rooted: DataFrame, block: int, limit: int) -> DataFrame:
+def _may_link(keys: DataFrame, rooted: DataFrame, block: int, limit: int, tasks: int) -> DataFrame:
     """(u, v): links across roots that span, under each key, what sketches may link."""
     rows = keys.join(rooted.select("cid", "root"), "cid")
     mixed_keys = rows.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r < s").select("key")
-    rows = materialize(rows.join(mixed_keys, "key", "left_semi"), "rest", "snappy")
+    rows = _written(rows.join(mixed_keys, "key", "left_semi"), "rest", tasks)
     features = rooted.select("cid", "n", "sketch")
-    first = _noted(rows.join(features, "cid").select("key", "cid", "root", "n", "sketch"), block, limit)
+    first = _noted(rows.join(features, "cid").select("key", "cid", "root", "n", "sketch"), block, limit, tasks)
     found = first.filter("kind = 0").select(F.col("a").alias("u"), F.col("b").alias("v"))
     large = first.filter("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("cid"))
     if not large.isEmpty():
@@ -280,7 +286,7 @@ def _may_link(keys: DataFrame, rooted: DataFrame, block: int, limit: int) -> Dat
         pairs = dealt.select("key", "cid", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
         key = F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))
         pairs = pairs.select(key.alias("key"), "cid").join(rooted.select("cid", "root", "n", "sketch"), "cid").select("key", "cid", "root", "n", "sketch")
-        found = found.union(_noted(pairs, 1 << 62, limit).select(F.col("a").alias("u"), F.col("b").alias("v")))
+        found = found.union(_noted(pairs, 1 << 62, limit, tasks).select(F.col("a").alias("u"), F.col("b").alias("v")))
     return found.distinct()
 
 
@@ -307,38 +313,39 @@ def near_components(docs: DataFrame, block_words: int = BLOCK_WORDS, block_class
     limit = odd_limit()
     signed = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_signed, "doc_id long, digest binary, n long, bands array<long>, sketch array<long>")
     signed = materialize(signed, "signatures", "snappy")
+    tasks = signed.count() // ROWS_A_TASK + 1
     same = [F.first(c).alias(c) for c in ("n", "bands", "sketch")]
     classes = signed.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("least"), *same)
-    classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "classes", "snappy")
+    classes = _written(classes.withColumn("cid", F.monotonically_increasing_id()), "classes", tasks)
     keys = classes.select("cid", F.explode("bands").alias("key"))
     hubs = keys.groupBy("key").agg(F.min("cid").alias("v"), F.max("cid").alias("_last")).filter("v < _last").select("key", "v")
-    shared = materialize(keys.join(hubs, "key"), "shared", "snappy")  # classes that share a key with another
+    shared = _written(keys.join(hubs, "key"), "shared", tasks)  # classes that share a key with another
     features = classes.select("cid", "n", "sketch")
     side = lambda name: features.select(F.col("cid").alias(name), F.struct("n", "sketch").alias(f"{name}_"))
     stars = shared.filter("cid <> v").select(F.col("cid").alias("u"), "v").distinct().join(side("u"), "u").join(side("v"), "v")
     stars = stars.filter(_near_size(F.col("u_.n"), F.col("v_.n")) & (_apart(F.col("u_.sketch"), F.col("v_.sketch")) <= limit)).select("u", "v")
-    stars = materialize(stars, "stars", "snappy")
-    texts = _texts_of(docs, classes, stars.select(F.col("u").alias("cid")).union(stars.select("v")).distinct())
+    stars = _written(stars, "stars", tasks)
+    texts = _texts_of(docs, classes, stars.select(F.col("u").alias("cid")).union(stars.select("v")).distinct(), tasks)
     named = lambda name: texts.select(F.col("cid").alias(name), F.col("words").alias(f"{name}_words"))
     both = stars.join(named("u"), "u").join(named("v"), "v").select("u", "v", "u_words", "v_words")
-    links = materialize(both.mapInArrow(_confirmed, "u long, v long"), "links", "snappy")
-    rooted = materialize(_rooted(classes.select("cid", "n", "sketch"), links), "rooted", "snappy")
-    rest = materialize(_may_link(shared.select("key", "cid"), rooted, block_classes, limit), "may", "snappy")
+    links = _written(both.mapInArrow(_confirmed, "u long, v long"), "links", tasks)
+    rooted = _written(_rooted(classes.select("cid", "n", "sketch"), links), "rooted", tasks)
+    rest = _written(_may_link(shared.select("key", "cid"), rooted, block_classes, limit, tasks), "may", tasks)
     if not rest.isEmpty():
         ends = rooted.select("cid", "root")
         to_roots = rest.join(ends.select(F.col("cid").alias("u"), F.col("root").alias("ru")), "u").join(ends.select(F.col("cid").alias("v"), F.col("root").alias("rv")), "v")
         groups = connected_components(to_roots.select(F.col("ru").alias("u"), F.col("rv").alias("v")))
         members = rooted.join(groups.select(F.col("node").alias("root"), F.col("component").alias("grp")), "root")
-        members = materialize(members.select("grp", "root", "cid", "n", "sketch"), "members", "snappy")
-        texts = _texts_of(docs, classes, members.select("cid"))
+        members = _written(members.select("grp", "root", "cid", "n", "sketch"), "members", tasks)
+        texts = _texts_of(docs, classes, members.select("cid"), tasks)
         dealt = _dealt(members, block_words).join(texts, "cid").select("key", "cid", "root", "n", "sketch", "words")
         dealt = dealt.repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key")
-        more = materialize(dealt.mapInArrow(_blocks_linked(limit), "u long, v long"), "links", "snappy")
+        more = _written(dealt.mapInArrow(_blocks_linked(limit), "u long, v long"), "links", tasks)
         links = rooted.filter("cid <> root").select(F.col("cid").alias("u"), F.col("root").alias("v")).union(more)
         rooted = _rooted(classes.select("cid"), links)
     named_classes = classes.select("cid", "digest", "least").join(rooted.select("cid", "root"), "cid")
     ids = named_classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = materialize(named_classes.join(ids, "root").select("digest", "component_id"), "components", "snappy")
+    ids = _written(named_classes.join(ids, "root").select("digest", "component_id"), "components", tasks)
     out = signed.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(ids, "digest", "left")
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
