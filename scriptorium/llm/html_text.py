@@ -10,14 +10,15 @@ Defined results: null html and a page without main text give an empty string. Ch
 space inside a block becomes one space, blocks are trimmed, empty blocks go; nothing else is dropped or capped. Text in
 comments, script, style and other elements that aren't shown is no block. Unclosed and stray tags are tolerated, and a tag
 that the page's end cuts is dropped. Quotes count after an equals sign only; from a tag on whose
-quote is never closed they are ordinary characters. Names of an element that holds an article or main element say nothing about what is in there. Repeated rows give
-repeated rows; other columns are ignored.
+quote is never closed they are ordinary characters. Names of an element that holds an article or main element say nothing about what is in there, nor do those of an
+element that holds most of the page's unlinked words with its first-level heading or under an article's name. Repeated rows give repeated rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,6 +37,8 @@ HIDDEN = frozenset("script style noscript template svg math iframe object head t
 FURNITURE = frozenset("nav footer aside form button menu dialog".split())
 #: Words of class, id and role values that mark what is no main text.
 MARKS = frozenset("ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs masthead footer sidebar aside widget related recommended share sharing social comment comments reply replies discussion respond cookie cookies consent notice notices popup modal overlay newsletter subscribe signup login search pagination pager toolbar copyright legal disclaimer alert complementary contentinfo dialog outbrain taboola".split())
+#: Words of class and id values that name the article itself.
+ARTICLE_WORDS = frozenset("article blog entry news post story".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ITEMS = frozenset("li td dd dt".split())
 #: Elements whose start ends others of these names that are still open around it.
@@ -62,6 +65,8 @@ class Block:
     heading: bool
     item: bool
     labelled: bool = False  # main text, on pages of the labelled table
+    marks: tuple[int, ...] = ()  # the elements that `marked` counts
+    title: bool = False  # an h1
 
     @property
     def density(self) -> float:
@@ -72,13 +77,13 @@ class Block:
 class _Element:
     name: str
     counts: tuple[str, ...]  # the counters that it raises
-    outer: tuple[int, int, int] | None = None  # of an article: the counters outside
+    outer: tuple[int, int, int, list[int]] | None = None  # of an article: the counters and marks outside
 
 
 def _described(name: str, attributes: str) -> set[str]:
     """What an element's name and attributes say of the text in it."""
     says = {k for k, names in (("furniture", FURNITURE), ("hidden", HIDDEN), ("heading", HEADINGS), ("item", ITEMS)) if name in names}
-    says |= {name} & {"a", "header"} | ({"article"} if name in ("article", "main") else set())
+    says |= {name} & {"a", "header", "h1"} | ({"article"} if name in ("article", "main") else set())
     for m in _ATTRIBUTE.finditer(attributes) if attributes else ():
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*+:\s*+none", value, re.I):
@@ -88,7 +93,7 @@ def _described(name: str, attributes: str) -> set[str]:
         elif key in ("class", "id", "role") and name not in ("html", "body", "article", "main"):
             words = [w.lower() for w in _WORD.findall(value)]
             said = {w for before, w in zip(["", *words], words, strict=False) if before not in ("has", "with", "no", "without")}
-            says |= ({"marked"} if said & MARKS else set()) | ({"header"} if "header" in said else set())
+            says |= ({"named"} if said & ARTICLE_WORDS else set()) | ({"marked"} if said & MARKS else set()) | ({"header"} if "header" in said else set())
     return says
 
 
@@ -99,16 +104,25 @@ class _Page:
         self.stack: list[_Element] = []
         self.at: dict[str, list[int]] = {}  # where elements of a name stand in the stack
         self.blocks: list[int] = []  # where block-level ones do
-        self.count = dict.fromkeys(("furniture", "marked", "header", "hidden", "heading", "item", "article", "a", "labelled"), 0)
+        self.count = dict.fromkeys(("furniture", "marked", "header", "hidden", "heading", "item", "article", "a", "labelled", "named", "h1"), 0)
+        self.marks: list[int] = []  # numbers of the open elements that are marked
+        self.named: set[int] = set()  # those of marked elements that are named after an article too
+        self.opened = 0
 
     def open(self, name: str, attributes: str) -> None:
         says = _described(name, attributes)
         outer = None
         if "article" in says:  # what stands around an article says nothing about it
-            outer = tuple(self.count[k] for k in ("furniture", "marked", "header"))
+            outer = (*(self.count[k] for k in ("furniture", "marked", "header")), self.marks)
             self.count |= {"furniture": 0, "marked": 0, "header": 0}
+            self.marks = []
         for k in says:
             self.count[k] += 1
+        self.opened += 1
+        if "marked" in says:
+            self.marks.append(self.opened)
+            if "named" in says:
+                self.named.add(self.opened)
         self.at.setdefault(name, []).append(len(self.stack))
         if name in BLOCK:
             self.blocks.append(len(self.stack))
@@ -119,8 +133,11 @@ class _Page:
             e = self.stack.pop()
             for k in e.counts:
                 self.count[k] -= 1
+            if "marked" in e.counts:
+                self.marks.pop()
             if e.outer is not None:
-                self.count |= dict(zip(("furniture", "marked", "header"), e.outer, strict=True))
+                *outside, self.marks = e.outer
+                self.count |= dict(zip(("furniture", "marked", "header"), outside, strict=True))
             self.at[e.name].pop()
             if e.name in BLOCK:
                 self.blocks.pop()
@@ -150,7 +167,7 @@ def blocks(page: str) -> list[Block]:
         if text:
             c = state.count
             counts = (len(text.split()), len(html.unescape("".join(linked)).split()), c["furniture"], c["marked"], c["header"])
-            out.append(Block(text, *counts, *(c[k] > 0 for k in ("article", "heading", "item", "labelled"))))
+            out.append(Block(text, *counts, *(c[k] > 0 for k in ("article", "heading", "item", "labelled")), tuple(state.marks), c["h1"] > 0))
         parts.clear()
         linked.clear()
 
@@ -196,7 +213,24 @@ def blocks(page: str) -> list[Block]:
                 state.imply(name)
             state.open(name, m[3])
     flush()
-    return out
+    return _unmarked(out, state.named)
+
+
+def _unmarked(found: list[Block], named: set[int]) -> list[Block]:
+    """found, where the class words of an element that is the page's body don't count: it holds more than half of the words that are no
+    links, and its first-level heading or an article's name."""
+    held, total, bodies = Counter(), 0, set(named)
+    for b in found:
+        if not b.furniture:
+            total += b.words - b.linked
+            held.update(dict.fromkeys(b.marks, b.words - b.linked))
+            if b.title:
+                bodies.update(b.marks)
+    bodies = {m for m in bodies if 2 * held[m] > total}
+    if bodies:
+        for b in found:
+            b.marked -= len(bodies.intersection(b.marks))
+    return found
 
 
 FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "furniture", "marked", "header", "article", "heading", "item", "outside")
