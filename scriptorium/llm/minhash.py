@@ -2,7 +2,7 @@
 
 Every shingle of five words is hashed once. The hash's upper part names one of `BINS` bins, the rest is the value the bin
 takes the minimum of. Empty bins are filled by optimal densification: bin i asks bins h(i, 1), h(i, 2), ... of a 2-universal
-family and takes the value of the first that is not empty, so two texts that share the donor agree in the copy too. The
+family until one is not empty, and takes its value, so two texts that share the donor agree in the copy too. The
 low `LOW` bits of every bin are kept. Two unequal values agree in them with probability 2^-LOW, which the likeness
 corrects: (m - c) / (1 - c) for a share m of agreeing bins and c = 2^-LOW, not below 0.
 
@@ -14,6 +14,7 @@ white space only have equal fingerprints.
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -28,6 +29,7 @@ from scriptorium.llm.common import DigestCache, materialize, ship, shuffle_parti
 
 BINS, LOW, SHINGLE = 256, 8, 5
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
+#: Donors asked in one round; rounds go on until every bin has met a filled one.
 _ATTEMPTS = 64
 
 _words = DigestCache(lambda word: xxhash.xxh64_intdigest(word, 3).to_bytes(8, "little"))
@@ -39,9 +41,12 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-#: Donors of every bin, in the order in which they are asked.
-_DONORS = (_mix(np.arange(BINS, dtype=np.uint64)[:, None] * np.uint64(_ATTEMPTS) + np.arange(1, _ATTEMPTS + 1, dtype=np.uint64) * _MULTIPLY) >> np.uint64(11)) % np.uint64(BINS)
-_DONORS = _DONORS.astype(np.int64)
+@functools.cache
+def _donors(round_: int) -> np.ndarray:
+    """Of every bin, the donors it asks in a round, in their order."""
+    asked = np.arange(round_ * _ATTEMPTS + 1, (round_ + 1) * _ATTEMPTS + 1, dtype=np.uint64)
+    start = np.arange(BINS, dtype=np.uint64)[:, None] * np.uint64(_ATTEMPTS)
+    return ((_mix(start + asked * _MULTIPLY) >> np.uint64(11)) % np.uint64(BINS)).astype(np.int64)
 
 
 def shingle_hashes(text: str) -> np.ndarray:
@@ -64,12 +69,13 @@ def signature(text: str) -> np.ndarray:
     np.minimum.at(best, bins, h & np.uint64((1 << 56) - 1))
     filled = np.zeros(BINS, bool)
     filled[bins] = True
-    if not filled.all():
-        empty = np.flatnonzero(~filled)
-        usable = filled[_DONORS[empty]]
-        first = usable.argmax(1)
-        donor = np.where(usable.any(1), _DONORS[empty, first], np.flatnonzero(filled)[0])
-        best[empty] = best[donor]
+    empty, round_ = np.flatnonzero(~filled), 0
+    while len(empty):
+        donors = _donors(round_)[empty]
+        usable = filled[donors]
+        met = usable.any(1)
+        best[empty[met]] = best[donors[met, usable[met].argmax(1)]]
+        empty, round_ = empty[~met], round_ + 1
     return (best & np.uint64((1 << LOW) - 1)).astype(np.uint8)
 
 
