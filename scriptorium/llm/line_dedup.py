@@ -5,8 +5,8 @@ if an earlier line (by doc_id, then line number) matches it, whether or not that
 
 1. Rarity. Words are counted over all lines into `SLOTS` counters by hash, a table of fixed size whatever the corpus. Any
    fixed order of words gives exact results; ordering by counter (in steps of a logarithm), then hash, puts rare words first.
-2. Classes. Lines with equal sets form a class, stood for by its first line; later lines of a class are removed. The words
-   to index travel with the line into that aggregation, so lines are never joined back.
+2. Classes. Lines with equal sets form a class, stood for by its first line; later lines of a class are removed. Sets are
+   told apart by their size and two sums over two independent 64-bit hashes of each whole word. The words to index travel with the line into that aggregation, so lines are never joined back.
 3. Prefixes. Of a class with n words, only the first n - ceil(0.8 n) + 1 words in that order are indexed: matching lines
    share one of them. Words whose counter is 1 occur in no other line and are left out. An index word is one long: 48 bits
    of hash, 16 bits of place.
@@ -129,7 +129,7 @@ class Lines:
             new = np.ones(len(h), bool)
             new[1:] = (h[1:] != h[:-1]) | (line[order][1:] != line[order][:-1])
         order = order[new]
-        self.hash, self.step, self.line = tokens.hash[order], step[order], line[order]
+        self.hash, self.hash2, self.step, self.line = tokens.hash[order], tokens.hash2[order], step[order], line[order]
         self.size = np.bincount(self.line, minlength=tokens.lines)
         self.ends = np.cumsum(self.size)
         self.starts = self.ends - self.size
@@ -163,7 +163,7 @@ def _line_rows(steps):
                 rows = pa.RecordBatch.from_arrays(
                     [
                         pa.array(doc_ids[doc]), pa.array(hs[doc]), pa.array(tokens.number, pa.int32()), pa.array(x.size, pa.int32()),
-                        pa.array(x.sums(x.hash * np.uint64(0x9E3779B97F4A7C15))), pa.array(x.sums(other)),
+                        pa.array(x.sums(mixed(x.hash * np.uint64(0x9E3779B97F4A7C15)))), pa.array(x.sums(mixed(x.hash2))),
                         pa.array(x.flips(np.where(low, bit, np.uint64(0)))), pa.array(x.flips(np.where(low, np.uint64(0), bit))),
                         pa.ListArray.from_arrays(pa.array(per_line, pa.int32()), pa.array(packed.view(np.int64))),
                     ],
@@ -415,7 +415,7 @@ def line_classes(docs: DataFrame) -> DataFrame:
     named = _named(docs)
     steps = docs.sparkSession.sparkContext.broadcast(rarity_steps(named))  # SLOTS bytes
     lines = named.mapInArrow(_line_rows(steps), _LINE)
-    first = lines.groupBy("c1", "c2").agg(F.min(F.struct(*_SIDE, "n", "s1", "s2", "words")).alias("f"))
+    first = lines.groupBy("c1", "c2", F.col("n").alias("_n")).agg(F.min(F.struct(*_SIDE, "n", "s1", "s2", "words")).alias("f"))
     return materialize(first.select("f.*"), "classes")
 
 

@@ -7,14 +7,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 _CHUNK = 1 << 20  # bytes looked at together, or one longer text
 _SPACE = np.zeros(256, bool)
 _SPACE[[*range(9, 14), 32]] = True
-_VALUE = np.random.default_rng(20).integers(0, 1 << 64, 256, np.uint64)
-_BASE = 0x9E3779B97F4A7C13  # 3 modulo 8: neither 1 less nor 1 more has many even factors
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
+_WIDE = 16  # bytes of a word that are its hash's input as they are; longer words go through XXH3
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -22,13 +20,24 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(30))
 
 
-def _power(base: int, n: int) -> np.ndarray:
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        steps = np.full(max(n, _CHUNK + 1), base, np.uint64)
-        steps[0] = 1
-        have = _powers[base] = np.cumprod(steps, dtype=np.uint64)
-    return have[:n]
+def word_hashes(data: np.ndarray, at: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each word data[at:end], together 128 bits of its whole bytes."""
+    sizes = end - at
+    padded = np.concatenate([data, np.zeros(_WIDE, np.uint8)])
+    eight = np.lib.stride_tricks.sliding_window_view(padded, 8)
+
+    def lane(first: int) -> np.ndarray:
+        bits = (8 * np.clip(sizes - first, 0, 8)).astype(np.uint64)
+        mask = np.where(bits > 0, np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.maximum(bits, np.uint64(8))), np.uint64(0))
+        return np.ascontiguousarray(eight[at + first]).view("<u8").reshape(-1) & mask
+
+    one, two = (lane(0), lane(8)) if len(at) else (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+    for i in np.flatnonzero(sizes > _WIDE).tolist():
+        one[i], two[i] = np.frombuffer(xxhash.xxh3_128_digest(data[at[i] : end[i]].tobytes()), "<u8")
+    size = sizes.astype(np.uint64)
+    a = mixed(one + size * np.uint64(0x9E3779B97F4A7C15))
+    b = mixed(two ^ (size * np.uint64(0xD6E8FEB86659FD93)))
+    return mixed(a + np.uint64(0xC2B2AE3D27D4EB4F) * b), mixed(b + np.uint64(0x165667B19E3779F9) * (a ^ (a >> np.uint64(29))))
 
 
 @dataclass
@@ -38,6 +47,7 @@ class Tokens:
     first: int
     last: int
     hash: np.ndarray
+    hash2: np.ndarray  # independent of the first
     line: np.ndarray
     lines: int
     lines_of: np.ndarray  # per row
@@ -60,10 +70,7 @@ def tokenize(data: np.ndarray, offsets: np.ndarray, first: int) -> Tokens:
     closes = offsets[1:][offsets[1:] > starts]
     stops[closes] = solid[closes - 1]
     end = np.flatnonzero(stops)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_VALUE[data] * _power(_BASE, n), out=sums[1:])
-    h = (sums[end] - sums[at]) * _power(_INVERSE, n + 1)[at]
-    h = mixed(h ^ (h >> np.uint64(32)))
+    h, h2 = word_hashes(data, at, end)
     breaks = np.flatnonzero(data == 10)
     row_of_break = np.searchsorted(offsets, breaks, "right") - 1
     lines_of = np.bincount(row_of_break, minlength=len(starts)) + 1
@@ -71,7 +78,7 @@ def tokenize(data: np.ndarray, offsets: np.ndarray, first: int) -> Tokens:
     row = np.searchsorted(offsets[1:], at, "right")
     line = np.searchsorted(breaks, at) + row  # a row adds a line to the line breaks before it
     number = np.arange(int(lines_of.sum())) - np.repeat(before, lines_of)
-    return Tokens(first, first + len(starts), h, line, int(lines_of.sum()), lines_of, number)
+    return Tokens(first, first + len(starts), h, h2, line, int(lines_of.sum()), lines_of, number)
 
 
 def token_chunks(column: pa.Array) -> Iterator[Tokens]:
