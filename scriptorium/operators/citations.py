@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptorium.operators.cite import mentions
+
 _YEAR = r"(?:19|20)\d{2}[a-z]?"
 _NAME = r"[A-ZÀ-ɏ][\w'’À-ɏ-]+"
 #: kind -> expression of one citation
@@ -13,7 +15,7 @@ PATTERNS = {
     "paren_number": r"\(\d{1,3}(?:\s*[,–-]\s*\d{1,3})*\)",
     "superscript": "[⁰¹²³⁴-⁹]+(?:[,–⁻][⁰¹²³⁴-⁹]+)*",
     "author_year": rf"\((?:[^()]*?\b{_NAME}[^()]*?,?\s+{_YEAR})+[^()]*\)",
-    "narrative": rf"{_NAME}(?:\s+et al\.|\s+(?:and|&)\s+{_NAME})?\s+\({_YEAR}\)",
+    "narrative": rf"{_NAME}(?:\s+et al\.|\s+(?:and|&)\s+{_NAME})?\s+\({_YEAR}(?:\s*[,–-]\s*(?:{_YEAR}|[a-z]{{1,2}}))*\)",
 }
 NUMERIC = ("bracket", "paren_number", "superscript")
 
@@ -62,10 +64,9 @@ def cited_numbers(citation: Column) -> Column:
 
 
 def cited_names(citation: Column) -> Column:
-    """array<struct<family, year>> of an author-year citation: the first name and the year of each part."""
-    parts = F.split(F.regexp_replace(citation, r"^\(|\)\z", ""), r";\s*")
-    pair = lambda p: F.struct(F.regexp_extract(p, f"({_NAME})", 1).alias("family"), F.regexp_extract(p, r"((?:19|20)\d{2})", 1).alias("year"))
-    return F.filter(F.transform(parts, pair), lambda x: (x["family"] != "") & (x["year"] != ""))
+    """array<struct<family, year>> of an author-year citation: the first name and the year of every reference it means."""
+    pair = lambda m: F.struct(F.get(m["names"], F.lit(0))["family"].alias("family"), m["year"].cast("string").alias("year"))
+    return F.filter(F.transform(mentions(citation), pair), lambda x: x["year"].isNotNull())
 
 
 def cross_check(cited: DataFrame, listed: DataFrame, on: list[str]) -> DataFrame:

@@ -53,3 +53,10 @@ def plain(of: Column) -> Column:
 def annotated(of: Column) -> Column:
     """Text with italic runs in <i> tags."""
     return F.array_join(F.transform(of, lambda r: F.when(r["italic"], F.concat(F.lit("<i>"), r["text"], F.lit("</i>"))).otherwise(r["text"])), "")
+
+
+def html(of: Column) -> Column:
+    """Runs as HTML with i, b and sup elements; `runs` reads the same runs back."""
+    escaped = lambda t: F.replace(F.replace(F.replace(t, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    tag = lambda on, name, t: F.when(on, F.concat(F.lit(f"<{name}>"), t, F.lit(f"</{name}>"))).otherwise(t)
+    return F.array_join(F.transform(of, lambda r: tag(r["italic"], "i", tag(r["bold"], "b", tag(r["sup"], "sup", escaped(r["text"]))))), "")

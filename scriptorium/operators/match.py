@@ -50,41 +50,77 @@ def container_ok(a: Column, b: Column) -> Column:
     return F.when((x == "") & (y == ""), True).when((x == "") | (y == ""), False).otherwise(near)
 
 
+#: Titles count as similar from this share of common words on.
+SIMILAR = 0.6
+_TENTHS = round(SIMILAR * 10)
+
+
 def _side(rows: DataFrame, key: str, ordinal: str, prefix: str) -> DataFrame:
     return rows.select(key, F.col("ordinal").alias(ordinal), F.col("year").alias(f"{prefix}_year"), tokens(F.col("title")).alias(f"{prefix}_tokens"))
 
 
-def _sharing_a_token(p: DataFrame, e: DataFrame, key: str) -> DataFrame:
-    """(key, i, j) of a document's titles that share a word, or have none both."""
-    words = lambda c: F.explode(F.when(F.size(c) > 0, F.col(c)).otherwise(F.array(F.lit("")))).alias("word")
-    return p.select(key, "i", words("p_tokens")).join(e.select(key, "j", words("e_tokens")), [key, "word"]).select(key, "i", "j").distinct()
+def _rare_first(p: DataFrame, e: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """p and e with the words of their titles in one order: the rarest among both sides of a document first."""
+    side = lambda rows, own, at, prefix: rows.select(key, F.lit(own).alias("own"), F.col(at).alias("at"), F.col(f"{prefix}_year").alias("year"), F.explode_outer(f"{prefix}_tokens").alias("word"))
+    words = side(p, True, "i", "p").union(side(e, False, "j", "e"))
+    words = words.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(key, "word")))
+    order = F.array_sort(F.collect_list(F.when(F.col("word").isNotNull(), F.struct("n", "word"))))
+    titles = words.groupBy(key, "own", "at").agg(F.first("year").alias("year"), F.transform(order, lambda x: x["word"]).alias("words"))
+    back = lambda own, at, prefix: titles.filter(F.col("own") == own).select(key, F.col("at").alias(at), F.col("year").alias(f"{prefix}_year"), F.col("words").alias(f"{prefix}_tokens"))
+    return back(True, "i", "p"), back(False, "j", "e")
+
+
+def title_candidates(p: DataFrame, e: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, i, j, p_year, e_year, p_tokens, e_tokens): the pairs of a document that may be similar, each once.
+
+    Of n words in the order of rarity, similar titles share one of the first n - ceil(0.6 n) + 1. Pairs under such a word go on if
+    their sizes allow the similarity, and if what is left from that word on allows it. A pair counts at the first word that its prefixes share. Titles without words are
+    candidates of each other.
+    """
+    p, e = _rare_first(p, e, key)
+    n = lambda c: F.size(c)
+    length = lambda c: F.when(n(c) > 0, n(c) - F.floor((_TENTHS * n(c) + 9) / 10).cast("int") + 1).otherwise(1)
+    prefix = lambda c: F.slice(F.when(n(c) > 0, F.col(c)).otherwise(F.array(F.lit(""))), F.lit(1), length(c))
+    left = p.select("*", F.posexplode(prefix("p_tokens")).alias("p_at", "word"))
+    right = e.select("*", F.posexplode(prefix("e_tokens")).alias("e_at", "word"))
+    both = left.join(right, [key, "word"])
+    np, ne = n("p_tokens"), n("e_tokens")
+    sizes = 10 * F.least(np, ne) >= _TENTHS * F.greatest(np, ne)
+    needed = F.ceil(_TENTHS * (np + ne) / (10 + _TENTHS))
+    left_over = F.least(np - F.col("p_at"), ne - F.col("e_at")) >= needed
+    first = F.get(F.array_intersect(prefix("p_tokens"), prefix("e_tokens")), F.lit(0)) == F.col("word")
+    return both.filter(sizes & left_over & first).select(key, "i", "j", "p_year", "e_year", "p_tokens", "e_tokens")
+
+
+def similar_titles(p: DataFrame, e: DataFrame, key: str = "doc_id") -> DataFrame:
+    """title_candidates that are similar, with their similarity s."""
+    return title_candidates(p, e, key).withColumn("s", token_similarity(F.col("p_tokens"), F.col("e_tokens"))).filter(F.col("s") >= SIMILAR)
 
 
 def match_year_first(parsed: DataFrame, expected: DataFrame, key: str = "doc_id") -> DataFrame:
     """Each expected item's match: the first parsed one of its year, else the best title from 0.6 on; many may share one.
 
-    parsed and expected have (key, ordinal, year, title). Pairs arise inside a document only, on year or shared tokens.
+    parsed and expected have (key, ordinal, year, title). Pairs arise inside a document only, on the year or on rare words of
+    the title.
     """
     p, e = _side(parsed, key, "i", "p"), _side(expected, key, "j", "e")
-    same = e.join(p.withColumn("e_year", F.col("p_year")), [key, "e_year"]).groupBy(key, "j").agg(F.min("i").alias("i"))
-    rest = e.join(same.select(key, "j"), [key, "j"], "left_anti")
-    near = _sharing_a_token(p, rest, key).join(p, [key, "i"]).join(rest, [key, "j"])
-    near = near.withColumn("s", token_similarity(F.col("p_tokens"), F.col("e_tokens"))).filter("s >= 0.6")
-    best = near.groupBy(key, "j").agg(F.min_by("i", F.struct((-F.col("s")).alias("s"), "i")).alias("i"))
+    years = p.groupBy(key, F.col("p_year").alias("e_year")).agg(F.min("i").alias("i"))
+    found = e.join(years, [key, "e_year"], "left")
+    same, rest = found.filter("i is not null"), found.filter("i is null").drop("i")
+    best = similar_titles(p, rest, key).groupBy(key, "j").agg(F.min_by("i", F.struct((-F.col("s")).alias("s"), "i")).alias("i"))
     return same.select(key, "j", "i").union(best.select(key, "j", "i"))
 
 
 def candidate_pairs(parsed: DataFrame, expected: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, i, j, s): pairs of a document with equal year or title similarity from 0.6; s = 2 * equal year + similarity.
 
-    Pairs arise on a year or a word of the title that both have, so a large document isn't paired with itself whole.
+    Pairs arise on a year or on rare words of the title that both have, so a large document isn't paired with itself whole.
     """
     p, e = _side(parsed, key, "i", "p"), _side(expected, key, "j", "e")
-    same = p.withColumn("year", F.col("p_year")).join(e.withColumn("year", F.col("e_year")), [key, "year"]).select(key, "i", "j")
-    both = same.union(_sharing_a_token(p, e, key)).distinct().join(p, [key, "i"]).join(e, [key, "j"])
-    equal = F.coalesce((F.col("p_year") == F.col("e_year")).cast("int"), F.lit(0))
-    pairs = both.withColumn("sim", token_similarity(F.col("p_tokens"), F.col("e_tokens"))).withColumn("eq", equal)
-    return pairs.filter((F.col("eq") == 1) | (F.col("sim") >= 0.6)).select(key, "i", "j", (2 * F.col("eq") + F.col("sim")).alias("s"))
+    same = p.withColumn("year", F.col("p_year")).join(e.withColumn("year", F.col("e_year")), [key, "year"])
+    same = same.select(key, "i", "j", (2 + token_similarity(F.col("p_tokens"), F.col("e_tokens"))).alias("s"))
+    others = similar_titles(p, e, key).filter(~F.coalesce(F.col("p_year") == F.col("e_year"), F.lit(False)))
+    return same.union(others.select(key, "i", "j", "s"))
 
 
 def greedy_one_to_one(pairs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -144,7 +180,8 @@ def passes(found: Column, expected: Column, auth: Column, yr: Column) -> Column:
 def totals(scores: DataFrame, by: str) -> DataFrame:
     """Sums a group, and a last row for all."""
     counts = ("found", "expected", "matched", "auth", "yr", "doi", "doi_total", "cont", "cont_total")
-    return scores.rollup(by).agg(*(F.sum(c).alias(c) for c in counts)).withColumn(by, F.coalesce(by, F.lit("total")))
+    sums = scores.rollup(by).agg(F.grouping(by).alias("_all"), *(F.sum(c).alias(c) for c in counts))
+    return sums.withColumn(by, F.when(F.col("_all") == 1, F.lit("total")).otherwise(F.col(by))).drop("_all")
 
 
 def variant_delta(scores: DataFrame, style: str, variant: str, measure: str, names: tuple[str, str] = ("clean", "messy")) -> DataFrame:
@@ -153,22 +190,30 @@ def variant_delta(scores: DataFrame, style: str, variant: str, measure: str, nam
     return wide.withColumn("delta", F.col(names[1]) - F.col(names[0]))
 
 
+#: References that are looked for together in one text.
+PROBES = 1000
+
+
 def title_probe(docs: DataFrame, refs: DataFrame, words: int = 5) -> DataFrame:
-    """(doc_id, ref_id, found): whether the first words of a document's titles occur in its text, in either form."""
+    """(doc_id, ref_id, found): whether the first words of a document's titles occur in its text, in either form.
+
+    What isn't found with its blanks may be found without, and whatever is found with them is: only texts without blanks are searched. The
+    probes of a document are gathered, at most about `PROBES` together, so its text is put in order and moved once for all its titles.
+    """
     from scriptorium.functions.text import normalize_for_match
 
-    def squashed(c: Column) -> Column:
-        return F.replace(c, F.lit(" "), F.lit(""))
-
-    probe = lambda c: F.array_join(F.slice(F.split(c, " "), 1, words), " ")
-    # a document's text is put in order once, before its titles meet it
-    forms = {"plain": normalize_for_match(F.col("text")), "joined": normalize_for_match(F.col("text"), True)}
-    ready = docs.select("doc_id", *(v.alias(f"_{k}") for k, v in forms.items()))
-    ready = ready.select("*", *(squashed(F.col(f"_{k}")).alias(f"_{k}_squashed") for k in forms))
-    want = {"plain": probe(normalize_for_match(F.col("title"))), "joined": probe(normalize_for_match(F.col("title"), True))}
-    wanted = refs.select("doc_id", "ref_id", *(v.alias(f"_want_{k}") for k, v in want.items()))
-    found = [F.col(f"_{k}").contains(F.col(f"_want_{k}")) | F.col(f"_{k}_squashed").contains(squashed(F.col(f"_want_{k}"))) for k in forms]
-    return wanted.join(ready, "doc_id").select("doc_id", "ref_id", (found[0] | found[1]).alias("found"))
+    squashed = lambda c: F.replace(c, F.lit(" "), F.lit(""))
+    probe = lambda c: squashed(F.array_join(F.slice(F.split(c, " "), 1, words), " "))
+    forms = {"plain": False, "joined": True}
+    own = Window.partitionBy("doc_id")
+    wanted = refs.select("doc_id", "ref_id", *(probe(normalize_for_match(F.col("title"), v)).alias(k) for k, v in forms.items()))
+    lists = F.ceil(F.count(F.lit(1)).over(own) / PROBES)
+    wanted = wanted.withColumn("_list", F.pmod(F.xxhash64("ref_id"), lists))
+    gathered = wanted.groupBy("doc_id", "_list").agg(F.collect_list(F.struct("ref_id", *forms)).alias("_wanted"))
+    ready = docs.select("doc_id", *(squashed(normalize_for_match(F.col("text"), v)).alias(f"_{k}") for k, v in forms.items()))
+    hit = lambda w: F.col("_plain").contains(w["plain"]) | F.col("_joined").contains(w["joined"])
+    told = F.transform("_wanted", lambda w: F.struct(w["ref_id"].alias("ref_id"), hit(w).alias("found")))
+    return gathered.join(ready, "doc_id").select("doc_id", F.explode(told).alias("t")).select("doc_id", "t.*")
 
 
 def report_rows(table: DataFrame, label: str, counts: list[tuple[str, str, str]], width: int = 34) -> DataFrame:

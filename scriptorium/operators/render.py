@@ -3,11 +3,15 @@
 A style is a function from a record's columns to one string; parts without a value vanish with their punctuation, as
 concat() of a null is null and concat_ws() leaves nulls out. A record has type, author, author_etal, title, container,
 volume, issue, page (first-last), year, doi, url, publisher, place, editor, genre, edition.
+
+Styled text is the same text with marks around what is italic, bold or raised; `render_runs` gives it as runs. Marks are only
+written where styled text is asked for, so a plain entry costs nothing for them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,6 +20,12 @@ from scriptorium.functions.binding import let
 
 #: Articles, conjunctions and prepositions, which title case leaves small.
 SMALL_WORDS = "a about above across after against along amid among an and around as at before behind below beneath beside between beyond but by despite down during except for from in inside into like near nor of off on onto or out over per since so than the through throughout till to toward towards under until up upon versus via with within without yet".split()
+#: Marks of styled text, on and off; they are taken out of the records' own texts.
+MARKS = {"italic": ("\ue000", "\ue001"), "bold": ("\ue002", "\ue003"), "raised": ("\ue004", "\ue005")}
+_ALL_MARKS = "".join(a + b for a, b in MARKS.values())
+#: What may stand between a text's last character and its end.
+_END = rf"[{_ALL_MARKS}]*\z"
+_marked: ContextVar[bool] = ContextVar("marked", default=False)
 MONTHS = ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"]
 C = F.col
 
@@ -35,6 +45,18 @@ def join(sep: str, *parts: Column | str) -> Column:
     return _or_null(F.concat_ws(sep, *(F.lit(p) if isinstance(p, str) else _or_null(p) for p in parts)))
 
 
+def styled(c: Column, kind: str) -> Column:
+    """c in a style; null and empty texts stay what they are."""
+    if not _marked.get():
+        return c
+    on, off = MARKS[kind]
+    return let(F.translate(c, _ALL_MARKS, ""), lambda c: F.when(c == "", c).otherwise(cat(on, c, off)))
+
+
+def italic(c: Column) -> Column:
+    return styled(c, "italic")
+
+
 def initials(given: Column, dot: str = ".", gap: str = " ", hyphen: bool = True) -> Column:
     """`Ruth M.` as `R. M.`; hyphenated names keep their hyphen unless told otherwise."""
     short = F.regexp_replace(given, r"([A-ZÀ-ɏ])[^\s-]*", f"$1{dot}")
@@ -52,7 +74,7 @@ def given_first(a: Column, short: Callable[[Column], Column] | None) -> Column:
     return F.coalesce(a["literal"], join(" ", given, a["family"]))
 
 
-def name_list(names: Column, sep: str = ", ", last: str = ", and ", two: str | None = None, least: int = 0, shown: int = 1, et_al: str = " et al.", use_last: bool = False) -> Column:
+def name_list(names: Column, sep: str = ", ", last: str = ", and ", two: str | None = None, least: int = 0, shown: int = 1, et_al: str | Column = " et al.", use_last: bool = False) -> Column:
     """Names joined; from `least` names on, the first ones and `et_al` (or an ellipsis and the last name)."""
 
     def shown_names(names: Column) -> Column:
@@ -117,6 +139,15 @@ def ordinal(n: Column) -> Column:
     return cat(n.cast("string"), end)
 
 
+def letters(n: Column) -> Column:
+    """1 as `a`, 26 as `z`, 27 as `aa`, as the columns of a sheet are named; up to five letters."""
+    out, rest = F.lit(""), n
+    for _ in range(5):
+        out = F.concat(F.when(rest > 0, F.char(F.lit(97) + (rest - 1) % 26)).otherwise(F.lit("")), out)
+        rest = F.when(rest > 0, F.floor((rest - 1) / 26)).otherwise(F.lit(0))
+    return out
+
+
 def page_label(page: Column, one: str = "p.", many: str = "pp.") -> Column:
     return F.when(page.rlike("[-–,&]"), F.lit(many)).otherwise(F.lit(one))
 
@@ -174,34 +205,38 @@ def _kinds(**by_type: Column) -> Column:
 
 
 def _stop(c: Column) -> Column:
-    return let(c, lambda c: F.when(c.rlike(r"[.?!]\z"), c).otherwise(cat(c, ".")))
+    return let(c, lambda c: F.when(c.rlike(rf"[.?!]{_END}"), c).otherwise(cat(c, ".")))
+
+
+def _et_al() -> Column:
+    return cat(" ", italic(F.lit("et al.")))
 
 
 def apa() -> Column:
     who = _people(initials, last=", & ", least=21, shown=19, use_last=True)
-    vip = join(", ", join("", C("volume"), cat("(", _issue(), ")")), pages(C("page")))
+    vip = join(", ", join("", italic(join(", ", C("container"), C("volume"))), cat("(", _issue(), ")")), pages(C("page")))
     ed = _people(initials, first="given", others="given", col="editor", last=", & ", two=" & ")
     head = cat(_stop(who), " (", F.coalesce(C("year").cast("string"), F.lit("n.d.")), "). ")
     home = _kinds(
-        chapter=cat(C("title"), ". In ", join(" ", cat(ed, " (Eds.),"), C("container")), F.coalesce(cat(" (pp. ", pages(C("page")), ")"), F.lit("")), ". ", C("publisher"), "."),
-        conference=cat(C("title"), ". ", join(", ", C("container"), pages(C("page"))), "."), book=cat(join(" ", C("title"), cat("(", _edition(), ")")), ". ", C("publisher"), "."),
-        thesis=cat(C("title"), " [", F.coalesce(C("genre"), F.lit("PhD thesis")), "]. ", C("publisher"), "."), web=cat(C("title"), ". ", join(". ", C("container")), "."),
-        other=cat(C("title"), ". ", join(", ", C("container"), vip), "."),
+        chapter=cat(C("title"), ". In ", join(" ", cat(ed, " (Eds.),"), italic(C("container"))), F.coalesce(cat(" (pp. ", pages(C("page")), ")"), F.lit("")), ". ", C("publisher"), "."),
+        conference=cat(C("title"), ". ", join(", ", italic(C("container")), pages(C("page"))), "."), book=cat(join(" ", italic(C("title")), cat("(", _edition(), ")")), ". ", C("publisher"), "."),
+        thesis=cat(italic(C("title")), " [", F.coalesce(C("genre"), F.lit("PhD thesis")), "]. ", C("publisher"), "."), web=cat(italic(C("title")), ". ", join(". ", C("container")), "."),
+        other=cat(C("title"), ". ", vip, "."),
     )
     return join(" ", cat(F.coalesce(head, F.lit("")), home), _link())
 
 
 def harvard() -> Column:
     short = lambda g: initials(g, gap="")
-    who = _people(short, last=" and ", least=4)
+    who = _people(short, last=" and ", least=4, et_al=_et_al())
     ed = _people(short, first="given", others="given", col="editor", last=" and ")
     q = quoted(C("title"), ",")
     pp = cat("pp. ", pages(C("page")))
     home = _kinds(
-        chapter=cat(q, " in ", join(" ", cat(ed, " (eds.)"), C("container")), ". ", join(", ", join(": ", C("place"), C("publisher")), pp), "."),
-        conference=cat(q, " ", join(", ", join(". ", C("container"), join(": ", C("place"), C("publisher"))), pp), "."), book=cat(C("title"), ". ", join(" ", _edition(), join(": ", C("place"), C("publisher"))), "."),
-        thesis=cat(C("title"), ". ", F.coalesce(C("genre"), F.lit("PhD thesis")), ". ", C("publisher"), "."), web=cat(join(", ", C("title"), C("container")), "."),
-        other=cat(q, " ", join(", ", C("container"), join("", C("volume"), cat("(", _issue(), ")")), pp), "."),
+        chapter=cat(q, " in ", join(" ", cat(ed, " (eds.)"), italic(C("container"))), ". ", join(", ", join(": ", C("place"), C("publisher")), pp), "."),
+        conference=cat(q, " ", join(", ", join(". ", italic(C("container")), join(": ", C("place"), C("publisher"))), pp), "."), book=cat(italic(C("title")), ". ", join(" ", _edition(), join(": ", C("place"), C("publisher"))), "."),
+        thesis=cat(italic(C("title")), ". ", F.coalesce(C("genre"), F.lit("PhD thesis")), ". ", C("publisher"), "."), web=cat(join(", ", italic(C("title")), C("container")), "."),
+        other=cat(q, " ", join(", ", italic(C("container")), join("", C("volume"), cat("(", _issue(), ")")), pp), "."),
     )
     return join(" ", who, cat("(", F.coalesce(C("year").cast("string"), F.lit("no date")), ")"), home, cat("Available at: ", _link(), "."))
 
@@ -218,9 +253,9 @@ def chicago_author_date() -> Column:
     q = quoted(title_case(C("title")), ".")
     pg = pages(C("page"), "chicago")
     home = _kinds(
-        chapter=cat(q, " In ", join(", ", title_case(C("container")), cat("edited by ", _editors())), ". ", C("publisher"), "."), conference=cat(q, " ", join(", ", join(" ", C("container"), cat("(", C("place"), ")")), pg), "."),
-        book=cat(title_case(C("title")), ". ", join(" ", _edition(), C("publisher")), "."), thesis=cat(q, " ", F.coalesce(C("genre"), F.lit("PhD thesis")), ", ", C("publisher"), "."), web=cat(q, " ", C("container"), "."),
-        other=cat(q, " ", join(": ", join(" ", C("container"), C("volume"), cat("(", _issue(), ")")), pg), "."),
+        chapter=cat(q, " In ", join(", ", italic(title_case(C("container"))), cat("edited by ", _editors())), ". ", C("publisher"), "."), conference=cat(q, " ", join(", ", join(" ", italic(C("container")), cat("(", C("place"), ")")), pg), "."),
+        book=cat(italic(title_case(C("title"))), ". ", join(" ", _edition(), C("publisher")), "."), thesis=cat(q, " ", F.coalesce(C("genre"), F.lit("PhD thesis")), ", ", C("publisher"), "."), web=cat(q, " ", C("container"), "."),
+        other=cat(q, " ", join(": ", join(" ", italic(C("container")), C("volume"), cat("(", _issue(), ")")), pg), "."),
     )
     return join(" ", _stop(_chicago_people()), cat(C("year").cast("string"), "."), home, cat(_link(), "."))
 
@@ -229,20 +264,24 @@ def chicago_notes() -> Column:
     q = quoted(title_case(C("title")), ".")
     pg, year = pages(C("page"), "chicago"), C("year").cast("string")
     home = _kinds(
-        chapter=cat(q, " In ", join(", ", title_case(C("container")), cat("edited by ", _editors())), ". ", join(", ", C("publisher"), year), "."), conference=cat(q, " ", join(", ", join(" ", C("container"), cat("(", C("place"), ")")), year, pg), "."),
-        book=cat(title_case(C("title")), ". ", join(" ", _edition(), join(", ", C("publisher"), year)), "."), thesis=cat(q, " ", join(", ", F.coalesce(C("genre"), F.lit("PhD thesis")), C("publisher"), year), "."), web=cat(q, " ", join(", ", C("container"), year), "."),
-        other=cat(q, " ", join(": ", join(" ", join(", ", join(" ", C("container"), C("volume")), _numbered_issue()), cat("(", year, ")")), pg), "."),
+        chapter=cat(q, " In ", join(", ", italic(title_case(C("container"))), cat("edited by ", _editors())), ". ", join(", ", C("publisher"), year), "."), conference=cat(q, " ", join(", ", join(" ", italic(C("container")), cat("(", C("place"), ")")), year, pg), "."),
+        book=cat(italic(title_case(C("title"))), ". ", join(" ", _edition(), join(", ", C("publisher"), year)), "."), thesis=cat(q, " ", join(", ", F.coalesce(C("genre"), F.lit("PhD thesis")), C("publisher"), year), "."), web=cat(q, " ", join(", ", C("container"), year), "."),
+        other=cat(q, " ", join(": ", join(" ", join(", ", join(" ", italic(C("container")), C("volume")), _numbered_issue()), cat("(", year, ")")), pg), "."),
     )
     return join(" ", _stop(_chicago_people()), home, cat(_link(), "."))
 
 
+def _mla_people() -> Column:
+    return _people(None, others="given", last=", and ", two=", and ", least=3, et_al=", et al.")
+
+
 def mla() -> Column:
-    who = _people(None, others="given", last=", and ", two=", and ", least=3, et_al=", et al.")
+    who = _mla_people()
     q = quoted(title_case(C("title")), ".")
     pp, year = cat("pp. ", pages(C("page"), "minimal-two")), C("year").cast("string")
     home = _kinds(
-        chapter=cat(q, " ", join(", ", title_case(C("container")), cat("edited by ", _editors()), C("publisher"), year, pp)), conference=cat(q, " ", join(", ", join(" ", C("container"), cat("[", C("place"), "]")), year, pp)), book=cat(title_case(C("title")), ". ", join(", ", _edition(), C("publisher"), year)),
-        thesis=cat(title_case(C("title")), ". ", join(". ", year, join(", ", C("publisher"), F.coalesce(C("genre"), F.lit("PhD thesis"))))), web=cat(q, " ", join(", ", C("container"), year)), other=cat(q, " ", join(", ", C("container"), cat("vol. ", C("volume")), _numbered_issue(), year, pp)),
+        chapter=cat(q, " ", join(", ", italic(title_case(C("container"))), cat("edited by ", _editors()), C("publisher"), year, pp)), conference=cat(q, " ", join(", ", join(" ", italic(C("container")), cat("[", C("place"), "]")), year, pp)), book=cat(italic(title_case(C("title"))), ". ", join(", ", _edition(), C("publisher"), year)),
+        thesis=cat(italic(title_case(C("title"))), ". ", join(". ", year, join(", ", C("publisher"), F.coalesce(C("genre"), F.lit("PhD thesis"))))), web=cat(q, " ", join(", ", italic(C("container")), year)), other=cat(q, " ", join(", ", italic(C("container")), cat("vol. ", C("volume")), _numbered_issue(), year, pp)),
     )
     return join(" ", _stop(who), cat(join(", ", home, _link()), "."))
 
@@ -262,25 +301,25 @@ def vancouver() -> Column:
 
 
 def nature() -> Column:
-    who = _people(initials, last=" & ", least=6)
+    who = _people(initials, last=" & ", least=6, et_al=_et_al())
     ed = _people(initials, col="editor", last=" & ")
     pg, year = pages(C("page")), C("year").cast("string")
     press = cat("(", join(", ", C("publisher"), C("place"), year), ")")
-    inside = cat(C("title"), ". in ", join(" ", C("container"), cat("(eds. ", ed, ")"), pg, press), ".")
-    home = _kinds(chapter=inside, conference=inside, book=cat(title_case(C("title")), ". ", press, "."), thesis=cat(C("title"), ". ", press, "."), web=cat(join(". ", C("title"), C("container")), " ", C("url"), " (", year, ")."),
-                  other=cat(C("title"), ". ", join(" ", join(", ", join(" ", C("container"), C("volume")), pg), cat("(", year, ")")), "."))
+    inside = cat(C("title"), ". in ", join(" ", italic(C("container")), cat("(eds. ", ed, ")"), pg, press), ".")
+    home = _kinds(chapter=inside, conference=inside, book=cat(italic(title_case(C("title"))), ". ", press, "."), thesis=cat(C("title"), ". ", press, "."), web=cat(join(". ", C("title"), C("container")), " ", C("url"), " (", year, ")."),
+                  other=cat(C("title"), ". ", join(" ", join(", ", join(" ", italic(C("container")), styled(C("volume"), "bold")), pg), cat("(", year, ")")), "."))
     link = F.when(C("volume").isNull() & C("page").isNull() & (C("type") != "webpage") | C("type").isin("paper-conference", "chapter"), F.coalesce(cat("doi:", C("doi"), "."), cat(C("url"), ".")))
     return join(" ", _stop(who), home, link)
 
 
 def ieee() -> Column:
-    who = _people(initials, first="given", others="given", last=", and ", two=" and ", least=7)
+    who = _people(initials, first="given", others="given", last=", and ", two=" and ", least=7, et_al=_et_al())
     ed = _people(initials, first="given", others="given", col="editor", last=", and ", two=" and ")
     q, pp, year = quoted(C("title"), ","), cat("pp. ", pages(C("page"))), C("year").cast("string")
     press = join(": ", C("place"), C("publisher"))
     home = _kinds(
-        chapter=cat(q, " in ", join(", ", C("container"), cat(ed, ", Eds."), press, year, pp)), conference=cat(q, " in ", join(", ", C("container"), press, year, pp)), book=cat(F.coalesce(cat(C("title"), ", ", _edition(), " "), cat(C("title"), ". ")), join(", ", press, year)),
-        thesis=cat(q, " ", join(", ", F.coalesce(C("genre"), F.lit("PhD thesis")), C("publisher"), C("place"), year)), web=cat(q, " ", C("container"), ". [Online]"), other=cat(q, " ", join(", ", C("container"), cat("vol. ", C("volume")), cat("no. ", _issue()), pp, year)),
+        chapter=cat(q, " in ", join(", ", italic(C("container")), cat(ed, ", Eds."), press, year, pp)), conference=cat(q, " in ", join(", ", italic(C("container")), press, year, pp)), book=cat(F.coalesce(cat(italic(C("title")), ", ", _edition(), " "), cat(italic(C("title")), ". ")), join(", ", press, year)),
+        thesis=cat(q, " ", join(", ", F.coalesce(C("genre"), F.lit("PhD thesis")), C("publisher"), C("place"), year)), web=cat(q, " ", C("container"), ". [Online]"), other=cat(q, " ", join(", ", italic(C("container")), cat("vol. ", C("volume")), cat("no. ", _issue()), pp, year)),
     )
     whole = C("type").isin("chapter", "paper-conference")  # their identifier is a sentence of its own
     told = let(cat("doi: ", C("doi")), lambda d: F.when(whole, join(". ", home, d)).otherwise(join(", ", home, d)))
@@ -292,9 +331,9 @@ def acs() -> Column:
     ed = F.when(F.size("editor") > 0, F.array_join(F.transform("editor", lambda a: family_first(a, initials)), ", "))
     t, pg, year = title_case(C("title")), pages(C("page")), C("year").cast("string")
     press = join(", ", join(": ", C("publisher"), C("place")), year)
-    inside = cat(t, ". In ", join("; ", C("container"), cat(ed, ", Eds."), press, cat("pp ", pg)), ".")
-    home = _kinds(chapter=inside, conference=inside, book=cat(join(", ", t, _edition()), "; ", press, "."), thesis=cat(t, ". ", join(", ", F.coalesce(C("genre"), F.lit("PhD thesis")), C("publisher"), year), "."), web=cat(C("title"), ". ", C("container"), "."),
-                  other=cat(t, ". ", join(", ", join(" ", C("container"), year), join(" ", C("volume"), cat("(", _issue(), ")")), pg), "."))
+    inside = cat(t, ". In ", join("; ", italic(C("container")), cat(ed, ", Eds."), press, cat("pp ", pg)), ".")
+    home = _kinds(chapter=inside, conference=inside, book=cat(join(", ", italic(t), _edition()), "; ", press, "."), thesis=cat(t, ". ", join(", ", F.coalesce(C("genre"), F.lit("PhD thesis")), C("publisher"), year), "."), web=cat(C("title"), ". ", C("container"), "."),
+                  other=cat(t, ". ", join(", ", join(" ", italic(C("container")), styled(year, "bold")), join(" ", italic(C("volume")), cat("(", _issue(), ")")), pg), "."))
     org = F.get(C("author"), F.lit(0))["literal"].isNotNull()
     return join(" ", F.when(org, _stop(names)).otherwise(_or_null(names)), home, _link())
 
@@ -304,8 +343,8 @@ def acm() -> Column:
     t, pg, year = C("title"), pages(C("page")), C("year").cast("string")
     ed = _people(None, first="given", others="given", col="editor", last=", and ", two=" and ")
     home = _kinds(
-        chapter=cat(t, ". In ", join(", ", C("container"), cat(ed, " (Eds.)")), ". ", join(", ", C("publisher"), pg), "."), conference=cat(t, ". In ", C("container"), ". ", join(", ", C("publisher"), pg), "."), book=cat(t, ". ", C("publisher"), "."),
-        thesis=cat(t, ". ", F.coalesce(C("genre"), F.lit("PhD thesis")), ". ", C("publisher"), "."), web=cat(t, "."), other=cat(t, ". ", join(", ", join(" ", join(", ", join(" ", C("container"), C("volume")), _issue()), cat("(", year, ")")), pg), "."),
+        chapter=cat(t, ". In ", join(", ", italic(C("container")), cat(ed, " (Eds.)")), ". ", join(", ", C("publisher"), pg), "."), conference=cat(t, ". In ", italic(C("container")), ". ", join(", ", C("publisher"), pg), "."), book=cat(italic(t), ". ", C("publisher"), "."),
+        thesis=cat(t, ". ", F.coalesce(C("genre"), F.lit("PhD thesis")), ". ", C("publisher"), "."), web=cat(t, "."), other=cat(t, ". ", join(", ", join(" ", join(", ", join(" ", italic(C("container")), C("volume")), _issue()), cat("(", year, ")")), pg), "."),
     )
     return join(" ", _stop(who), cat(year, "."), home, _link())
 
@@ -326,21 +365,82 @@ def render(style: str, number: Column | None = None) -> Column:
     return cat(left, number.cast("string"), right, text)
 
 
+def render_marked(style: str, number: Column | None = None) -> Column:
+    """The entry with marks around what the style prints italic, bold or raised."""
+    token = _marked.set(True)
+    try:
+        return render(style, number)
+    finally:
+        _marked.reset(token)
+
+
+def to_runs(marked: Column) -> Column:
+    """Marked text as runs; neighbours in the same style are one run, empty ones go."""
+    from scriptorium.operators.markup import RUN
+
+    def step(acc: Column, piece: Column) -> Column:
+        lead = F.substring(piece, 1, 1)
+        flag = lambda kind: F.when(lead == MARKS[kind][0], True).when(lead == MARKS[kind][1], False).otherwise(acc[kind])
+        text = F.translate(piece, _ALL_MARKS, "")
+
+        def added(run: Column) -> Column:
+            last = F.element_at(F.concat(acc["runs"], F.array(F.lit(None).cast(RUN))), F.greatest(F.size(acc["runs"]), F.lit(1)))
+            same = F.coalesce((last["italic"] == run["italic"]) & (last["bold"] == run["bold"]) & (last["sup"] == run["sup"]), F.lit(False))
+            longer = F.struct(F.concat(last["text"], run["text"]).alias("text"), run["italic"].alias("italic"), run["bold"].alias("bold"), run["sup"].alias("sup"))
+            before = F.slice(acc["runs"], F.lit(1), F.greatest(F.size(acc["runs"]) - 1, F.lit(0)))
+            return F.when(run["text"] == "", acc["runs"]).when(same, F.concat(before, F.array(longer))).otherwise(F.concat(acc["runs"], F.array(run))).cast(f"array<{RUN}>")
+
+        run = F.struct(text.alias("text"), flag("italic").alias("italic"), flag("bold").alias("bold"), flag("raised").alias("sup")).cast(RUN)
+        return let(run, lambda run: F.struct(added(run).alias("runs"), run["italic"].alias("italic"), run["bold"].alias("bold"), run["sup"].alias("raised")))
+
+    off = F.lit(False)
+    start = F.struct(F.array().cast(f"array<{RUN}>").alias("runs"), off.alias("italic"), off.alias("bold"), off.alias("raised"))
+    return F.aggregate(F.split(marked, f"(?=[{_ALL_MARKS}])"), start, step, lambda acc: acc["runs"])
+
+
+def render_runs(style: str, number: Column | None = None) -> Column:
+    """The entry as array<struct(text, italic, bold, sup)>."""
+    return to_runs(render_marked(style, number))
+
+
+#: What the styles' lists are sorted by.
+SORT_KEYS = {"apa": ("author", "year", "title"), "harvard": ("author", "year", "title"), "chicagoAD": ("author", "year", "title"), "chicagoFull": ("author", "title", "year"), "mla": ("author", "title", "year")}
+#: Words are compared without case and accents.
+COLLATION = "UNICODE_CI_AI"
+#: Styles that print a mark for authors who are those of the entry before, and what they print of authors.
+SAME_AUTHORS = {"mla": ("———", _mla_people)}
+
+
+def sort_keys(style: str) -> list[Column]:
+    """A style's keys in the order of a language; an item without authors sorts by its title, one without a year first."""
+    one = lambda a: F.coalesce(a["literal"], F.concat_ws(" ", a["family"], a["given"]))
+    who = _or_null(F.array_join(F.transform("author", one), ", "))
+    keys = {"author": F.coalesce(who, C("title")), "year": C("year"), "title": C("title")}
+    return [F.collate(keys[k], COLLATION) if k != "year" else keys[k] for k in SORT_KEYS[style]]
+
+
 def bibliography(records: DataFrame, style: str, key: str = "doc_id") -> DataFrame:
     """(key, entry_no, text): the style's order, its labels, and an entry a record.
 
-    Author-date styles sort by names, year and title and tell equal names and years apart by a, b, c; numbered styles keep
-    the order of citation (ordinal).
+    Other styles than the numbered ones sort by their keys, then by ordinal; those that cite by year print the letters of their citations.
+    Numbered styles keep the order of citation (ordinal).
     """
+    from scriptorium.operators.cite import CITE_STYLES, label_references
+
     if style in LABELS:
         ranked = records.withColumn("entry_no", F.row_number().over(Window.partitionBy(key).orderBy("ordinal")))
         return ranked.select(key, "entry_no", render(style, C("entry_no")).alias("text"))
-    who = F.array_join(F.transform("author", lambda a: F.lower(F.coalesce(a["family"], a["literal"]))), " ")
-    named = records.withColumn("_who", who)
-    ranked = named.withColumn("entry_no", F.row_number().over(Window.partitionBy(key).orderBy("_who", "year", "title")))
-    year = F.concat(C("year").cast("string"), F.coalesce(C("year_suffix"), F.lit("")))
-    told_apart = year_suffixes(ranked, key).withColumn("year", year)
-    return told_apart.select(key, "entry_no", render(style).alias("text"))
+    order = Window.partitionBy(key).orderBy(*sort_keys(style), "ordinal")
+    ranked = records.withColumn("entry_no", F.row_number().over(order))
+    if style in CITE_STYLES:
+        ranked = label_references(ranked, style, key).withColumn("year", F.concat(C("year").cast("string"), F.coalesce(C("letter"), F.lit(""))))
+    text = render(style)
+    if style in SAME_AUTHORS:
+        mark, people = SAME_AUTHORS[style]
+        ranked = ranked.withColumn("_same", F.coalesce((F.size("author") > 0) & (F.lag("author").over(Window.partitionBy(key).orderBy("entry_no")) == C("author")), F.lit(False)))
+        who = _stop(people())
+        text = F.when(C("_same"), F.concat(F.lit(mark + "."), F.substr(text, F.length(who) + 1))).otherwise(text)
+    return ranked.select(key, "entry_no", text.alias("text"))
 
 
 def year_suffixes(records: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -348,7 +448,7 @@ def year_suffixes(records: DataFrame, key: str = "doc_id") -> DataFrame:
     who = F.array_join(F.transform("author", lambda a: F.lower(F.coalesce(a["family"], a["literal"]))), " ")
     same = Window.partitionBy(key, "_who", "year")
     named = records.withColumn("_who", who).withColumn("_n", F.count(F.lit(1)).over(same)).withColumn("_k", F.row_number().over(same.orderBy("title")))
-    return named.withColumn("year_suffix", F.when(F.col("_n") > 1, F.char(F.lit(96) + F.col("_k")))).drop("_who", "_n", "_k")
+    return named.withColumn("year_suffix", F.when(F.col("_n") > 1, letters(F.col("_k")))).drop("_who", "_n", "_k")
 
 
 def repeated_authors(entries: DataFrame, key: str = "doc_id", author: str = "author_text", mark: str = "---") -> DataFrame:

@@ -114,30 +114,35 @@ def long_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- types ----------------------------------------------------------------------------------------------------------
 
-_TYPES = ("article-journal", "book", "chapter", "paper-conference", "thesis", "webpage", "article")
-_STYLES = tuple(sorted(render.RENDERERS))
+TYPES = ("article-journal", "book", "chapter", "paper-conference", "thesis", "webpage", "article")
+STYLES = tuple(sorted(render.RENDERERS))
 
 
-@query(
-    f"""WITH t AS (SELECT id, title, year, {sql_pick(_STYLES, "k % 10")} AS style, {sql_pick(_TYPES, "(k // 10) % 7")} AS type, {_NAMES_SQL[0]} AS family FROM ({RECORDS_SQL}))
-    SELECT id, style, type, title, CASE WHEN NOT (type = 'webpage' AND style IN ('ieee', 'acs')) THEN year END AS year, family FROM t"""
-)
-def types_of_all_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items of seven types, printed in ten styles and read back. Two styles print no year of a site."""
-    kind = F.get(F.array(*map(F.lit, _TYPES)), (F.floor(_k() / 10) % 7).cast("int"))
-    style = F.get(F.array(*map(F.lit, _STYLES)), (_k() % 10).cast("int"))
+def typed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of seven types, with the style that each is printed in."""
+    kind = F.get(F.array(*map(F.lit, TYPES)), (F.floor(_k() / 10) % 7).cast("int"))
+    style = F.get(F.array(*map(F.lit, STYLES)), (_k() % 10).cast("int"))
     of = lambda *kinds: C("type").isin(*kinds)
     home = F.when(of("chapter"), "Handbook of Coasts").when(of("paper-conference"), "Proceedings of the Coast Meeting").when(of("webpage"), "Port Authority").when(of("article"), "arXiv").when(of("article-journal"), C("container"))
     link = F.when(of("webpage"), F.concat(F.lit("https://example.org/site/"), "id")).when(of("article"), F.concat(F.lit("https://arxiv.org/abs/2101."), F.lpad((_k() % 100000).cast("string"), 5, "0")))
     editor = F.struct(F.lit("Orr").alias("family"), F.lit("Cy").alias("given"), F.lit(None).cast("string").alias("literal"))
     press = F.when(of("book", "chapter"), "Example Press").when(of("thesis"), "University of Graz").when(of("paper-conference"), "Coast Society")
     rows = records(spark, sf_dir).withColumns({"type": kind, "style": style})
-    rows = rows.withColumns({
+    return rows.withColumns({
         "container": home, "url": link, "doi": F.when(of("article-journal"), C("doi")), "volume": F.when(of("article-journal"), C("volume")), "issue": F.when(of("article-journal"), C("issue")),
         "page": F.when(of("article-journal", "chapter", "paper-conference"), C("page")), "editor": F.when(of("chapter"), F.array(editor)).otherwise(C("editor")), "genre": F.when(of("thesis"), "PhD thesis"),
         "publisher": press, "place": F.when(of("book", "chapter", "thesis", "paper-conference"), "Graz"), "edition": F.when(of("book"), "2"),
     })
-    text_of = F.coalesce(*(F.when(C("style") == s, render.render(s)) for s in _STYLES))
+
+
+@query(
+    f"""WITH t AS (SELECT id, title, year, {sql_pick(STYLES, "k % 10")} AS style, {sql_pick(TYPES, "(k // 10) % 7")} AS type, {_NAMES_SQL[0]} AS family FROM ({RECORDS_SQL}))
+    SELECT id, style, type, title, CASE WHEN NOT (type = 'webpage' AND style IN ('ieee', 'acs')) THEN year END AS year, family FROM t"""
+)
+def types_of_all_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of seven types, printed in ten styles and read back. Two styles print no year of a site."""
+    rows = typed_records(spark, sf_dir)
+    text_of = F.coalesce(*(F.when(C("style") == s, render.render(s)) for s in STYLES))
     refs = parse.extract_fields(rows.select("id", "style", text.fold_text(text_of).alias("raw")))
     return refs.select("id", "style", "type", "title", "year", F.coalesce(C("author")[0]["family"], C("author")[0]["literal"]).alias("family"))
 

@@ -132,7 +132,7 @@ def _sql_names(first: str, other: str, sep: str, last: str, two: str | None = No
 
 _PG = "replace(page, '-', '–')"
 _LINK = "'https://doi.org/' || doi"
-_STYLE_SQL = {
+STYLE_SQL = {
     "apa": f"""{_sql_names("{f}, {i}.", "{f}, {i}.", ", ", ", & ")} || ' (' || year || '). ' || title || '. ' || container || ', ' || volume || '(' || issue || '), ' || {_PG} || '. ' || {_LINK}""",
     "harvard": f"""{_sql_names("{f}, {i}.", "{f}, {i}.", ", ", " and ")} || ' (' || year || ') “' || title || ',” ' || container || ', ' || volume || '(' || issue || '), pp. ' || {_PG} || '. Available at: ' || {_LINK} || '.'""",
     "chicagoAD": f"""{_sql_names("{f}, {g}", "{g} {f}", ", ", ", and ")} || '. ' || year || '. “' || title || '.” ' || container || ' ' || volume || ' (' || issue || '): ' || {_PG} || '. ' || {_LINK} || '.'""",
@@ -164,7 +164,7 @@ def _extract(style: str):
 
 
 _FAM = [f for f, _ in _PEOPLE]
-for _style, _sql in _STYLE_SQL.items():
+for _style, _sql in STYLE_SQL.items():
     query(f"SELECT id, {_sql} AS entry FROM ({RECORDS_SQL})", f"render_{_style}")(_render(_style))
     _all = f"CASE n_authors WHEN 1 THEN {_FAM[0]} WHEN 2 THEN {_FAM[0]} || ';' || {_FAM[1]} ELSE {_FAM[0]} || ';' || {_FAM[1]} || ';' || {_FAM[2]} END"
     if _style == "mla":
@@ -175,7 +175,7 @@ for _style, _sql in _STYLE_SQL.items():
         f"extract_{_style}",
     )(_extract(_style))
 
-_ORDER = tuple(_STYLE_SQL)
+_ORDER = tuple(STYLE_SQL)
 
 
 @cache

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scriptorium.functions import dates
+
 CSL_ITEM = """id string, type string, title string, author array<struct<family:string,given:string,literal:string>>,
 editor array<struct<family:string,given:string,literal:string>>, `container-title` string, volume string, issue string, page string,
 issued struct<`date-parts`:array<array<bigint>>>, accessed struct<`date-parts`:array<array<bigint>>>, DOI string, URL string, ISBN string,
@@ -41,17 +43,17 @@ def _as_struct(ddl: str) -> str:
 
 
 def records(items: DataFrame) -> DataFrame:
-    """CSL items under the engine's record names."""
+    """CSL items under the engine's record names; issued and accessed are dates as far as they are known (`functions.dates`)."""
     c = F.col
-    parts = c("issued")["date-parts"]
+    issued = dates.of_parts(c("issued")["date-parts"])
     return items.select(
         *(x for x in ("path", "ordinal") if x in items.columns), "id", "type", "title", "author", F.lit(False).alias("author_etal"), "editor", c("container-title").alias("container"), "volume", "issue", "page",
-        F.get(F.get(parts, F.lit(0)), F.lit(0)).cast("int").alias("year"), c("DOI").alias("doi"), c("URL").alias("url"), c("ISBN").alias("isbn"), "publisher", c("publisher-place").alias("place"), "genre", "edition",
+        dates.year_of(issued).alias("year"), issued.alias("issued"), dates.of_parts(c("accessed")["date-parts"]).alias("accessed"), c("DOI").alias("doi"), c("URL").alias("url"), c("ISBN").alias("isbn"), "publisher", c("publisher-place").alias("place"), "genre", "edition",
     )
 
 
 def entries(spark: SparkSession, path: str) -> DataFrame:
     """(path, entry_no, text): paragraphs of text files, separated by blank lines."""
     whole = documents(spark, path)
-    paragraphs = F.filter(F.transform(F.split("text", r"\n\s*\n"), F.trim), lambda p: p != "")
+    paragraphs = F.filter(F.transform(F.split("text", r"\n\s*\n"), lambda p: F.trim(p)), lambda p: p != "")
     return whole.select("path", F.posexplode(paragraphs).alias("entry_no", "text"))
