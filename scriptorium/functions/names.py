@@ -20,6 +20,8 @@ ORGANISATIONS = r"\b(?i:" + "|".join(_BODIES.split()) + r")\b|\b(?:Inc|Ltd|LLC|C
 _CAPITALISED = r"\p{Lu}[\p{L}\p{N}'’-]+"
 _BODY_NAME = rf"^{_CAPITALISED}(?:\s+(?:{_CAPITALISED}|\p{{Lu}}|&|and|for|in|of|on|the))*\s+{_CAPITALISED}$"
 
+#: Words after a family name that belong to it.
+_SUFFIXES = ("jr", "sr", "ii", "iii", "iv")
 _JOINT = "\u0002"
 #: style -> (order of a name's parts, where the list is split)
 CONVENTIONS = {
@@ -77,13 +79,16 @@ def people_sql(style: str, block: str) -> str:
     bare = f"trim(regexp_replace(regexp_replace(x, '^(?:(?i:and)\\\\s+|&\\\\s*)', ''), '[,;]+$', ''))"
     order = lambda kind: _in(style, tuple(k for k, v in CONVENTIONS.items() if v[0] == kind))
     two = quote(r"^(.*\S)\s+(\S+)\z")
-    suffixed = quote(r"(?i)^(.+?)\s(\S+\s+(?:Jr|Sr|II|III|IV))\.?\z")
+    words = "split(n, ' ')"
+    suffixed = f"(size({words}) > 2 and array_contains(array({', '.join(map(quote, _SUFFIXES))}), lower(rtrim('.', element_at({words}, -1)))))"
+    with_suffix = _named(f"rtrim('.', array_join(slice({words}, -2, 2), ' '))", f"array_join(slice({words}, 1, size({words}) - 2), ' ')")
+    acronym = r"(length(n) > 3 and rlike(n, '^\\p{Lu}{2}') and not rlike(n, '\\p{Ll}'))"
     named = (
         f"case when contains(n, {quote(_JOINT)}) then {_named(f'trim(get(split(n, {quote(_JOINT)}), 0))', f'trim(get(split(n, {quote(_JOINT)}), 1))')}"
         f" when {order('family first')} then if(contains(n, ','), {_named("trim(substring_index(n, ',', 1))", "trim(substr(n, instr(n, ',') + 1))")}, {_named(literal='n')})"
         f" when {order('family, initials')} then {_named("get(split(n, ' '), 0)", "nullif(trim(substr(n, length(get(split(n, ' '), 0)) + 1)), '')")}"
-        f" when {style} = 'acm' and (rlike(n, {quote(ORGANISATIONS)}) or rlike(n, '^[A-Z][A-Z0-9 &.-]{{3,}}$')) then {_named(literal='n')}"
-        f" when {style} = 'acm' and rlike(n, {suffixed}) then {_named(f'regexp_extract(n, {suffixed}, 2)', f'regexp_extract(n, {suffixed}, 1)')}"
+        f" when {style} = 'acm' and (rlike(n, {quote(ORGANISATIONS)}) or {acronym}) then {_named(literal='n')}"
+        f" when {style} = 'acm' and {suffixed} then {with_suffix}"
         f" when rlike(n, {two}) then {_named(f'regexp_extract(n, {two}, 2)', f'regexp_extract(n, {two}, 1)')} else {_named(literal='n')} end"
     )
     each = f"transform(filter(transform({parts}, x -> {bare}), n -> n <> ''), n -> {named})"

@@ -212,33 +212,46 @@ def _et_al() -> Column:
     return cat(" ", italic(F.lit("et al.")))
 
 
+def _nobody() -> Column:
+    return F.coalesce(F.size("author"), F.lit(0)) <= 0
+
+
+def _pair_of_kinds(**by_type: tuple[Column, Column]) -> tuple[Column, Column]:
+    """By type, what stands for the work itself, and what says where it appeared."""
+    return _kinds(**{k: v[0] for k, v in by_type.items()}), _kinds(**{k: v[1] for k, v in by_type.items()})
+
+
 def apa() -> Column:
+    """Without authors the title stands in their place, before the year."""
     who = _people(initials, last=", & ", least=21, shown=19, use_last=True)
     vip = join(", ", join("", italic(join(", ", C("container"), C("volume"))), cat("(", _issue(), ")")), pages(C("page")))
     ed = _people(initials, first="given", others="given", col="editor", last=", & ", two=" & ")
-    head = cat(_stop(who), " (", F.coalesce(C("year").cast("string"), F.lit("n.d.")), "). ")
-    home = _kinds(
-        chapter=cat(C("title"), ". In ", join(" ", cat(ed, " (Eds.),"), italic(C("container"))), F.coalesce(cat(" (pp. ", pages(C("page")), ")"), F.lit("")), ". ", C("publisher"), "."),
-        conference=cat(C("title"), ". ", join(", ", italic(C("container")), pages(C("page"))), "."), book=cat(join(" ", italic(C("title")), cat("(", _edition(), ")")), ". ", C("publisher"), "."),
-        thesis=cat(italic(C("title")), " [", F.coalesce(C("genre"), F.lit("PhD thesis")), "]. ", C("publisher"), "."), web=cat(italic(C("title")), ". ", join(". ", C("container")), "."),
-        other=cat(C("title"), ". ", vip, "."),
+    date = cat("(", F.coalesce(C("year").cast("string"), F.lit("n.d.")), ").")
+    own, rest = _pair_of_kinds(
+        chapter=(C("title"), cat("In ", join(" ", cat(ed, " (Eds.),"), italic(C("container"))), F.coalesce(cat(" (pp. ", pages(C("page")), ")"), F.lit("")), ". ", C("publisher"))),
+        conference=(C("title"), join(", ", italic(C("container")), pages(C("page")))), book=(join(" ", italic(C("title")), cat("(", _edition(), ")")), C("publisher")),
+        thesis=(cat(italic(C("title")), " [", F.coalesce(C("genre"), F.lit("PhD thesis")), "]"), C("publisher")), web=(italic(C("title")), C("container")), other=(C("title"), vip),
     )
-    return join(" ", cat(F.coalesce(head, F.lit("")), home), _link())
+    return join(" ", cat(_stop(who), " ", date), _stop(own), F.when(_nobody(), date), _stop(rest), _link())
 
 
 def harvard() -> Column:
+    """Without authors an article's journal stands in their place, else the title; it isn't said again."""
     short = lambda g: initials(g, gap="")
     who = _people(short, last=" and ", least=4, et_al=_et_al())
     ed = _people(short, first="given", others="given", col="editor", last=" and ")
     q = quoted(C("title"), ",")
     pp = cat("pp. ", pages(C("page")))
-    home = _kinds(
-        chapter=cat(q, " in ", join(" ", cat(ed, " (eds.)"), italic(C("container"))), ". ", join(", ", join(": ", C("place"), C("publisher")), pp), "."),
-        conference=cat(q, " ", join(", ", join(". ", italic(C("container")), join(": ", C("place"), C("publisher"))), pp), "."), book=cat(italic(C("title")), ". ", join(" ", _edition(), join(": ", C("place"), C("publisher"))), "."),
-        thesis=cat(italic(C("title")), ". ", F.coalesce(C("genre"), F.lit("PhD thesis")), ". ", C("publisher"), "."), web=cat(join(", ", italic(C("title")), C("container")), "."),
-        other=cat(q, " ", join(", ", italic(C("container")), join("", C("volume"), cat("(", _issue(), ")")), pp), "."),
+    article = C("type") == "article-journal"
+    own, rest = _pair_of_kinds(
+        chapter=(q, cat("in ", join(" ", cat(ed, " (eds.)"), italic(C("container"))), ". ", join(", ", join(": ", C("place"), C("publisher")), pp))),
+        conference=(q, join(", ", join(". ", italic(C("container")), join(": ", C("place"), C("publisher"))), pp)), book=(_stop(italic(C("title"))), join(" ", _edition(), join(": ", C("place"), C("publisher")))),
+        thesis=(_stop(italic(C("title"))), cat(F.coalesce(C("genre"), F.lit("PhD thesis")), ". ", C("publisher"))), web=(cat(italic(C("title")), F.when(C("container").isNull(), ".").otherwise(",")), C("container")),
+        other=(q, join(", ", italic(F.when(~(_nobody() & article), C("container"))), join("", C("volume"), cat("(", _issue(), ")")), pp)),
     )
-    return join(" ", who, cat("(", F.coalesce(C("year").cast("string"), F.lit("no date")), ")"), home, cat("Available at: ", _link(), "."))
+    title = _kinds(chapter=quoted(C("title")), conference=quoted(C("title")), other=italic(C("title")))
+    head = F.when(_nobody(), F.when(article, italic(C("container"))).otherwise(title)).otherwise(who)
+    return join(" ", head, cat("(", F.coalesce(C("year").cast("string"), F.lit("no date")), ")"), F.when(~_nobody() | article, own), _stop(rest), cat("Available at: ", _link(), "."))
 
 
 def _chicago_people() -> Column:
@@ -250,14 +263,16 @@ def _editors() -> Column:
 
 
 def chicago_author_date() -> Column:
+    """Without authors the title stands in their place, before the year."""
     q = quoted(title_case(C("title")), ".")
     pg = pages(C("page"), "chicago")
-    home = _kinds(
-        chapter=cat(q, " In ", join(", ", italic(title_case(C("container"))), cat("edited by ", _editors())), ". ", C("publisher"), "."), conference=cat(q, " ", join(", ", join(" ", italic(C("container")), cat("(", C("place"), ")")), pg), "."),
-        book=cat(italic(title_case(C("title"))), ". ", join(" ", _edition(), C("publisher")), "."), thesis=cat(q, " ", F.coalesce(C("genre"), F.lit("PhD thesis")), ", ", C("publisher"), "."), web=cat(q, " ", C("container"), "."),
-        other=cat(q, " ", join(": ", join(" ", italic(C("container")), C("volume"), cat("(", _issue(), ")")), pg), "."),
+    own, rest = _pair_of_kinds(
+        chapter=(q, cat("In ", join(", ", italic(title_case(C("container"))), cat("edited by ", _editors())), ". ", C("publisher"))), conference=(q, join(", ", join(" ", italic(C("container")), cat("(", C("place"), ")")), pg)),
+        book=(_stop(italic(title_case(C("title")))), join(" ", _edition(), C("publisher"))), thesis=(q, cat(F.coalesce(C("genre"), F.lit("PhD thesis")), ", ", C("publisher"))), web=(q, C("container")),
+        other=(q, join(": ", join(" ", italic(C("container")), C("volume"), cat("(", _issue(), ")")), pg)),
     )
-    return join(" ", _stop(_chicago_people()), cat(C("year").cast("string"), "."), home, cat(_link(), "."))
+    year = cat(C("year").cast("string"), ".")
+    return join(" ", _stop(_chicago_people()), F.when(~_nobody(), year), own, F.when(_nobody(), year), _stop(rest), cat(_link(), "."))
 
 
 def chicago_notes() -> Column:

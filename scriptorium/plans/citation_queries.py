@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.operators import citations, cite
-from scriptorium.plans.synthetic import RECORDS_SQL, pick, records, sql_pick
+from scriptorium.operators import citations, cite, lookup
+from scriptorium.plans.synthetic import RECORDS_SQL, pick, records, sql_pick, table
 
 C = F.col
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -194,3 +194,17 @@ def years_of_narratives(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = _sentence("As ", C("author")[0]["family"], " et al. (", year.cast("string"), "a, ", (year + 41).cast("string"), ") show, it holds.")
     bodies = records(spark, sf_dir).select((C("doc_id") % 50).cast("int").alias("doc_id"), body.alias("text"))
     return _mentions(bodies, ("narrative",)).groupBy(C("doc_id").alias("grp"), C("year").cast("long").alias("year")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    f"""WITH c AS (SELECT CASE WHEN l_linenumber % 3 = 1 THEN 1 WHEN l_linenumber = 6 THEN NULL ELSE l_orderkey + l_linenumber % 2 END AS ref, l_linenumber FROM lineitem)
+    SELECT c.ref, any_value(r.title) AS title, any_value(r.year) AS year, count(*) AS times FROM c LEFT JOIN ({RECORDS_SQL}) r ON r.id = c.ref GROUP BY c.ref"""
+)
+def cited_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys cited by the rows of lineitem, one of them in a third of all, looked up in the records without a broadcast of the index."""
+    line = C("l_linenumber")
+    key = F.when(line % 3 == 1, F.lit(1)).when(line != 6, C("l_orderkey") + line % 2).cast("long")
+    cited = table(spark, sf_dir, "lineitem").select(key.alias("ref"), "l_linenumber")
+    items = records(spark, sf_dir).select("id", "title", "year")
+    found = lookup.by_key(cited, items, small=0)
+    return found.groupBy("ref").agg(F.first("title").alias("title"), F.first("year").alias("year"), F.count(F.lit(1)).alias("times"))
