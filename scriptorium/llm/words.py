@@ -12,6 +12,8 @@ import xxhash
 _CHUNK = 1 << 20  # bytes looked at together, or one longer text
 _SPACE = np.zeros(256, bool)
 _SPACE[[*range(9, 14), 32]] = True
+#: Of a number's bytes, the first 0 to 8.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 _WIDE = 16  # bytes of a word that are its hash's input as they are; longer words go through XXH3
 
 
@@ -23,15 +25,12 @@ def mixed(h: np.ndarray) -> np.ndarray:
 def word_hashes(data: np.ndarray, at: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two hashes of each word data[at:end], together 128 bits of its whole bytes."""
     sizes = end - at
-    padded = np.concatenate([data, np.zeros(_WIDE, np.uint8)])
-    eight = np.lib.stride_tricks.sliding_window_view(padded, 8)
-
-    def lane(first: int) -> np.ndarray:
-        bits = (8 * np.clip(sizes - first, 0, 8)).astype(np.uint64)
-        mask = np.where(bits > 0, np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.maximum(bits, np.uint64(8))), np.uint64(0))
-        return np.ascontiguousarray(eight[at + first]).view("<u8").reshape(-1) & mask
-
-    one, two = (lane(0), lane(8)) if len(at) else (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+    eight = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(_WIDE, np.uint8)]), 8)
+    one, two, more = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64), np.flatnonzero(sizes > 8)
+    if len(at):
+        one = eight[at].view("<u8").reshape(-1) & _FIRST[np.minimum(sizes, 8)]
+    if len(more):
+        two[more] = eight[at[more] + 8].view("<u8").reshape(-1) & _FIRST[np.minimum(sizes[more] - 8, 8)]
     for i in np.flatnonzero(sizes > _WIDE).tolist():
         one[i], two[i] = np.frombuffer(xxhash.xxh3_128_digest(data[at[i] : end[i]].tobytes()), "<u8")
     size = sizes.astype(np.uint64)
