@@ -1,7 +1,7 @@
 """Near-duplicates by MinHash bands, screened by odd sketches and confirmed on whole shingle sets.
 
-A document's set holds its distinct shingles of three words; two documents are linked if the Jaccard similarity of their
-sets is at least 0.85.
+A document's set holds its distinct shingles of `shingle` words (three); two documents are linked if the Jaccard similarity of their
+sets is at least `percent` (85) hundredths.
 
 1. Signatures. `BANDS` x `ROWS` MinHash samples give one key a band. All samples are also folded into an odd sketch: each sample,
    with its number, flips one of `BITS` bits. The exclusive or of two sketches has a set bit for an odd number of flips by samples
@@ -14,7 +14,7 @@ sets is at least 0.85.
    across components by whole sets: the largest component of a group in blocks against the blocks of the others, and those among
    themselves. A group of n others in blocks of b words costs about n / b copies of its texts.
 
-A pair with a Jaccard of 0.85 shares no band with a probability of (1 - 0.85^5)^32 = 7e-9, a more similar one with less. Pairs that are
+A pair with a Jaccard of 0.85 shares no band with a probability of (1 - 0.85^5)^32 = 7e-9, one of 0.8 with 3e-6, a more similar one with less. Pairs that are
 not linked are never confirmed: every link has been counted on the sets.
 
 Defined results: a text without words (null and empty ones too) has no shingles, and is linked with nothing; one of fewer than three words
@@ -72,20 +72,20 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: ASCII letters and white space only
 
 
-def shingles(words: list[bytes]) -> set:
-    return set(zip(words, words[1:], words[2:])) if len(words) >= SHINGLE else {tuple(words)} if words else set()
+def shingles(words: list[bytes], size: int = SHINGLE) -> set:
+    return set(zip(*(words[i:] for i in range(size)), strict=False)) if len(words) >= size else {tuple(words)} if words else set()
 
 
 def _hash(word: bytes) -> bytes:
     return _words[word] if len(word) <= _LONG_WORD else xxhash.xxh3_64_digest(word, 13)
 
 
-def samples(words: list[bytes]) -> np.ndarray:
+def samples(words: list[bytes], size: int = SHINGLE) -> np.ndarray:
     """The MinHash samples of a document's shingles."""
     h = np.frombuffer(b"".join(map(_hash, words)), "<u8")
-    n = max(1, len(h) - SHINGLE + 1)
+    n = max(1, len(h) - size + 1)
     x = np.zeros(n, np.uint64)
-    for i in range(min(SHINGLE, len(h))):
+    for i in range(min(size, len(h))):
         x = mixed(x * np.uint64(0x9E3779B97F4A7C15) + h[i : i + n])
     least = np.full(SAMPLES, np.iinfo(np.uint64).max)
     for at in range(0, n, 512):
@@ -93,36 +93,41 @@ def samples(words: list[bytes]) -> np.ndarray:
     return least
 
 
-def signature(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def signature(words: list[bytes], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """One key per band, and the odd sketch as LONGS numbers."""
-    least = samples(words)
+    least = samples(words, size)
     keys = mixed((mixed(least).reshape(BANDS, ROWS) * _FACTORS[:ROWS]).sum(1, dtype=np.uint64) + _SHIFTS[:BANDS])
     place = mixed(least ^ _SHIFTS) % np.uint64(BITS)
     flips = np.bincount(place.astype(np.int64), minlength=BITS) & 1
     return keys.view(np.int64), np.packbits(flips.astype(np.uint8)).view("<i8")
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "digest", "n", "bands", "sketch"]
-    for batch in batches:
-        digests, sizes, bands, sketches = [], [], [], []
-        for text in batch.column("text"):
-            words = words_of(text.as_py())
-            digests.append(hashlib.blake2b(b" ".join(words), digest_size=16).digest() if words else None)
-            sizes.append(len(shingles(words)))
-            one, two = signature(words) if words else (None, None)
-            bands.append(one)
-            sketches.append(two)
-        cols = [batch.column("doc_id"), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(cols, names)
+def _signed(size: int) -> Callable:
+    """Of rows (text, other columns): the others, and of each text digest, n, bands and sketch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests, sizes, bands, sketches = [], [], [], []
+            for text in batch.column("text"):
+                words = words_of(text.as_py())
+                digests.append(hashlib.blake2b(b" ".join(words), digest_size=16).digest() if words else None)
+                sizes.append(len(shingles(words, size)))
+                one, two = signature(words, size) if words else (None, None)
+                bands.append(one)
+                sketches.append(two)
+            own = [pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))]
+            _, *others = batch.columns
+            yield pa.RecordBatch.from_arrays([*others, *own], [*batch.schema.names[1:], "digest", "n", "bands", "sketch"])
+
+    return run
 
 
 def _written(df: DataFrame, label: str, tasks: int) -> DataFrame:
     return materialize(df.coalesce(tasks), label, "snappy")
 
 
-def _near_size(a: Column, b: Column) -> Column:
-    return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
+def _near_size(a: Column, b: Column, percent: int) -> Column:
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
 def _apart(a: Column, b: Column) -> Column:
@@ -149,21 +154,25 @@ def _texts_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame, tasks: int
     return _written(found.groupBy("cid").agg(F.first("words").alias("words")), "texts", tasks)
 
 
-def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _confirmed(size: int, percent: int) -> Callable:
     """Of rows (u, v, u_words, v_words) the linked pairs; rows of one v follow each other."""
-    held, other = None, set()
-    for batch in batches:
-        keep = []
-        for v, one, two in zip(batch.column("v").to_pylist(), batch.column("u_words"), batch.column("v_words"), strict=True):
-            if v != held:
-                held, other = v, shingles(two.as_py().split(b" "))
-            mine = shingles(one.as_py().split(b" "))
-            common = len(mine & other)
-            keep.append(100 * common >= PERCENT * (len(mine) + len(other) - common))
-        yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, other = None, set()
+        for batch in batches:
+            keep = []
+            for v, one, two in zip(batch.column("v").to_pylist(), batch.column("u_words"), batch.column("v_words"), strict=True):
+                if v != held:
+                    held, other = v, shingles(two.as_py().split(b" "), size)
+                mine = shingles(one.as_py().split(b" "), size)
+                common = len(mine & other)
+                keep.append(100 * common >= percent * (len(mine) + len(other) - common))
+            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
 
 
-def _screened(block: int, limit: int) -> Callable:
+def _screened(block: int, limit: int, percent: int) -> Callable:
     """Of rows (key, cid, root, n, sketch) sorted by key: kind 0: links (a, b) that span what sketches may link across roots;
     kind 1: members of keys with more than `block` rows, with their key."""
 
@@ -175,7 +184,7 @@ def _screened(block: int, limit: int) -> Callable:
 
         def close() -> pa.RecordBatch:
             cid, root, n, sketch = (np.concatenate(x) for x in zip(*held, strict=True))
-            links = across(cid, root, n, sketch, limit, None)
+            links = across(cid, root, n, sketch, limit, percent, None)
             return out(0, *np.array(links, np.int64).reshape(-1, 2).T)
 
         for batch in batches:
@@ -200,7 +209,7 @@ def _screened(block: int, limit: int) -> Callable:
     return run
 
 
-def across(cid: np.ndarray, root: np.ndarray, n: np.ndarray, sketch: np.ndarray, limit: int, linked: Callable | None) -> list[tuple[int, int]]:
+def across(cid: np.ndarray, root: np.ndarray, n: np.ndarray, sketch: np.ndarray, limit: int, percent: int, linked: Callable | None) -> list[tuple[int, int]]:
     """Links between members of different roots that connect what all links would connect.
 
     A pair may be linked if sizes and sketches allow it; `linked(at, others)`, if given, tells which of those it really links.
@@ -209,7 +218,7 @@ def across(cid: np.ndarray, root: np.ndarray, n: np.ndarray, sketch: np.ndarray,
     if (root == root[0]).all():
         return out
     for at in range(len(cid)):
-        other = np.flatnonzero((root != root[at]) & (100 * np.minimum(n, n[at]) >= PERCENT * np.maximum(n, n[at])))
+        other = np.flatnonzero((root != root[at]) & (100 * np.minimum(n, n[at]) >= percent * np.maximum(n, n[at])))
         if not len(other):
             continue
         other = other[np.bitwise_count(sketch[other] ^ sketch[at]).sum(1, dtype=np.int64) <= limit]
@@ -222,26 +231,26 @@ def across(cid: np.ndarray, root: np.ndarray, n: np.ndarray, sketch: np.ndarray,
     return out
 
 
-def _blocks_linked(limit: int) -> Callable:
+def _blocks_linked(limit: int, size: int, percent: int) -> Callable:
     """Rows (key, cid, root, n, sketch, words) sorted by key to links (u, v) by whole sets across roots."""
 
     def close(held: list) -> pa.RecordBatch:
         cid, root, n, sketch, words = zip(*held, strict=True)
         number: dict = {}
-        ids = [np.array([number.setdefault(s, len(number)) for s in shingles(w.split(b" "))], np.int64) for w in words]
+        ids = [np.array([number.setdefault(s, len(number)) for s in shingles(w.split(b" "), size)], np.int64) for w in words]
         sizes = np.array([len(x) for x in ids])
         flat, ends = np.concatenate(ids), np.cumsum(sizes)
         marked = np.zeros(len(number), bool)
 
         def linked(at: int, other: np.ndarray) -> np.ndarray:
             marked[ids[at]] = True
-            size = sizes[other]
-            places = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(ends[other] - size, size)
-            common = np.add.reduceat(marked[flat[places]], np.cumsum(size) - size, dtype=np.int64)  # no set is empty
+            long = sizes[other]
+            places = np.arange(long.sum()) - np.repeat(np.cumsum(long) - long, long) + np.repeat(ends[other] - long, long)
+            common = np.add.reduceat(marked[flat[places]], np.cumsum(long) - long, dtype=np.int64)  # no set is empty
             marked[ids[at]] = False
-            return 100 * common >= PERCENT * (sizes[at] + size - common)
+            return 100 * common >= percent * (sizes[at] + long - common)
 
-        links = across(np.array(cid), np.array(root), np.array(n), np.array(sketch, np.int64).view(np.uint64), limit, linked)
+        links = across(np.array(cid), np.array(root), np.array(n), np.array(sketch, np.int64).view(np.uint64), limit, percent, linked)
         u, v = np.array(links, np.int64).reshape(-1, 2).T
         return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
@@ -266,18 +275,18 @@ def _rooted(classes: DataFrame, links: DataFrame) -> DataFrame:
     return classes.join(connected_components(links).withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("component", "cid")).drop("component")
 
 
-def _noted(rows: DataFrame, block: int, limit: int, tasks: int) -> DataFrame:
+def _noted(rows: DataFrame, block: int, limit: int, percent: int, tasks: int) -> DataFrame:
     dealt = rows.repartition(shuffle_partitions(rows.sparkSession), "key").sortWithinPartitions("key", "cid")
-    return _written(dealt.mapInArrow(_screened(block, limit), "kind byte, a long, b long"), "noted", tasks)
+    return _written(dealt.mapInArrow(_screened(block, limit, percent), "kind byte, a long, b long"), "noted", tasks)
 
 
-def _may_link(keys: DataFrame, rooted: DataFrame, block: int, limit: int, tasks: int) -> DataFrame:
+def _may_link(keys: DataFrame, rooted: DataFrame, block: int, limit: int, percent: int, tasks: int) -> DataFrame:
     """(u, v): links across roots that span, under each key, what sketches may link."""
     rows = keys.join(rooted.select("cid", "root"), "cid")
     mixed_keys = rows.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r < s").select("key")
     rows = _written(rows.join(mixed_keys, "key", "left_semi"), "rest", tasks)
     features = rooted.select("cid", "n", "sketch")
-    first = _noted(rows.join(features, "cid").select("key", "cid", "root", "n", "sketch"), block, limit, tasks)
+    first = _noted(rows.join(features, "cid").select("key", "cid", "root", "n", "sketch"), block, limit, percent, tasks)
     found = first.filter("kind = 0").select(F.col("a").alias("u"), F.col("b").alias("v"))
     large = first.filter("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("cid"))
     if not large.isEmpty():
@@ -286,7 +295,7 @@ def _may_link(keys: DataFrame, rooted: DataFrame, block: int, limit: int, tasks:
         pairs = dealt.select("key", "cid", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
         key = F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))
         pairs = pairs.select(key.alias("key"), "cid").join(rooted.select("cid", "root", "n", "sketch"), "cid").select("key", "cid", "root", "n", "sketch")
-        found = found.union(_noted(pairs, 1 << 62, limit, tasks).select(F.col("a").alias("u"), F.col("b").alias("v")))
+        found = found.union(_noted(pairs, 1 << 62, limit, percent, tasks).select(F.col("a").alias("u"), F.col("b").alias("v")))
     return found.distinct()
 
 
@@ -306,12 +315,14 @@ def _dealt(members: DataFrame, block_words: int) -> DataFrame:
     return rows.withColumn("pair", F.explode(pairs)).withColumn("key", F.xxhash64("grp", "pair")).drop("a", "b", "main", "in_main", "mine", "pair")
 
 
-def near_components(docs: DataFrame, block_words: int = BLOCK_WORDS, block_classes: int = BLOCK_CLASSES) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id (least doc_id reachable), kept (doc_id is that id)."""
+def rooted_classes(docs: DataFrame, own: dict[str, Column], size: int = SHINGLE, percent: int = PERCENT, block_words: int = BLOCK_WORDS, block_classes: int = BLOCK_CLASSES) -> tuple[DataFrame, DataFrame]:
+    """The rows of docs with doc_id, the columns `own`, n and digest, and the classes: digest, least (doc_id) and root, which linked classes share."""
     spark = docs.sparkSession
     ship(spark)
-    limit = odd_limit()
-    signed = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_signed, "doc_id long, digest binary, n long, bands array<long>, sketch array<long>")
+    limit = odd_limit(percent=percent)
+    rows = docs.select("text", F.col("doc_id").cast("long").alias("doc_id"), *(c.alias(k) for k, c in own.items()))
+    others = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.schema if f.name != "text")
+    signed = rows.mapInArrow(_signed(size), others + "digest binary, n long, bands array<long>, sketch array<long>")
     signed = materialize(signed, "signatures", "snappy")
     tasks = signed.count() // ROWS_A_TASK + 1
     same = [F.first(c).alias(c) for c in ("n", "bands", "sketch")]
@@ -323,14 +334,14 @@ def near_components(docs: DataFrame, block_words: int = BLOCK_WORDS, block_class
     features = classes.select("cid", "n", "sketch")
     side = lambda name: features.select(F.col("cid").alias(name), F.struct("n", "sketch").alias(f"{name}_"))
     stars = shared.filter("cid <> v").select(F.col("cid").alias("u"), "v").distinct().join(side("u"), "u").join(side("v"), "v")
-    stars = stars.filter(_near_size(F.col("u_.n"), F.col("v_.n")) & (_apart(F.col("u_.sketch"), F.col("v_.sketch")) <= limit)).select("u", "v")
+    stars = stars.filter(_near_size(F.col("u_.n"), F.col("v_.n"), percent) & (_apart(F.col("u_.sketch"), F.col("v_.sketch")) <= limit)).select("u", "v")
     stars = _written(stars, "stars", tasks)
     texts = _texts_of(docs, classes, stars.select(F.col("u").alias("cid")).union(stars.select("v")).distinct(), tasks)
     named = lambda name: texts.select(F.col("cid").alias(name), F.col("words").alias(f"{name}_words"))
     both = stars.join(named("u"), "u").join(named("v"), "v").select("u", "v", "u_words", "v_words")
-    links = _written(both.mapInArrow(_confirmed, "u long, v long"), "links", tasks)
+    links = _written(both.mapInArrow(_confirmed(size, percent), "u long, v long"), "links", tasks)
     rooted = _written(_rooted(classes.select("cid", "n", "sketch"), links), "rooted", tasks)
-    rest = _written(_may_link(shared.select("key", "cid"), rooted, block_classes, limit, tasks), "may", tasks)
+    rest = _written(_may_link(shared.select("key", "cid"), rooted, block_classes, limit, percent, tasks), "may", tasks)
     if not rest.isEmpty():
         ends = rooted.select("cid", "root")
         to_roots = rest.join(ends.select(F.col("cid").alias("u"), F.col("root").alias("ru")), "u").join(ends.select(F.col("cid").alias("v"), F.col("root").alias("rv")), "v")
@@ -340,12 +351,17 @@ def near_components(docs: DataFrame, block_words: int = BLOCK_WORDS, block_class
         texts = _texts_of(docs, classes, members.select("cid"), tasks)
         dealt = _dealt(members, block_words).join(texts, "cid").select("key", "cid", "root", "n", "sketch", "words")
         dealt = dealt.repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key")
-        more = _written(dealt.mapInArrow(_blocks_linked(limit), "u long, v long"), "links", tasks)
+        more = _written(dealt.mapInArrow(_blocks_linked(limit, size, percent), "u long, v long"), "links", tasks)
         links = rooted.filter("cid <> root").select(F.col("cid").alias("u"), F.col("root").alias("v")).union(more)
         rooted = _rooted(classes.select("cid"), links)
-    named_classes = classes.select("cid", "digest", "least").join(rooted.select("cid", "root"), "cid")
-    ids = named_classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = _written(named_classes.join(ids, "root").select("digest", "component_id"), "components", tasks)
+    return signed, _written(classes.select("cid", "digest", "least").join(rooted.select("cid", "root"), "cid").drop("cid"), "components", tasks)
+
+
+def near_components(docs: DataFrame, block_words: int = BLOCK_WORDS, block_classes: int = BLOCK_CLASSES) -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, component_id (least doc_id reachable), kept (doc_id is that id)."""
+    signed, classes = rooted_classes(docs, {}, block_words=block_words, block_classes=block_classes)
+    ids = classes.groupBy("root").agg(F.min("least").alias("component_id"))
+    ids = classes.join(ids, "root").select("digest", "component_id")
     out = signed.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(ids, "digest", "left")
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -26,15 +26,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.llm import odd_sketch
 from scriptorium.llm.common import materialize, ship, shuffle_partitions, spare_names
 from scriptorium.llm.components import connected_components
 
 BITS, DISTANCE, SEED = 64, 4, 42
 #: (lowest bit, width) around the ring.
 SEGMENTS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
-#: MinHash of the shingle links: of a pair with Jaccard 0.8 some band is equal with probability 1 - (1 - 0.8 ** 6) ** 24 = 0.9993.
-BANDS, ROWS = 24, 6
-FACTORS, SHIFTS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64) | np.uint64(1)
 BUDGETS = tuple((i + 1) * DISTANCE // len(SEGMENTS) for i in range(len(SEGMENTS)))
 
 
@@ -196,118 +194,37 @@ def near_groups(docs: DataFrame, block: int = 8192) -> DataFrame:
     return rows.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def _bands(text: str | None, shingle: int) -> np.ndarray:
-    """One key a band of the text's MinHash; none for a text without words."""
-    hashes = shingle_hashes(text, shingle).reshape(-1).view(">u8").astype(np.uint64)
-    if not len(hashes):
-        return np.empty(0, np.int64)
-    least = np.full(len(FACTORS), np.iinfo(np.uint64).max)
-    for at in range(0, len(hashes), 1024):
-        least = np.minimum(least, (FACTORS[:, None] * hashes[None, at : at + 1024] + SHIFTS[:, None]).min(1))
-    mixed = (least ^ (least >> np.uint64(31))).reshape(BANDS, ROWS) * FACTORS.reshape(BANDS, ROWS)
-    return (mixed.sum(1, dtype=np.uint64) ^ SHIFTS[:BANDS]).view(np.int64)
-
-
-def _banded(shingle: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bands = [_bands(t.as_py(), shingle) for t in batch.column("text")]
-            at = np.cumsum([0, *map(len, bands)]).astype(np.int32)
-            keys = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([np.empty(0, np.int64), *bands])))
-            yield pa.RecordBatch.from_arrays([batch.column("tid"), keys], ["tid", "bands"])
-
-    return run
-
-
-def like_links(texts: list[str], jaccard: float, shingle: int) -> list[tuple[int, int]]:
-    """Places of texts, linked so that they connect exactly what a Jaccard of shingles of at least `jaccard` connects."""
-    sets = [np.unique(shingle_hashes(t, shingle).reshape(-1).view(">u8")) for t in texts]
-    sizes = np.array([len(x) for x in sets])
-    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
-    starts = np.concatenate([[0], np.cumsum(sizes)])
-    marked, rest, out = np.zeros(ids.max(initial=-1) + 1, bool), np.ones(len(texts), bool), []
-    while rest.any():
-        queue = [int(np.flatnonzero(rest)[0])]
-        rest[queue[0]] = False
-        while queue and rest.any():
-            at = queue.pop()
-            mine = ids[starts[at] : starts[at + 1]]
-            marked[mine] = True
-            common = np.add.reduceat(marked[ids], starts[:-1], dtype=np.int64)  # no set is empty
-            marked[mine] = False
-            near = np.flatnonzero(rest & (common / (sizes[at] + sizes - common) >= jaccard)).tolist()
-            out += [(at, x) for x in near]
-            queue += near
-            rest[near] = False
-    return out
-
-
-def _verifier(jaccard: float, shingle: int):
-    """Rows (key, text) sorted by key to links (u, v) between the fingerprints of a key's texts."""
-
-    def close(texts: list[str]) -> list[tuple[int, int]]:
-        texts = list(dict.fromkeys(texts))
-        if len(texts) < 2:
-            return []
-        fps = [fingerprint(t) for t in texts]
-        return [(fps[a], fps[b]) for a, b in like_links(texts, jaccard, shingle) if fps[a] != fps[b]]
-
-    def out(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-        u, v = np.array(pairs, np.uint64).reshape(-1, 2).view(np.int64).T
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(u)), pa.array(np.ascontiguousarray(v))], ["u", "v"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_key, held = None, []
-        for batch in batches:
-            for key, text in zip(batch.column("key").to_pylist(), batch.column("text"), strict=True):
-                if key != held_key:
-                    yield out(close(held))
-                    held_key, held = key, []
-                held.append(text.as_py())
-        yield out(close(held))
+def shingle_links(docs: DataFrame, rows: DataFrame, jaccard: float, shingle: int, **blocks: int) -> DataFrame:
+    """(u, v): links between the fingerprints of docs(doc_id, text) that connect what a Jaccard of word shingles of at least `jaccard`, in
+    hundredths, connects: the classes of `odd_sketch`. rows(sha, fp) has the fingerprint of each text's SHA-256.
+    """
+    signed, classes = odd_sketch.rooted_classes(docs, {"sha": sha_of("text")}, shingle, round(100 * jaccard), **blocks)
+    texts = signed.filter("n > 0").select("sha", "digest").distinct().join(classes.select("digest", "root"), "digest")
+    members = materialize(texts.join(rows.select("sha", "fp").distinct(), "sha").select("root", "fp").distinct(), "roots", "snappy")
+    hubs = members.groupBy("root").agg(F.min("fp").alias("v"), F.max("fp").alias("_last")).filter("v < _last").select("root", "v")
+    return materialize(members.join(hubs, "root").filter("fp <> v").select(F.col("fp").alias("u"), "v"), "like", "snappy")
 
-    return run
 
+def sha_of(text: str) -> Column:
+    return F.coalesce(F.sha2(text, 256), F.lit(""))
 
-def shingle_links(docs: DataFrame, jaccard: float, shingle: int, block: int = 512) -> DataFrame:
-    """(u, v): links between fingerprints of docs(text) with a Jaccard of word shingles of at least `jaccard`.
 
-    Texts that share a band of MinHash are joined to candidate components; each is dealt once, with its texts, to a task
-    that links them by their whole shingle sets. A component above `block` texts is dealt to blocks, and every pair of
-    blocks goes to a task of its own.
-    """
-    tid = F.xxhash64("text").alias("tid")  # a clash only adds candidates
-    texts = docs.select(tid, "text")
-    banded = materialize(texts.mapInArrow(_banded(shingle), "tid long, bands array<long>"), "bands", "snappy")
-    keys = banded.select("tid", F.explode("bands").alias("key"))
-    hubs = keys.groupBy("key").agg(F.min("tid").alias("v"), F.max("tid").alias("_last")).filter("v < _last").select("key", "v")
-    parts = connected_components(keys.join(hubs, "key").filter("tid <> v").select(F.col("tid").alias("u"), "v"))
-    parts = materialize(parts, "candidates", "snappy")
-    count = F.count(F.lit(1))
-    sizes = parts.groupBy("component").agg(F.when(count <= block, 1).otherwise(F.ceil(count * 2 / block)).cast("int").alias("blocks"))
-    dealt = parts.join(sizes, "component").withColumn("mine", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    key = F.xxhash64("component", F.least("mine", "other"), F.greatest("mine", "other"))
-    members = texts.join(dealt.select(F.col("node").alias("tid"), key.alias("key")).hint("merge"), "tid").select("key", "text")
-    members = members.repartition(shuffle_partitions(docs.sparkSession), "key").sortWithinPartitions("key")
-    return materialize(members.mapInArrow(_verifier(jaccard, shingle), "u long, v long"), "like", "snappy")
-
-
-def drop_near_copies(docs: DataFrame, block: int = 8192, jaccard: float | None = None, shingle: int = 5) -> DataFrame:
+def drop_near_copies(docs: DataFrame, block: int = 8192, jaccard: float | None = None, shingle: int = 5, **blocks: int) -> DataFrame:
     """docs with one row of each group of near copies: the least id, nulls last, then the least hash of the text.
 
-    With `jaccard`, texts whose sets of `shingle`-word shingles are at least that similar are near copies too.
+    With `jaccard`, texts whose sets of `shingle`-word shingles are at least that similar are near copies too; `blocks` are the sizes of
+    blocks that `odd_sketch.rooted_classes` takes.
     Columns unchanged. Of rows equal in id and text one stays.
     """
     ship(docs.sparkSession)
     key, sha = spare_names(docs, "_key", "_sha")
-    named = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.sha2("text", 256), F.lit("")).alias("sha"), "text")
+    named = docs.select(F.col("doc_id").cast("long").alias("id"), sha_of("text").alias("sha"), "text")
     rows = materialize(named.mapInArrow(_fingerprints, "id long, sha string, fp long"), "fingerprints", "snappy")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "sha")).alias("first")
     # the least row of a fingerprint, then of a component: the join sees one row a fingerprint
     least = materialize(rows.groupBy("fp").agg(first), "least", "snappy")
-    more = None if jaccard is None else shingle_links(docs, jaccard, shingle)
+    more = None if jaccard is None else shingle_links(docs, rows, jaccard, shingle, **blocks)
     kept = _named(least, block, more).groupBy("component").agg(F.min("first").alias("first"))
     kept = materialize(kept.select(F.coalesce(F.col("first.id").cast("string"), F.lit("null")).alias(key), F.col("first.sha").alias(sha)), "kept")
-    keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("null"))).withColumn(sha, F.coalesce(F.sha2("text", 256), F.lit("")))
+    keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("null"))).withColumn(sha, sha_of("text"))
     return keyed.join(kept.hint("merge"), [key, sha], "left_semi").dropDuplicates([key, sha]).drop(key, sha)

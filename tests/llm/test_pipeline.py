@@ -4,7 +4,6 @@ import random
 import re
 from collections import Counter
 
-import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -82,8 +81,8 @@ def test_near_stage_keeps_one_row_a_group(spark):
     assert Counter((r.doc_id, r.text) for r in kept) == Counter([(None, b), (None, None), (1, c), (1, a + " end"), (0, d + " end"), (3, e)])
 
 
-@pytest.mark.parametrize("block", [512, 6])
-def test_near_stage_reaches_jaccard_of_shingles(spark, block):
+@pytest.mark.parametrize("blocks", [{}, {"block_words": 1500, "block_classes": 4}])
+def test_near_stage_reaches_jaccard_of_shingles(spark, blocks):
     rng = random.Random(6)
     texts = []
     for edits in (0, 1, 2, 3, 4, 5, 6, 8, 12) * 4:
@@ -107,9 +106,5 @@ def test_near_stage_reaches_jaccard_of_shingles(spark, block):
                 parent[max(find(i), find(j))] = min(find(i), find(j))
     docs = make(spark, [(i, t, "s") for i, t in enumerate(texts)] + [(900, None, "s"), (901, "a b", "s")])
     expected = {find(i) for i in range(len(texts))} | {900, 901}
-    if block == 512:
-        assert {r.doc_id for r in corpus_pipeline.near_stage(spark, docs, SF).collect()} == expected
-    else:
-        fps = {i: np.uint64(simhash.fingerprint(t)).astype(np.int64) for i, t in enumerate(texts)}
-        linked = {x for r in simhash.shingle_links(docs, 0.8, 5, block).collect() for x in r}
-        assert {fps[i] for i in range(len(texts) - 15, len(texts))} <= linked
+    kept = simhash.drop_near_copies(docs, jaccard=0.8, **blocks) if blocks else corpus_pipeline.near_stage(spark, docs, SF)
+    assert {r.doc_id for r in kept.collect()} == expected
