@@ -284,7 +284,7 @@ def title_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, "item_id").select("item_id", "other_id", F.round(match.token_similarity(C("t"), C("o")), 9).alias("similarity"))
 
 
-def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(parsed, expected): every fifth reference isn't parsed, every seventh has lost its year."""
     expected = records(spark, sf_dir)
     parsed = expected.filter("id % 5 <> 0").withColumn("year", F.when(C("id") % 7 != 0, C("year")))
@@ -302,14 +302,14 @@ _SIM = "len(list_intersect(p.t, e.t))::DOUBLE / (len(p.t) + len(e.t) - len(list_
     SELECT doc_id, j, i FROM s UNION ALL SELECT doc_id, j, i FROM f WHERE r = 1""".replace("FROM e ANTI JOIN s ON e.doc_id = s.doc_id AND e.j = s.j JOIN", "FROM (SELECT * FROM e WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.doc_id = e.doc_id AND s.j = e.j)) e JOIN")
 )
 def match_year(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return match.match_year_first(*_sides(spark, sf_dir))
+    return match.match_year_first(*sides(spark, sf_dir))
 
 
 @query(
     f"""WITH {_SIDES_SQL} SELECT p.doc_id AS doc_id, p.i AS i, e.j AS j, round(2 * coalesce((p.year = e.year)::INT, 0) + {_SIM}, 9) AS s FROM p JOIN e ON p.doc_id = e.doc_id WHERE p.year = e.year OR {_SIM} >= 0.6"""
 )
 def candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return match.candidate_pairs(*_sides(spark, sf_dir)).withColumn("s", F.round("s", 9))
+    return match.candidate_pairs(*sides(spark, sf_dir)).withColumn("s", F.round("s", 9))
 
 
 _CANDIDATES_SQL = f"SELECT p.doc_id AS doc_id, p.i AS i, e.j AS j, round(2 * coalesce((p.year = e.year)::INT, 0) + {_SIM}, 9) AS s FROM p JOIN e ON p.doc_id = e.doc_id WHERE p.year = e.year OR {_SIM} >= 0.6"
@@ -324,7 +324,7 @@ _GREEDY_SQL = f"""{_SIDES_SQL}, c AS ({_CANDIDATES_SQL}), o AS (SELECT *, row_nu
 
 @query(f"WITH RECURSIVE {_GREEDY_SQL} SELECT doc_id, i, j, s FROM m")
 def match_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _greedy(*_sides(spark, sf_dir))
+    return _greedy(*sides(spark, sf_dir))
 
 
 def _greedy(parsed: DataFrame, expected: DataFrame) -> DataFrame:
@@ -336,18 +336,18 @@ def _greedy(parsed: DataFrame, expected: DataFrame) -> DataFrame:
     r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, i ORDER BY s DESC, i, j) AS a, row_number() OVER (PARTITION BY doc_id, j ORDER BY s DESC, i, j) AS b FROM c) SELECT doc_id, i, j, s FROM r WHERE a = 1 AND b = 1"""
 )
 def match_mutual_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return match.mutual_best(match.candidate_pairs(*_sides(spark, sf_dir)).withColumn("s", F.round("s", 9)))
+    return match.mutual_best(match.candidate_pairs(*sides(spark, sf_dir)).withColumn("s", F.round("s", 9)))
 
 
 @query(f"WITH RECURSIVE {_GREEDY_SQL} SELECT doc_id, j AS ordinal, title, year FROM e WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.doc_id = e.doc_id AND m.j = e.j)")
 def missed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed, expected = _sides(spark, sf_dir)
+    parsed, expected = sides(spark, sf_dir)
     return match.missed(expected, _greedy(parsed, expected)).select("doc_id", "ordinal", "title", "year")
 
 
 @query(f"WITH RECURSIVE {_GREEDY_SQL} SELECT doc_id, i AS ordinal, title FROM p WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.doc_id = p.doc_id AND m.i = p.i)")
 def spurious(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed, expected = _sides(spark, sf_dir)
+    parsed, expected = sides(spark, sf_dir)
     return match.spurious(parsed, _greedy(parsed, expected)).select("doc_id", "ordinal", "title")
 
 
@@ -362,7 +362,7 @@ def _matches(parsed: DataFrame) -> DataFrame:
     sum((id % 5 <> 0)::INT) = count(*) AND (sum((id % 5 <> 0 AND id % 3 <> 0)::INT) + sum((id % 5 <> 0 AND id % 3 <> 0 AND id % 7 <> 0)::INT)) * 100 >= 180 * count(*) AS passes FROM ({RECORDS_SQL}) GROUP BY doc_id"""
 )
 def score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed, expected = _sides(spark, sf_dir)
+    parsed, expected = sides(spark, sf_dir)
     columns = ["doc_id", "found", "expected", "matched", "auth", "yr", "doi", "doi_total", "cont", "cont_total", "passes"]
     return match.score(parsed, expected, _matches(parsed)).select(*columns)
 
@@ -526,37 +526,37 @@ def parse_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return refs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_refs"), F.sum("year").cast("long").alias("years"), F.min("title").alias("first_title"))
 
 
-def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+def catalog_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     tags = F.array(F.lower("p_brand"), F.concat(F.lit("size-"), (C("p_size") % 5).cast("string")))
     created = F.when(C("p_partkey") % 3 != 0, F.concat(F.lit("2024-01-"), F.lpad((C("p_partkey") % 28 + 1).cast("string"), 2, "0")))
     return table(spark, sf_dir, "part").select(F.concat(F.lit("entry-"), C("p_partkey").cast("string")).alias("slug"), C("p_name").alias("title"), C("p_type").alias("description"), created.alias("created"), tags.alias("tags"))
 
 
-_ENTRIES_SQL = """SELECT 'entry-' || p_partkey AS slug, p_name AS title, p_type AS description, CASE WHEN p_partkey % 3 <> 0 THEN '2024-01-' || lpad(CAST(p_partkey % 28 + 1 AS VARCHAR), 2, '0') END AS created, [lower(p_brand), 'size-' || (p_size % 5)] AS tags FROM part"""
+ENTRIES_SQL = """SELECT 'entry-' || p_partkey AS slug, p_name AS title, p_type AS description, CASE WHEN p_partkey % 3 <> 0 THEN '2024-01-' || lpad(CAST(p_partkey % 28 + 1 AS VARCHAR), 2, '0') END AS created, [lower(p_brand), 'size-' || (p_size % 5)] AS tags FROM part"""
 
 
-@query(f"SELECT slug, title FROM ({_ENTRIES_SQL}) WHERE contains(lower(concat_ws(' ', title, description, array_to_string(tags, ' '))), 'a') AND list_contains(tags, 'size-3')")
+@query(f"SELECT slug, title FROM ({ENTRIES_SQL}) WHERE contains(lower(concat_ws(' ', title, description, array_to_string(tags, ' '))), 'a') AND list_contains(tags, 'size-3')")
 def tag_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.search(_entries(spark, sf_dir), " A ", ("size-3",)).select("slug", "title")
+    return catalog.search(catalog_entries(spark, sf_dir), " A ", ("size-3",)).select("slug", "title")
 
 
-@query(f"SELECT DISTINCT unnest(tags) AS tag FROM ({_ENTRIES_SQL})")
+@query(f"SELECT DISTINCT unnest(tags) AS tag FROM ({ENTRIES_SQL})")
 def tag_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.tag_list(_entries(spark, sf_dir))
+    return catalog.tag_list(catalog_entries(spark, sf_dir))
 
 
-@query(f"SELECT slug, created FROM ({_ENTRIES_SQL}) ORDER BY coalesce(created, '') DESC, slug")
+@query(f"SELECT slug, created FROM ({ENTRIES_SQL}) ORDER BY coalesce(created, '') DESC, slug")
 def newest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.newest_first(_entries(spark, sf_dir)).select("slug", "created")
+    return catalog.newest_first(catalog_entries(spark, sf_dir)).select("slug", "created")
 
 
-@query(f"SELECT slug, title FROM ({_ENTRIES_SQL}) ORDER BY coalesce(created, '') DESC, slug LIMIT 1")
+@query(f"SELECT slug, title FROM ({ENTRIES_SQL}) ORDER BY coalesce(created, '') DESC, slug LIMIT 1")
 def entry_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.lookup(_entries(spark, sf_dir), None).select("slug", "title")
+    return catalog.lookup(catalog_entries(spark, sf_dir), None).select("slug", "title")
 
 
 @query(
-    f"""SELECT slug, '<a href="' || slug || '/"><h2>' || title || '</h2><p>' || description || '</p><ul><li>' || tags[1] || '</li><li>' || tags[2] || '</li></ul></a>' AS html FROM (SELECT slug, {", ".join(f"replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS {c}" for c in ("title", "description"))}, list_transform(tags, lambda t: replace(t, '#', '#')) AS tags FROM ({_ENTRIES_SQL}))"""
+    f"""SELECT slug, '<a href="' || slug || '/"><h2>' || title || '</h2><p>' || description || '</p><ul><li>' || tags[1] || '</li><li>' || tags[2] || '</li></ul></a>' AS html FROM (SELECT slug, {", ".join(f"replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS {c}" for c in ("title", "description"))}, list_transform(tags, lambda t: replace(t, '#', '#')) AS tags FROM ({ENTRIES_SQL}))"""
 )
 def index_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.cards(_entries(spark, sf_dir)).select("slug", "html")
+    return catalog.cards(catalog_entries(spark, sf_dir)).select("slug", "html")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.functions import dates
-from scriptorium.operators import markup, render
+from scriptorium.operators import geometry, markup, render
 from scriptorium.plans.edge_queries import STYLES, TYPES, typed_records
 from scriptorium.plans.queries import STYLE_SQL
 from scriptorium.plans.synthetic import RECORDS_SQL, pick, records, sql_pick, table
@@ -159,3 +159,40 @@ def entries_without_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
     style = F.get(F.array(*map(F.lit, STYLES)), (C("id") % 10).cast("int"))
     rows = records(spark, sf_dir).withColumns({"style": style, "author": F.slice("author", 1, 0)})
     return rows.select("id", F.coalesce(*(F.when(C("style") == s, render.render(s)) for s in STYLES)).alias("entry"))
+
+
+_PAGE_KINDS = (("bracket", "ieee"), ("paren", "acs"), ("dot", "vancouver"), ("raised", "apa"), ("indent", "harvard"), ("crushed", "vancouver"))
+
+
+def marked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of entries on two lines each: documents whose entries begin with `[n]`, `(n)`, `n.`, a raised number or a hanging indent, and
+    documents whose entries' two lines lie over each other."""
+    kind = C("doc_id") % len(_PAGE_KINDS)
+    label, number = F.lit(""), (C("ordinal") + 1).cast("string")
+    text = F.coalesce(*(F.when(kind == i, render.render(style)) for i, (_, style) in enumerate(_PAGE_KINDS)))
+    for i, (left, right) in enumerate((("[", "] "), ("(", ") "), ("", ". "))):
+        label = F.when(kind == i, F.concat(F.lit(left), number, F.lit(right))).otherwise(label)
+    cut = lambda n: F.split(F.regexp_replace(F.concat(label, text), rf"^(.{{{n}}}\S*) ", "$1\n"), "\n")
+    parts = F.when(kind == 5, cut(70)).otherwise(cut(50))
+    item = lambda t, x, h=10.0: F.struct(t.alias("str"), F.lit(x).alias("x"), (F.length(t) * 5.0).alias("width"), F.lit(h).alias("height"), F.lit(False).alias("italic"))
+    entries = records(spark, sf_dir).select("doc_id", "ordinal", parts.alias("parts"))
+    one, two = F.get("parts", F.lit(0)), F.get("parts", F.lit(1))
+    line = lambda n, t, *items: F.struct(n.cast("int").alias("line_no"), (700.0 - 12.0 * n).cast("double").alias("y"), t.alias("text"), F.array(*items).alias("items"))
+    row = C("ordinal") * 2 + 1
+    usual = F.array(line(row, one, item(one, 50.0)), line(row + 1, two, item(two, 70.0)))
+    raised = F.array(line(row, F.concat(number, one), item(number, 50.0, 6.0), item(one, 60.0)), line(row + 1, two, item(two, 60.0)))
+    crushed = F.array(line(row, F.concat(one, two), item(one, 50.0), item(two, 50.0)))
+    lines = F.when(kind == 3, raised).when(kind == 5, crushed).otherwise(usual)
+    rows = entries.select("doc_id", F.lit(1).alias("page"), F.explode(lines).alias("l")).select("doc_id", "page", "l.*")
+    heading = rows.select("doc_id", "page").distinct().select("doc_id", "page", line(F.lit(0), F.lit("REFERENCES"), item(F.lit("REFERENCES"), 50.0)).alias("l")).select("doc_id", "page", "l.*")
+    return rows.unionByName(heading)
+
+
+@query(
+    f"""SELECT doc_id, count(*) AS n_refs, sum(year)::BIGINT AS years, min(title) AS first_title, CASE WHEN doc_id % 6 = 5 THEN ['{geometry.OVERLAP}'] ELSE [] END AS warnings
+    FROM ({RECORDS_SQL}) GROUP BY doc_id"""
+)
+def pages_of_all_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = marked_pages(spark, sf_dir)
+    refs = geometry.parse_pages(lines).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_refs"), F.sum("year").cast("long").alias("years"), F.min("title").alias("first_title"))
+    return refs.join(geometry.page_warnings(lines), "doc_id")
