@@ -113,3 +113,32 @@ def test_bibliographies_are_written_and_read(spark, tmp_path):
     assert sorted(r.t for r in tagged) == plain and all(r.i for r in tagged)
     expected = spark.read.json(str(tmp_path / "expected/style=acs"))
     assert {r.title for r in expected.collect()} == {r.title for r in rows.collect()}
+
+
+def test_entries_of_real_difficulty_are_read_back(spark):
+    """Organisations, long lists, names with marks and hyphens, editions, ranges of issues and years in titles, in ten styles."""
+    from scriptorium.functions import text
+    from scriptorium.operators import parse
+
+    person = lambda s: [(n.split("/")[1], n.split("/")[0], None) for n in s.split("; ")]
+    fields = ("type", "author", "title", "container", "volume", "issue", "page", "year", "doi", "publisher", "place", "edition", "genre")
+    items = [
+        ("article-journal", person("Søren M./Kjærgaard; Anne/Baudouin; Chidi/Okafor"), "Nitrogen retention in restored wetlands of the lower basin", "Ecological Engineering", "13", "1-4", "201-217", 1999, "10.1000/a.1", None, None, None, None),
+        ("article-journal", person("Ana/Silva; Bo/Lund; Cy/Ray; Di/Fox; Ed/Gil; Fay/Orr; Gus/Lee; Hal/Kim; Ida/Poe"), "Mapping of drought tolerance across spring wheat", "Theoretical Genetics", "104", "6", "987-1001", 2002, "10.1000/a.2", None, None, None, None),
+        ("article-journal", person("Sung-Jin/Hwang; Élodie/Lefèvre"), "Floods from 1950 onwards and their causes", "River Letters", "7", "2", "33-41", 2011, "10.1000/a.3", None, None, None, None),
+        ("book", person("Ruth M./Almeida"), "Principles of computational hydrology", None, None, None, None, 2001, None, "Oxford University Press", "Oxford", "2", None),
+        ("thesis", person("Karin/Lundgren"), "Sediment budgets of northern deltas", None, None, None, None, 2008, None, "University of Graz", "Graz", None, "PhD thesis"),
+    ]
+    rows = [{"id": f"{i}/{style}", "style": style, "editor": [], "url": None, **dict(zip(fields, item, strict=True))} for i, item in enumerate(items) for style in render.RENDERERS]
+    schema = f"id string, style string, author {PERSON}, editor {PERSON}, year int, url string, " + ", ".join(f"{f} string" for f in fields if f not in ("author", "year"))
+    df = spark.createDataFrame(rows, schema)
+    raw = F.coalesce(*(F.when(F.col("style") == s, render.render(s)) for s in render.RENDERERS))
+    out = parse.extract_fields(df.select("id", "style", text.fold_text(raw).alias("raw"))).collect()
+    wrong = []
+    for r in out:
+        i, style = r.id.split("/")
+        kind, author, title, container, volume, _, page, year, *_ = items[int(i)]
+        got = (r.type, r.year, r.title.lower(), r.container, r.volume, r.author[0].family)
+        if got != (kind, year, title.lower(), container, volume, author[0][0]):
+            wrong.append((r.id, got))
+    assert not wrong
