@@ -1,6 +1,7 @@
-"""Substring deduplication by relative Lempel-Ziv parsing of words.
+"""Substring deduplication by matching repeated blocks between content-defined anchors.
 
-Every document is parsed against one reference that holds every repeated block of the corpus.
+This stands in for a greedy relative Lempel-Ziv parsing: a document's factors are runs of blocks that stand elsewhere too, but no
+places in a reference are kept, and no longest factor is looked for.
 
 1. Anchors. In each window of `WINDOW` words the smallest hash of `GRAM` consecutive words is an anchor, so equal windows
    have equal anchors wherever they stand. About 2 / (WINDOW - GRAM + 2) of all positions are anchors.
