@@ -54,6 +54,15 @@ def test_orphans_go_to_incomplete_entries():
     assert geometry._reattach(lines, starts, heights).tolist() == [[["One, A. title", "wide 2004"], ["Two, B. 2001 done"], ["Three, C. title", "odd small 2003"]]]
 
 
+def test_numbers_of_titles_are_no_years():
+    assert geometry.needs_more("One, A. Study 11980 of rivers") and geometry.needs_more("One, A. A title doi:10.1000/ref.1990")
+    rows = [("One, A. Study 1900 of rivers. Coastal", True), ("Two, B. Study 11980 of rivers. Coastal", True), ("Three, C. A study. 2001;2:3-4.", True), ("Four, D. Study 4. Coastal", True), ("Records. 2003;1:2-3.", False), ("Records. 2004;1:2-3.", False), ("doi:10.1000/ref.1990", False), ("Records. 2005;1:2-3.", False)]
+    lines, starts = (pd.Series([np.array(x)]) for x in zip(*rows, strict=True))
+    got = geometry._reattach(lines, starts, pd.Series([np.array([10.0] * len(rows))])).tolist()[0]
+    assert [len(entry) for entry in got] == [2, 2, 1, 3]
+    assert [entry[-1] for entry in got] == ["Records. 2003;1:2-3.", "Records. 2004;1:2-3.", "Three, C. A study. 2001;2:3-4.", "Records. 2005;1:2-3."]
+
+
 def test_greedy_matching(spark):
     rng = random.Random(7)
     rows = [(d, i, j, rng.choice([0.6, 0.75, 1.0, 2.0, 2.5])) for d in range(6) for i in range(8) for j in range(8) if rng.random() < 0.4]
