@@ -110,3 +110,13 @@ def test_nature_initials_may_have_marks(spark):
     refs = parse.parse_text(spark.createDataFrame([(1, text)], "doc_id long, text string"))
     first = refs.filter("entry_no = 1").first()
     assert first.style == "nature" and [a.family for a in first.author] == ["Fournier", "Ng"]
+
+
+def test_parts_follow_rows(spark, tmp_path):
+    """More rows, more parts, also of one file; documents stay whole."""
+    from scriptorium.plans import synthetic
+
+    rows = 2 * synthetic.PART_ROWS * spark.sparkContext.defaultParallelism
+    spark.range(rows).selectExpr("id as o_orderkey", "timestamp'1995-01-01' as o_orderdate").coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    found = synthetic.records(spark, str(tmp_path)).select("doc_id", F.spark_partition_id().alias("part")).groupBy("doc_id").agg(F.countDistinct("part").alias("n"), F.max("part").alias("part"))
+    assert found.agg(F.max("n")).first()[0] == 1 and found.agg(F.max("part")).first()[0] >= spark.sparkContext.defaultParallelism

@@ -67,3 +67,10 @@ def test_people(spark):
     assert people(spark, "ieee", "D. C. Hartwell, E. Moe, and P. L. Ng") == [("Hartwell", "D. C."), ("Moe", "E."), ("Ng", "P. L.")]
     assert people(spark, "acs", "Hartwell, D. C.; Ng, P. L.") == [("Hartwell", "D. C."), ("Ng", "P. L.")]
     assert people(spark, "acm", "Ada Mae Moss, Bo Ek Jr., and NASA") == [("Moss", "Ada Mae"), ("Ek Jr", "Bo"), "NASA"]
+
+
+def test_trims_any_white_space(spark):
+    for c in text.WHITE:
+        got = spark.createDataFrame([(c + c + "a" + c + "b" + c,)], ["s"]).select(text.trim_all(F.col("s")).alias("t"), text.trim_right(F.col("s")).alias("r"), F.regexp_replace("s", r"(?U)^\s+|\s+\z", "").alias("w")).first()
+        assert got.t == got.w == "a" + c + "b" and got.r == c + c + "a" + c + "b"
+    assert one(spark, text.trim_all(F.col("s")), s=" ​ ") == "​"
