@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from scriptorium.functions.binding import let
 from scriptorium.functions.text import decode_entities, trim_all
 
 RUN = "struct<text:string,italic:boolean,bold:boolean,sup:boolean>"
@@ -31,15 +32,21 @@ def runs(html: Column) -> Column:
     pieces = F.filter(F.split(F.concat(F.lit("<>"), html), "<"), lambda p: p != "")
 
     def step(acc: Column, piece: Column) -> Column:
-        tag = F.lower(F.regexp_extract(piece, r"^([^>]*)>", 1))
         text = decode_entities(F.regexp_replace(piece, r"^[^>]*>", ""))
-        opens = lambda names, style: tag.rlike(rf"^(?:{names})(?:\s|\z)") | (tag.rlike(r"^span\b") & tag.rlike(style))
-        closes = lambda names: tag.rlike(rf"^/(?:{names})\z")
-        flag = lambda old, names, style: F.when(opens(names, style), True).when(closes(names), False).otherwise(old)
-        italic, bold, sup = flag(acc["italic"], "i|em", "italic"), flag(acc["bold"], "b|strong", r"font-weight:\s*bold"), flag(acc["sup"], "sup", "vertical-align:\\s*sup")
-        run = F.struct(text.alias("text"), italic.alias("italic"), bold.alias("bold"), sup.alias("sup")).cast(RUN)
-        found = F.when(text == "", acc["runs"]).otherwise(F.concat(acc["runs"], F.array(run)))
-        return F.struct(found.alias("runs"), italic.alias("italic"), bold.alias("bold"), sup.alias("sup"))
+
+        def flags(tag: Column) -> Column:
+            opens = lambda names, style: tag.rlike(rf"^(?:{names})(?:\s|\z)") | (tag.rlike(r"^span\b") & tag.rlike(style))
+            closes = lambda names: tag.rlike(rf"^/(?:{names})\z")
+            flag = lambda kind, names, style: F.when(opens(names, style), True).when(closes(names), False).otherwise(acc[kind]).alias(kind)
+            return F.struct(flag("italic", "i|em", "italic"), flag("bold", "b|strong", r"font-weight:\s*bold"), flag("sup", "sup", "vertical-align:\\s*sup"))
+
+        def with_run(on: Column, text: Column) -> Column:
+            open_now = [on[kind].alias(kind) for kind in ("italic", "bold", "sup")]
+            run = F.struct(text.alias("text"), *open_now).cast(RUN)
+            return F.struct(F.when(text == "", acc["runs"]).otherwise(F.concat(acc["runs"], F.array(run))).alias("runs"), *open_now)
+
+        tag = F.lower(F.regexp_extract(piece, r"^([^>]*)>", 1))
+        return let(let(tag, flags), lambda on: let(text, lambda text: with_run(on, text)))
 
     off = F.lit(False)
     start = F.struct(F.array().cast(f"array<{RUN}>").alias("runs"), off.alias("italic"), off.alias("bold"), off.alias("sup"))

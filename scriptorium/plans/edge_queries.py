@@ -60,7 +60,8 @@ def html_run_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
     margin = F.concat(F.lit('<div class="csl-left-margin">['), "id", F.lit("]</div>"))
     styled = F.concat(F.lit("<em>"), "title", F.lit('</em> no. <span style="font-weight: bold">'), "issue", F.lit("</span>"))
     rows = records(spark, sf_dir).select("id", F.concat(margin, styled).alias("h"), F.concat(F.lit("<i>"), "title", F.lit("</i><b>"), "issue", F.lit("</b><sup>2</sup>")).alias("flat"))
-    runs, flat = markup.runs(markup.without_label(C("h"))), markup.runs(C("flat"))
+    rows = rows.select("id", "h", markup.runs(markup.without_label(C("h"))).alias("runs"), markup.runs(C("flat")).alias("flat"))
+    runs, flat = C("runs"), C("flat")
     of = lambda style: F.array_join(F.transform(F.filter(flat, lambda r: r[style]), lambda r: r["text"]), "")
     return rows.select("id", markup.label(C("h")).alias("label"), markup.plain(runs).alias("plain"), markup.annotated(runs).alias("annotated"), of("italic").alias("italic"), of("bold").alias("bold"), of("sup").alias("sup"))
 
