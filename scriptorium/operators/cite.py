@@ -67,13 +67,12 @@ def _first_difference(a: Column, b: Column) -> Column:
 def _needed(rows: DataFrame, group: list[str], names: str) -> DataFrame:
     """Add _need: how many of `names` tell a row from all rows of its group whose names differ; 0 if none do.
 
-    In the order of the lists, no other list shares more of its beginning than the list before or after it.
+    In the order of the lists, no other list shares more of its beginning than the list before or after it. Of equal lists the
+    first stands beside the one before, the last beside the one after.
     """
-    within = Window.partitionBy(*group)
-    ranked = rows.withColumn("_rank", F.dense_rank().over(within.orderBy(names)))
-    beside = lambda step: F.max(names).over(within.orderBy("_rank").rangeBetween(step, step))
-    need = F.greatest(_first_difference(C(names), beside(-1)), _first_difference(C(names), beside(1)))
-    return ranked.withColumn("_need", need).drop("_rank")
+    ordered = Window.partitionBy(*group).orderBy(names)
+    beside = F.greatest(_first_difference(C(names), F.lag(names).over(ordered)), _first_difference(C(names), F.lead(names).over(ordered)))
+    return rows.withColumn("_beside", beside).withColumn("_need", F.max("_beside").over(Window.partitionBy(*group, names))).drop("_beside")
 
 
 def _leveled(authors: Column, level: Callable[[Column], Column]) -> Column:
@@ -81,7 +80,7 @@ def _leveled(authors: Column, level: Callable[[Column], Column]) -> Column:
 
     def one(a: Column, i: Column) -> Column:
         short = F.when(level(i) == 1, initials(a["given"])).when(level(i) == 2, a["given"])
-        return F.coalesce(a["literal"], F.concat_ws(" ", F.when(short != "", short), a["family"]))
+        return F.coalesce(a["literal"], F.concat_ws(" ", F.array_remove(F.array(short), ""), a["family"]))
 
     return F.transform(authors, one)
 
@@ -100,7 +99,7 @@ def label_references(records: DataFrame, style: str, key: str = "doc_id") -> Dat
     at = lambda level: _leveled(C("_people"), lambda i: F.lit(level))
     if how.given == "first":
         alike = Window.partitionBy(key, "_family")
-        lead = lambda level: F.coalesce(F.get(at(level), F.lit(0)), F.lit(""))
+        lead = lambda level: F.coalesce(F.get(_leveled(F.slice("_people", 1, 1), lambda i: F.lit(level)), F.lit(0)), F.lit(""))
         rows = rows.withColumns({"_family": lead(0), "_short": lead(1), "_long": lead(2)})
         differ = lambda c: F.min(c).over(alike) != F.max(c).over(alike)
         # initials where those differ; given names, where a style has them, wherever they differ
@@ -264,16 +263,17 @@ def resolve(cited: DataFrame, listed: DataFrame, key: str = "doc_id", mention: s
     throughout = F.coalesce(F.when(number, alike), F.lit(0))
     fits = C("ordinal").isNotNull() & (C("letter").isNull() | C("_letter").isNull() | (C("letter") == C("_letter")))
     rank = F.when(fits, 2 * throughout + C("letter").eqNullSafe(C("_letter")).cast("int"))
-    ranked = both.select(key, mention, "ordinal", rank.alias("rank"))
-    best = ranked.groupBy(key, mention).agg(F.max("rank").alias("best"))
-    of_best = F.when(C("rank") == C("best"), C("ordinal"))
-    at_best = ranked.join(best, [key, mention]).groupBy(key, mention, "best").agg(F.count(of_best).alias("candidates"), F.min(of_best).alias("ordinal"))
+    # one aggregate after another: joining the best ranks back would read and look up every mention twice
+    at_rank = both.groupBy(key, mention, rank.alias("rank")).agg(F.count("ordinal").alias("candidates"), F.min("ordinal").alias("ordinal"))
+    best = F.max(F.struct("rank", F.when(C("rank").isNull(), 0).otherwise(C("candidates")).alias("candidates"), "ordinal")).alias("b")
+    at_best = at_rank.groupBy(key, mention).agg(best).select(key, mention, C("b.rank").alias("best"), C("b.candidates").alias("candidates"), C("b.ordinal").alias("ordinal"))
     status = F.when(C("best").isNull(), "not listed").when(C("best") < 2, "loose").when(C("candidates") == 1, "ok").otherwise("ambiguous")
     return at_best.select(key, mention, status.alias("status"), F.when(status == "ok", C("ordinal")).alias("ordinal"), "candidates")
 
 
 def cross_check_names(resolved: DataFrame, listed: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, ordinal, status, times): references that are cited and that aren't, and with a null ordinal what is ambiguous or not listed."""
-    times = resolved.groupBy(key, "status", "ordinal").agg(F.count(F.lit(1)).alias("times"))
-    unused = listed.select(key, "ordinal").join(times.filter("ordinal is not null").select(key, "ordinal"), [key, "ordinal"], "left_anti")
-    return times.select(key, "ordinal", "status", "times").union(unused.select(key, "ordinal", F.lit("not cited"), F.lit(0).cast("long")))
+    times = resolved.groupBy(key, "status", "ordinal").agg(F.count(F.lit(1)).alias("times")).select(key, "ordinal", "status", "times")
+    rows = times.union(listed.select(key, "ordinal", F.lit("not cited"), F.lit(0).cast("long")))
+    cited = F.max("times").over(Window.partitionBy(key, "ordinal"))  # counts of one reference
+    return rows.withColumn("_cited", cited).filter((C("times") > 0) | (C("_cited") == 0) | C("ordinal").isNull()).drop("_cited")

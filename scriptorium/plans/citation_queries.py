@@ -98,7 +98,8 @@ for _style in cite.CITE_STYLES:
 def _clustered(labelled: DataFrame, style: str, collapse: str, size: int) -> DataFrame:
     """Clusters of `size` references; every third is cited twice in its cluster."""
     rows = labelled.withColumn("cluster", F.floor(C("ordinal") / size).cast("int"))
-    return cite.clusters(rows.union(rows.filter("ordinal % 3 = 0")), style, collapse=collapse)
+    twice = rows.withColumn("_time", F.explode(F.sequence(F.lit(1), F.when(C("ordinal") % 3 == 0, 2).otherwise(1)))).drop("_time")
+    return cite.clusters(twice, style, collapse=collapse)
 
 
 @query(

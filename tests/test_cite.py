@@ -142,3 +142,19 @@ def test_entries_of_real_difficulty_are_read_back(spark):
         if got != (kind, year, title.lower(), container, volume, author[0][0]):
             wrong.append((r.id, got))
     assert not wrong
+
+
+def test_mentions_are_read_once(spark):
+    """A resolution joined its best ranks back and was read twice by the cross check, so each mention was read four times."""
+    cited = spark.createDataFrame([(1, 1, [(None, "Orr")], False, 2001, None), (1, 2, [(None, "Kay")], False, 2001, None)], "doc_id long, mention_id long, names array<struct<given:string,family:string>>, et_al boolean, year int, letter string")
+    listed = spark.createDataFrame([(1, o, [("Orr", "Ada", None)], y, None) for o, y in ((0, 2001), (1, 2002), (1, 2002))], "doc_id long, ordinal int, author array<struct<family:string,given:string,literal:string>>, year int, letter string")
+    checked = cite.cross_check_names(cite.resolve(cited, listed), listed)
+    assert checked._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+    assert sorted(map(tuple, checked.collect()), key=str) == [(1, 0, "ok", 1), (1, 1, "not cited", 0), (1, 1, "not cited", 0), (1, None, "not listed", 1)]
+
+
+def test_letters_grow_by_one_each(spark):
+    text = str(render.letters(F.col("n"))._jc)
+    assert text.count("CASE") == 5
+    rows = spark.createDataFrame([(n,) for n in (None, 0, 1, 26, 27, 52, 53, 702, 703, 18279, 475255)], "n int").select(render.letters(F.col("n"))).collect()
+    assert [r[0] for r in rows] == ["", "", "a", "z", "aa", "az", "ba", "zz", "aaa", "aaaa", "aaaaa"]
