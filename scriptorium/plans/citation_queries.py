@@ -181,6 +181,7 @@ def cross_check_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = _sentence("Shown before (see ", C("who"), ", ", C("year").cast("string"), F.coalesce("letter", F.lit("")), ") and (", C("who"), ", ", C("year").cast("string"), ") but not (", C("who"), ", 1950, 1951b).")
     text = F.concat_ws(" ", F.when(C("ordinal") != 7, named), _sentence("Counted [", (C("ordinal") + 1).cast("string"), "]."))
     bodies = labelled.select("doc_id", "ordinal", text.alias("text")).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "text"))), lambda x: x["text"]), " ").alias("text"))
+    bodies = bodies.repartition("doc_id")  # one exchange, read for names and for numbers
     resolved = cite.resolve(_mentions(bodies), _listed(labelled), least=cite.CITE_STYLES["apa"].least)
     names = cite.cross_check_names(resolved, _listed(labelled)).select("doc_id", "ordinal", F.lit("names").alias("kind"), "status", "times")
     found = citations.citations(bodies, ("doc_id",), kinds=("bracket",)).select("doc_id", F.explode(citations.cited_numbers(C("citation"))).alias("number"))

@@ -158,3 +158,11 @@ def test_letters_grow_by_one_each(spark):
     assert text.count("CASE") == 5
     rows = spark.createDataFrame([(n,) for n in (None, 0, 1, 26, 27, 52, 53, 702, 703, 18279, 475255)], "n int").select(render.letters(F.col("n"))).collect()
     assert [r[0] for r in rows] == ["", "", "a", "z", "aa", "az", "ba", "zz", "aaa", "aaaa", "aaaaa"]
+
+
+def test_documents_are_checked_by_two_joins(spark):
+    """One looks names up, one compares numbers; the texts have one exchange for both."""
+    from scriptorium.plans.citation_queries import cross_check_documents
+
+    plan = cross_check_documents(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 2 and plan.count("RepartitionByExpression [doc_id") >= 2
