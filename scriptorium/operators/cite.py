@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptorium.functions.binding import let
+from scriptorium.functions.binding import let, one_of
 from scriptorium.operators.render import initials, letters
 
 C = F.col
@@ -45,7 +45,9 @@ CITE_STYLES = {
 def letter_number(c: Column) -> Column:
     """The number that letters stand for: `a` is 1, `aa` 27."""
     each = F.filter(F.split(c, ""), lambda x: x != "")
-    return F.aggregate(each, F.lit(0), lambda n, x: n * 26 + F.ascii(x) - 96)
+    many = F.aggregate(each, F.lit(0), lambda n, x: n * 26 + F.ascii(x) - 96)
+    # the usual ones aren't taken apart: split() compiles its pattern for every row
+    return F.when(c == "", 0).when(F.length(c) == 1, F.ascii(c) - 96).otherwise(many)
 
 
 def names_text(names: Column, shown: Column, style: CiteStyle) -> Column:
@@ -169,37 +171,55 @@ _TAIL = rf"(?:{_YEAR}[a-z]{{0,2}}|n\.d\.)(?:\s*[,–-]\s*(?:{_YEAR}[a-z]{{0,2}}|
 #: A part that ends with its years, or with a place in the work after them; else the first year counts.
 _AT_END = rf"(?s)^(.*?)[,\s]*({_TAIL})(?:\s*,\s*(?:pp?|ch|chap|vol|fig|sec)\.\s.*)?\s*$"
 _ANYWHERE = rf"(?s)^(.*?)[,\s]*({_TAIL}).*$"
+_YEARS = "array<struct<year:int,letter:string>>"
+#: Marks where a text is cut.
+_CUT = "\u0001"
 MENTION = "array<struct<names:array<struct<given:string,family:string>>,et_al:boolean,year:int,letter:string>>"
 
 
+def _words(bare: Column) -> Column:
+    """A list of names cut where its signs are; marked first, as split() compiles a longer pattern for every row."""
+    signs = r"\s*,?\s*&\s*|\s*,?\s+and\s+|\s*,\s*"
+    return F.when(bare.contains(_CUT), F.split(bare, signs)).otherwise(F.split(F.regexp_replace(bare, signs, _CUT), _CUT))
+
+
 def _names_of(said: Column) -> Column:
     """struct(names, et_al) of the words before a year."""
-    clean = F.regexp_replace(F.regexp_replace(F.trim(said), _SIGNALS, ""), r"[\s,(]+$", "")
-    et_al = clean.rlike(r"\bet al\.?")
-    bare = F.trim(F.regexp_replace(clean, r",?\s*\bet al\.?.*$", ""))
-    parts = F.filter(F.split(bare, r"\s*,?\s*&\s*|\s*,?\s+and\s+|\s*,\s*"), lambda p: p != "")
-    name = lambda p: F.struct(F.nullif(F.trim(F.regexp_extract(p, _GIVEN, 1)), F.lit("")).alias("given"), F.regexp_replace(p, _GIVEN, "$2").alias("family"))
-    return F.struct(F.transform(parts, name).alias("names"), et_al.alias("et_al"))
+
+    def name(p: Column) -> Column:
+        given = F.nullif(F.trim(F.regexp_extract(p, _GIVEN, 1)), F.lit(""))
+        # without a stop behind its first letter a name has no initials
+        return F.when(F.substring(p, 2, 1) == ".", F.struct(given.alias("given"), F.regexp_replace(p, _GIVEN, "$2").alias("family"))).otherwise(F.struct(F.lit(None).cast("string").alias("given"), p.alias("family")))
+
+    def read(clean: Column) -> Column:
+        et_al = clean.rlike(r"\bet al\.?")
+        bare = F.trim(F.when(et_al, F.regexp_replace(clean, r",?\s*\bet al\.?.*$", "")).otherwise(clean))
+        return F.struct(F.transform(F.filter(let(bare, _words), lambda p: p != ""), name).alias("names"), et_al.alias("et_al"))
+
+    return let(F.regexp_replace(F.regexp_replace(F.trim(said), _SIGNALS, ""), r"[\s,(]+$", ""), read)
 
 
 def _years_of(tail: Column) -> Column:
     """array<struct(year, letter)> of the words from the first year on: letters alone go with the year before, ranges are filled in."""
     tokens = F.regexp_extract_all(tail, F.lit(rf"{_YEAR}[a-z]{{0,2}}|n\.d\.|(?<![a-z.])[a-z]{{1,2}}\b|[–-]"), 0)
-    start = F.struct(F.lit(None).cast("int").alias("year"), F.lit(0).alias("last"), F.lit(False).alias("to"), F.array().cast("array<struct<year:int,letter:string>>").alias("out"))
+    start = F.struct(F.lit(None).cast("int").alias("year"), F.lit(0).alias("last"), F.lit(False).alias("to"), F.array().cast(_YEARS).alias("out"))
 
     def step(acc: Column, t: Column) -> Column:
-        dash = t.rlike("^[–-]$")
-        year = F.when(t.rlike(r"^\d"), F.substring(t, 1, 4).cast("int")).when(t == "n.d.", F.lit(None).cast("int")).otherwise(acc["year"])
-        letter = F.when(t == "n.d.", F.lit("")).otherwise(F.regexp_replace(t, r"^\d{4}", ""))
-        n = letter_number(letter)
-        fill = F.when(acc["to"] & (acc["last"] > 0) & (n > acc["last"]), F.sequence(acc["last"] + 1, n)).otherwise(F.array(n))
-        found = F.transform(fill, lambda k: F.struct(year.alias("year"), F.when(k > 0, letters(k)).alias("letter")))
-        return F.struct(
-            F.when(dash, acc["year"]).otherwise(year).alias("year"), F.when(dash, acc["last"]).otherwise(n).cast("int").alias("last"), dash.alias("to"),
-            F.when(dash, acc["out"]).otherwise(F.concat(acc["out"], found)).cast("array<struct<year:int,letter:string>>").alias("out"),
-        )
+        numbered, undated = F.substring(t, 1, 1).between("0", "9"), t == "n.d."
+        letter = F.when(undated, F.lit("")).when(numbered, F.substring(t, 5, 2)).otherwise(t)
+
+        def with_letter(year: Column, n: Column) -> Column:
+            fill = F.when(acc["to"] & (acc["last"] > 0) & (n > acc["last"]), F.sequence(acc["last"] + 1, n)).otherwise(F.array(n))
+            found = F.transform(fill, lambda k: F.struct(year.alias("year"), F.when(k > 0, letters(k)).alias("letter")))
+            return F.struct(year.alias("year"), n.cast("int").alias("last"), F.lit(False).alias("to"), F.concat(acc["out"], found).cast(_YEARS).alias("out"))
 
-    return F.aggregate(tokens, start, step, lambda acc: acc["out"])
+        year = F.when(numbered, F.substring(t, 1, 4).cast("int")).when(undated, F.lit(None).cast("int")).otherwise(acc["year"])
+        dash = F.struct(acc["year"].alias("year"), acc["last"].alias("last"), F.lit(True).alias("to"), acc["out"].alias("out"))
+        return F.when(one_of(t, "–", "-"), dash).otherwise(let(F.struct(year.alias("year"), letter_number(letter).alias("n")), lambda x: with_letter(x["year"], x["n"])))
+
+    one = F.struct(F.substring(tail, 1, 4).cast("int").alias("year"), F.nullif(F.substring(tail, 5, 2), F.lit("")).alias("letter"))
+    # a lone year with or without its letters is most of what is cited
+    return F.when(tail.rlike(rf"^{_YEAR}[a-z]{{0,2}}\z"), F.array(one).cast(_YEARS)).otherwise(F.aggregate(tokens, start, step, lambda acc: acc["out"]))
 
 
 def mentions(citation: Column) -> Column:
@@ -212,16 +232,22 @@ def mentions(citation: Column) -> Column:
     parts = F.filter(F.transform(F.split(plain, ";"), lambda p: F.trim(p)), lambda p: p.rlike(rf"{_YEAR}|n\.d\."))
     start = F.struct(F.array().cast("array<struct<given:string,family:string>>").alias("names"), F.lit(False).alias("et_al"), F.array().cast(MENTION).alias("out"))
 
+    def cut(part: Column) -> Column:
+        """What stands before the years, the mark, and the years, which never hold the mark: one match gives both. A match changes the part."""
+        marked = lambda pattern: F.regexp_replace(part, pattern, f"$1{_CUT}$2")
+        return let(marked(_AT_END), lambda m: F.when(m == part, marked(_ANYWHERE)).otherwise(m))
+
     def step(acc: Column, part: Column) -> Column:
-        group = lambda i: F.when(part.rlike(_AT_END), F.regexp_extract(part, _AT_END, i)).otherwise(F.regexp_extract(part, _ANYWHERE, i))
+        def with_years(m: Column, tail: Column) -> Column:
+            def with_names(own: Column) -> Column:
+                found = F.transform(_years_of(tail), lambda y: F.struct(own["names"].alias("names"), own["et_al"].alias("et_al"), y["year"].alias("year"), y["letter"].alias("letter")))
+                return F.struct(own["names"].alias("names"), own["et_al"].alias("et_al"), F.concat(acc["out"], found).cast(MENTION).alias("out"))
 
-        def with_names(own: Column) -> Column:
-            some = F.size(own["names"]) > 0
-            names, et_al = F.when(some, own["names"]).otherwise(acc["names"]), F.when(some, own["et_al"]).otherwise(acc["et_al"])
-            found = F.transform(_years_of(group(2)), lambda y: F.struct(names.alias("names"), et_al.alias("et_al"), y["year"].alias("year"), y["letter"].alias("letter")))
-            return F.struct(names.alias("names"), et_al.alias("et_al"), F.concat(acc["out"], found).cast(MENTION).alias("out"))
+            before = F.struct(acc["names"].alias("names"), acc["et_al"].alias("et_al"))
+            own = _names_of(F.substr(m, F.lit(1), F.length(m) - F.length(tail) - 1))
+            return let(let(own, lambda o: F.when(F.size(o["names"]) > 0, o).otherwise(before)), with_names)
 
-        return let(_names_of(group(1)), with_names)
+        return let(cut(part), lambda m: let(F.substring_index(m, _CUT, -1), lambda tail: with_years(m, tail)))
 
     every = F.aggregate(parts, start, step, lambda acc: acc["out"])
     return F.filter(every, lambda m: F.size(m["names"]) > 0)
