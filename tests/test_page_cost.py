@@ -5,7 +5,7 @@ import datetime
 from pyspark.sql import functions as F
 
 from scriptorium.operators import geometry
-from scriptorium.plans import style_queries
+from scriptorium.plans import queries, style_queries
 
 
 def _orders(spark, folder):
@@ -18,7 +18,7 @@ def test_lines_are_made_once(spark, tmp_path):
     sf_dir, adaptive = _orders(spark, tmp_path), spark.conf.get("spark.sql.adaptive.enabled")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        for run in (style_queries.pages_of_all_markers,):
+        for run in (style_queries.pages_of_all_markers, queries.parse_pages):
             plan = run(spark, sf_dir)._jdf.queryExecution().executedPlan().toString().split("Subqueries")[0]
             assert 0 < plan.count("Generate explode(") <= 3 and "ReusedExchange" in plan
     finally:
